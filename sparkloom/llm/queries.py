@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding, store
+from . import bpe, packing, quality, sharding, store
 from .common import documents
 from .tokens import vocabulary_path
 
@@ -19,13 +19,21 @@ def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), n_shards=40)
 
 
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), capacity=2048)
+
+
 def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
 
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_bpe_roundtrip, op4_virtual_slot_sharding, op7_content_store)
+    for f in (op2_bpe_roundtrip, op4_virtual_slot_sharding, op6_pattern_packing, op7_content_store, op8_quality_net)
 }
 
 ORACLES: dict[str, str] = {}
