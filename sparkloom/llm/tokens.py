@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -13,40 +14,128 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The pre-tokenizer's pattern, as the vocabulary file states it (fixed value).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are in NFC whatever they are, and lower-case one by one; none is white
+#: space, and without "<" none holds an added token.
+PLAIN = r"[\x21-\x3b\x3d-\x7e\xa1-\u012f\u0131-\u017f]+"
+
+
 class WordEncoder:
     """Encodes by `tokenizers`, as the library would encode each whole text, once per distinct word.
 
     The pre-tokenizer of the word-end BPE file never joins what ASCII white space parts, and
     neither NFC nor per-character lower case looks across it, so a text's ids are the ids of its
     white-space-separated words in order. Added tokens hold no white space, so the library still
-    finds them inside a word. The memory is emptied when it holds `most_words`.
+    finds them inside a word. A plain word is cut into the pre-tokenizer's pieces here, and the
+    library encodes each distinct piece, which is a word of its own; any other word it gets whole.
+    Longer words are forgotten when `most_words` are held.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_words = most_words
         self.known: dict[bytes, bytes] = {}
+        self.cut, self.plain = regex.compile(PIECES).findall, regex.compile(PLAIN).fullmatch
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """By the library, text by text."""
+        out = []
+        for at in range(0, len(texts), 4096):
+            got = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in got]
+        return out
+
+    def learn_letters(self, words: list[bytes]) -> None:
+        """Pieces of letters: many in one text, told apart by the tokens that end a word."""
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            raw = self.ids([b" ".join(part).decode()])[0]
+            last = np.nonzero(self.ends[np.frombuffer(raw, "<u4")])[0] + 1
+            if len(last) == len(part) and 4 * last[-1] == len(raw):
+                stops = (4 * last).tolist()
+                self.known.update([(w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops)])
+            else:
+                self.learn_whole(part)
+
+    def learn_whole(self, words: list[bytes]) -> None:
+        self.known.update(zip(words, self.ids([w.decode() for w in words])))
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
+        if not new:
+            return
         if len(self.known) + len(new) > self.most_words:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, got):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known = {w: v for w, v in self.known.items() if len(w) < 6}
+            if len(self.known) > self.most_words // 2:
+                self.known = {}
+            new = words.difference(self.known)
+        known, plain = self.known, self.plain
+        letters: set[bytes] = set()
+        rest: set[bytes] = set()
+        whole: list[bytes] = []
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        mixed: list[tuple[bytes, list[bytes]]] = []
+        for w in new:
+            end = w[-1:]
+            body = w[:-1] if end in b".,;:!?)" else w
+            if body.isalpha():  # ASCII letters
+                low = body.lower()
+                letters.add(low)
+                if body is not w:
+                    rest.add(end)
+                    cut.append((w, low, end))
+                elif low != w:
+                    cut.append((w, low, b""))
+                continue
+            text = w.decode()
+            if not plain(text):
+                whole.append(w)
+                continue
+            low = text.lower()
+            if low.isalpha():
+                letters.add(key := low.encode())
+                if key != w:
+                    cut.append((w, key, b""))
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?)":
+                letters.add(key := low[:-1].encode())
+                rest.add(end)
+                cut.append((w, key, end))
+            else:
+                mixed.append((w, [p.encode() for p in self.cut(low)]))
+        for _, ps in mixed:
+            rest.update(ps)
+        self.learn_letters(list(letters.difference(known)))
+        self.learn_whole(list(rest.difference(known)))
+        known[b""] = b""
+        known.update([(w, known[x] + known[m]) for w, x, m in cut])
+        known.update([(w, b"".join([known[x] for x in ps])) for w, ps in mixed])
+        self.learn_whole(whole)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        running = gc.isenabled()
+        gc.disable()  # all that is made here goes by its reference count
+        try:
+            return self._encode(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        words: set[bytes] = set()
+        for ws in split:
+            words.update(ws)
+        self.learn(words)
+        find = self.known.__getitem__
+        return [b"".join(map(find, ws)) for ws in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
