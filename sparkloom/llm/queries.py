@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, sharding, store
+from . import ann, bpe, neardup, packing, quality, sharding, store, topk
 from .common import documents
 from .tokens import vocabulary_path
 
@@ -19,6 +19,10 @@ def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), n_shards=40)
 
 
+def op5_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), width=3, numerator=85, denominator=100).drop("row_key")
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), capacity=2048)
 
@@ -31,9 +35,26 @@ def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
+def op9_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_bpe_roundtrip, op4_virtual_slot_sharding, op6_pattern_packing, op7_content_store, op8_quality_net)
+    for f in (
+        op2_bpe_roundtrip,
+        op4_virtual_slot_sharding,
+        op5_chosen_path_neardup,
+        op6_pattern_packing,
+        op7_content_store,
+        op8_quality_net,
+        op9_cross_polytope_ann,
+        op10_ball_tree_topk,
+    )
 }
 
 ORACLES: dict[str, str] = {}
