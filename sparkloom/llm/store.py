@@ -27,12 +27,11 @@ CHUNK_REF = "array<struct<digest:binary,n:int>>"
 END_ID = 1
 
 
-def cut_points(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int = MOST, window: int = WINDOW) -> list[int]:
-    """Ends of the chunks of one id stream: after a window whose rolling hash ends in zeros, with
-    chunks of at least `least` and at most `most` ids; the last may be shorter."""
+def marks_of(ids: np.ndarray, average: int = AVERAGE, window: int = WINDOW) -> np.ndarray:
+    """Places after which the rolling hash of a window of ids asks for a cut. Streams may follow
+    one another in `ids`: a window that reaches into the stream before lies within the first
+    `window` ids of its own, where `cut_points` takes no mark."""
     n = len(ids)
-    if n <= least:
-        return [n] if n else []
     base = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
@@ -43,14 +42,18 @@ def cut_points(ids: np.ndarray, average: int = AVERAGE, least: int = LEAST, most
             h[j:] += x[: n - j] * power
             power *= base
         h *= np.uint64(0xFF51AFD7ED558CCD)
-    marks = np.nonzero((h >> np.uint64(40)) % np.uint64(average) == 0)[0] + 1
-    out, at, k, marks = [], 0, 0, marks.tolist()
+    return np.nonzero((h >> np.uint64(40)) % np.uint64(average) == 0)[0] + 1
+
+
+def cut_points(n: int, marks: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of a stream of n ids: at marks, with chunks of at least `least` and at
+    most `most` ids; the last may be shorter."""
+    out, at, k = [], 0, 0
     while n - at > least:
         while k < len(marks) and marks[k] < at + least:
             k += 1
-        end = min(marks[k] if k < len(marks) else n, at + most, n)
-        out.append(end)
-        at = end
+        at = min(marks[k] if k < len(marks) else n, at + most, n)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
@@ -73,24 +76,29 @@ def _encode(path: str, end_id: int):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), ("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])
-        enc, tail, met = encoder(path), np.array([end_id], "<u4"), set()
+        enc, tail, met = encoder(path), np.array([end_id], "<u4").tobytes(), set()
         for part in slices(batches):
             rows: list[dict] = []
-            texts = to_bytes(part.column(1))
-            for doc_id, key, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(texts)):
-                ids = np.concatenate([np.frombuffer(raw, "<u4"), tail])
+            raws = [raw + tail for raw in enc.encode(to_bytes(part.column(1)))]
+            every = np.frombuffer(b"".join(raws), "<u4")
+            ends = np.cumsum([len(raw) // 4 for raw in raws])
+            marks = marks_of(every)
+            of_doc = np.split(marks, np.searchsorted(marks, ends[:-1], side="right"))
+            first = 0
+            for doc_id, key, end, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ends.tolist(), of_doc):
+                ids, begin, first = every[first:end], first, end
                 data = ids.astype("<u2") if ids.max() < 65536 else ids
                 at, refs, names = 0, [], []
-                for end in cut_points(ids):
-                    body = data[at:end].tobytes()
+                for stop in cut_points(len(ids), (own - begin).tolist()):
+                    body = data[at:stop].tobytes()
                     name = hashlib.blake2b(body, digest_size=16, key=bytes([data.itemsize])).digest()
                     names.append(name)
-                    refs.append({"digest": name, "n": end - at})
+                    refs.append({"digest": name, "n": stop - at})
                     if name not in met:
-                        if len(met) < 500_000:
+                        if len(met) < 200_000:
                             met.add(name)
-                        rows.append({"digest": name, "n": end - at, "data": body})
-                    at = end
+                        rows.append({"digest": name, "n": stop - at, "data": body})
+                    at = stop
                 rows.append({"doc_id": doc_id, "row_key": key, "n_tokens": len(ids), "root": merkle_root(names), "chunks": refs})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
