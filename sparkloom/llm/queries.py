@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, neardup, packing, quality, sharding, store, topk
+from . import ann, bpe, neardup, packing, quality, sharding, store, substrings, topk
 from .common import documents
 from .tokens import vocabulary_path
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), length=400)
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -46,6 +50,7 @@ def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_bpe_roundtrip,
         op4_virtual_slot_sharding,
         op5_chosen_path_neardup,
