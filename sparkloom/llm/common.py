@@ -74,3 +74,15 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
 def to_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Keys that may be sent to every task: 8 bytes each, so some MB.
+MOST_BROADCAST = 300_000
+
+
+def split_by_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose row_key is among keys, the others). Few keys, by a count, go to all
+    tasks and no text is shuffled for it; many are joined by shuffle."""
+    few = keys.count() <= MOST_BROADCAST
+    side = F.broadcast(keys) if few else keys
+    return docs.join(side, "row_key", "left_semi"), docs.join(side, "row_key", "left_anti")

@@ -4,8 +4,10 @@ Two equal strings of `length` bytes choose the same anchor: the least-hashed sho
 those that they hold. So documents emit their anchors with what lies around each, and only
 anchors met twice are looked at. Where everything around an anchor is the same at two places, the
 strings through it are repeats. Where it differs, the surroundings (one of each kind) go to a
-shard by anchor, where a suffix array by external induced sorting, with common prefixes, tells
-which strings are shared. Every string lies around an anchor, so no repeat is lost.
+shard, where a suffix array by external induced sorting, with common prefixes, tells which strings
+are shared. Anchors that follow each other in some document are one cluster and go to one shard,
+so that what lies between them is sorted once. Every string lies around an anchor, and all places
+of an anchor meet, so no repeat is lost.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_key, texts_of, to_bytes
+from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes
+from .graph import components
 from .suffixes import suffix_array
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 128
 #: Surroundings of one anchor beyond which they are dealt out by what they share around it; shares
 #: of the starts of a string that each such deal has; bytes of text in a suffix sort.
-HOT, DEALS, BLOCK = 2000, 8, 4 << 20
-MOST_BROADCAST = 300_000
+HOT, DEALS, BLOCK = 2000, 8, 1 << 20
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95 | 1
 _tables: list[np.ndarray] = []
@@ -57,48 +60,46 @@ class Hashes:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick over every window of `width`, by windows of doubling width."""
-    done, out = 1, x
+def _least_in(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every window of `width`, by windows of doubling width."""
+    done = 1
     while 2 * done <= width:
-        out = pick(out[:-done], out[done:])
+        x = np.minimum(x[:-done], x[done:])
         done *= 2
     rest = width - done
-    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, hashes: Hashes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors in joined documents that end at `ends`, and their hashes: every gram
-    that is least in some string of `length` bytes within a document; all that are equally least."""
-    window, n = length - gram + 1, len(text)
+def anchors(ends: np.ndarray, hashes: Hashes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For joined documents that end at `ends`: the place of each anchor, and the first and the
+    last start of the strings that chose it. A string of `length` bytes within a document chooses
+    its gram of least hash, the leftmost of several; so each string has one anchor."""
+    n = int(ends[-1]) if len(ends) else 0
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.arange(n - gram + 1)
-    value = hashes.of(at, at + gram)
-    small = (value >> _U(32)).astype(np.uint32) | np.uint32(1)
-    least = _slide(small, window, np.minimum)  # of the strings that start at 0 .. n - length
+    ranked = hashes.of(at, at + gram) & _U(0xFFFFFFFF00000000) | at.astype(np.uint64)
+    chosen = (_least_in(ranked, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    least[np.arange(len(least)) + length > end_of[: len(least)]] = 0
-    padded = np.zeros(len(small) + window - 1, np.uint32)
-    padded[window - 1 : window - 1 + len(least)] = least
-    top = _slide(padded, window, np.maximum)  # the largest least of the strings that hold a gram
-    places = np.nonzero(top == small)[0]
-    return places, value[places]
+    starts = np.nonzero(at[: len(chosen)] + length <= end_of[: len(chosen)])[0]
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    place = chosen[starts]
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    return place[new], starts[new], starts[np.append(new[1:], True)]
 
 
 def _emit_anchors(length: int, gram: int):
-    side = length - gram
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1 << 20):
             texts = to_bytes(part.column(1))
             text = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
             h = Hashes(text)
-            place, value = anchors(text, ends, h, length, gram)
+            place, start, stop = anchors(ends, h, length, gram)
+            value, stop = h.of(place, place + gram), stop + length
             doc = np.searchsorted(ends, place, side="right")
             first = np.concatenate([[0], ends])[doc]
-            start, stop = np.maximum(first, place - side), np.minimum(ends[doc], place + length)
             around = _mix(h.of(start, stop) + (place - start).astype(np.uint64))
             ids = part.column(0).take(pa.array(doc))
             keys = part.column(2).take(pa.array(doc))
@@ -108,12 +109,13 @@ def _emit_anchors(length: int, gram: int):
     return run
 
 
-SURROUNDINGS = "key long, twice boolean, doc_id long, row_key long, base int, last int, body binary"
+SURROUNDINGS = "key long, inner boolean, doc_id long, row_key long, base int, body binary"
 
 
 def _cut_surroundings(length: int, gram: int):
-    """Rows (doc_id, row_key, text, asked): the bytes around each anchor asked for. Around a hot
-    anchor, one row for each share of the starts, keyed by what all strings of the share hold."""
+    """Rows (doc_id, row_key, text, asked): a document's surroundings of the anchors of one
+    cluster, put together where they touch; `inner` if an anchor is asked for twice in it. Around a hot anchor, a row for each share of the
+    starts, keyed by what all strings of the share hold."""
     side = length - gram
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -121,9 +123,18 @@ def _cut_surroundings(length: int, gram: int):
             out: list[tuple] = []
             for doc_id, key, text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), to_bytes(part.column(2)), part.column(3).to_pylist()):
                 h = None
-                for x in asked:
+                met: set[int] = set()
+                inner = any(x["anchor"] in met or met.add(x["anchor"]) for x in asked)
+                open_: dict[int, list[int]] = {}
+                for x in sorted(asked, key=lambda x: (x["start"], x["stop"])):
                     if not x["hot"]:
-                        out.append((x["anchor"], x["twice"], doc_id, key, x["start"], x["stop"] - x["start"] - length, text[x["start"] : x["stop"]]))
+                        at = open_.get(x["cluster"])
+                        if at and x["start"] <= at[1]:
+                            at[1] = max(at[1], x["stop"])
+                        else:
+                            if at:
+                                out.append((x["cluster"], inner, doc_id, key, at[0], text[at[0] : at[1]]))
+                            open_[x["cluster"]] = [x["start"], x["stop"]]
                         continue
                     h = h or Hashes(np.frombuffer(text, np.uint8))
                     edges = np.linspace(0, side + 1, DEALS + 1).astype(int)
@@ -133,16 +144,16 @@ def _cut_surroundings(length: int, gram: int):
                             continue
                         core = np.array([x["place"] - lo]), np.array([x["place"] - hi + length])
                         deal = _mix(h.of(*core) + np.array([x["anchor"] & (2**64 - 1)], np.uint64) + _U(int(lo)))
-                        out.append((int(deal.view(np.int64)[0]), x["twice"], doc_id, key, first, last - first, text[first : last + length]))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            names = ["key", "twice", "doc_id", "row_key", "base", "last", "body"]
-            cols = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
+                        out.append((int(deal.view(np.int64)[0]), False, doc_id, key, first, text[first : last + length]))
+                out += [(c, inner, doc_id, key, a, text[a:b]) for c, (a, b) in open_.items()]
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["key", "inner", "doc_id", "row_key", "base", "body"])
 
     return run
 
 
-def shared_starts(bodies: list[bytes], twice: np.ndarray, last: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+def shared_starts(bodies: list[bytes], several: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
     """Over joined bodies (a separator after each), True where a string starts that is repeated:
     at two places, or in a body that stands for several. `where` tells the corpus place of each
     body's first byte, so that a place seen in two bodies counts once."""
@@ -154,9 +165,10 @@ def shared_starts(bodies: list[bytes], twice: np.ndarray, last: np.ndarray, wher
     text[first + sizes] = 1
     own = np.repeat(np.arange(len(bodies)), sizes + 1)
     offset = np.arange(len(text) - 1) - first[own]
-    valid = np.append(offset <= last[own], False)
-    place, several = np.append(where[own] + offset, 0), np.append(twice[own], False)
+    valid = np.append(offset <= sizes[own] - length, False)
+    place, several = np.append(where[own] + offset, 0), np.append(several[own], False)
     found = np.zeros(len(text), bool)
+    del own, offset
 
     def close(run: np.ndarray, begins: np.ndarray) -> None:
         """Runs of suffixes that share `length` symbols: repeated if they have two places."""
@@ -200,15 +212,14 @@ def _sort_shard(length: int):
     def judged(rows: list[tuple]) -> list[tuple]:
         docs: dict[tuple, int] = {}
         for r in rows:
-            docs.setdefault((r[2], r[3]), len(docs))
-        where = np.array([docs[r[2], r[3]] << 40 | r[4] for r in rows], np.int64)
-        twice, last = np.array([r[1] for r in rows]), np.array([r[5] for r in rows])
-        found = shared_starts([r[6] for r in rows], twice, last, where, length)
+            docs.setdefault(r[1:3], len(docs))
+        where = np.array([docs[r[1:3]] << 40 | r[3] for r in rows], np.int64)
+        found = shared_starts([r[4] for r in rows], np.array([r[0] for r in rows]), where, length)
         out, first = [], 0
-        for r in rows:
-            if not r[1]:  # one that stands for several is a repeat already
-                out += [(r[2], r[3], r[4] + a, r[4] + b + length) for a, b in _runs(np.nonzero(found[first : first + len(r[6])])[0])]
-            first += len(r[6]) + 1
+        for several, doc_id, key, base, body in rows:
+            if not several:  # the others have been told already
+                out += [(doc_id, key, base + a, base + b + length) for a, b in _runs(np.nonzero(found[first : first + len(body)])[0])]
+            first += len(body) + 1
         return out
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -219,14 +230,14 @@ def _sort_shard(length: int):
         for _, group in groupby(every, key=lambda r: r[0]):
             bodies: dict[bytes, list[tuple]] = {}
             for r in group:
-                bodies.setdefault(r[6], []).append(r)
-            for rows in bodies.values():  # bodies alike at two places repeat as they are
-                several = any(r[1] for r in rows) or len({r[2:5] for r in rows}) > 1
+                bodies.setdefault(r[5], []).append(r)
+            for body, rows in bodies.items():  # bodies alike at two places repeat as they are
+                several = len({r[2:5] for r in rows}) > 1
                 if several:
-                    plain += [(r[2], r[3], r[4], r[4] + len(r[6])) for r in rows if not r[1]]
-                if len(bodies) > 1:
-                    held.append((rows[0][0], several, *rows[0][2:]))
-                    size += len(rows[0][6]) + 1
+                    plain += [(*r[2:5], r[4] + len(body)) for r in rows]
+                if len(bodies) > 1 or rows[0][1] and not several:
+                    held.append((several, *rows[0][2:5], body))
+                    size += len(body) + 1
             if len(plain) > 10_000:
                 yield _intervals(plain)
                 plain = []
@@ -244,14 +255,6 @@ def _intervals(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["doc_id", "row_key", "start", "stop"])
 
 
-def split_by_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs whose row_key is among keys, the others). Few keys, by a count, go to all
-    tasks and no text is shuffled for it; many are joined by shuffle."""
-    few = keys.count() <= MOST_BROADCAST
-    side = F.broadcast(keys) if few else keys
-    return docs.join(side, "row_key", "left_semi"), docs.join(side, "row_key", "left_anti")
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """(doc_id, row_key, start, stop): byte ranges of documents that repeated strings cover; they
     may overlap. `docs` has doc_id, text, row_key."""
@@ -263,11 +266,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     kinds = stored(met.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place", "start", "stop")).alias("one")), "kinds")
     whole = met.join(kinds.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select("doc_id", "row_key", "start", "stop")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    asked = kinds.join(several, "anchor").select(
-        F.col("one.doc_id").alias("doc_id"), F.col("one.row_key").alias("row_key"),
-        F.struct("anchor", (F.col("n") > 1).alias("twice"), (F.col("m") > HOT).alias("hot"), F.col("one.place").alias("place"), F.col("one.start").alias("start"), F.col("one.stop").alias("stop")).alias("ask"),
-    )
-    of_doc = stored(asked.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list("ask").alias("asked")), "asked")
+    asked = stored(
+        kinds.join(several, "anchor").select("anchor", (F.col("m") > HOT).alias("hot"), "one.*"),
+        "asked",
+    )
+    of_text = W.partitionBy("doc_id", "row_key")
+    before = of_text.orderBy("place", "anchor")
+    gap = F.coalesce(F.col("place") - F.lag("place").over(before) >= length, F.lit(True))
+    stretch = asked.filter("not hot").withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(before))
+    head = F.min("anchor").over(W.partitionBy("doc_id", "row_key", "stretch"))
+    cluster = components(stretch.select("anchor", head.alias("a")).select("a", F.col("anchor").alias("b")).distinct())
+    ask = F.struct("anchor", "hot", "place", "start", "stop", F.coalesce("comp", "anchor").alias("cluster"))
+    of_doc = stored(
+        asked.join(cluster, asked["anchor"] == cluster["v"], "left").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(ask).alias("asked")),
+        "asked-of",
+    )
     wanted, _ = split_by_keys(docs, of_doc.select(F.col("k").alias("row_key")).distinct())
     one = wanted.dropDuplicates(["doc_id", "row_key"])
     texts = one.join(of_doc, (one["row_key"] == of_doc["k"]) & one["doc_id"].eqNullSafe(of_doc["d"])).select("doc_id", "row_key", "text", "asked")
