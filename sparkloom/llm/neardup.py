@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_key, texts_of, to_bytes
+from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes
 from .graph import components
 
-COORDINATES, SMALL_NODE, BRANCHES, MOST_DEPTH = 64, 64, 4, 5
+#: Minwise values of a sketch; members beyond which a node branches again; by how many coordinates
+#: it then does, and how often at most.
+COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH = 64, 3000, 4, 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -125,39 +127,45 @@ def _groups(batches, key: int) -> Iterator[list[tuple]]:
         yield list(run)
 
 
-def _passing(sig: np.ndarray, n: np.ndarray, least: int, ratio: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows whose sketch and size allow the threshold."""
-    for i in range(len(n) - 1):
+def _near(sig: np.ndarray, n: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """(m, m) numbers of coordinates that agree, 0 where sketch or size rule out the threshold."""
+    m = len(n)
+    out = np.zeros((m, m), np.uint8)
+    for i in range(m - 1):
         same = (sig[i + 1 :] == sig[i]).sum(1)
         small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-        js = np.nonzero((same >= least) & (small >= ratio * large - 1e-9))[0] + i + 1
-        if len(js):
-            yield i, js
+        out[i, i + 1 :] = np.where((same >= least) & (small >= ratio * large - 1e-9), same, 0)
+    return out | out.T
+
+
+def _members(rows: list[tuple]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Ids, sizes and sketches of a node's rows (node, sid, n, sig, …)."""
+    return [r[1] for r in rows], np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
 
 
 def _stars(least: int, ratio: float):
-    """In each small node a forest over the pairs that pass: members hang on the centre with most
-    neighbours; those it does not reach go on among themselves, tied by their first neighbour."""
+    """In each node stars over the pairs that pass: members hang on the centre that agrees most
+    with its neighbours; those that it does not reach go on among themselves, or hang on any
+    neighbour. So whoever has a pair that passes is in some pair, and a node gives no more pairs
+    than it has members."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         for rows in _groups(batches, 0):
-            n = np.array([r[2] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
-            near: dict[int, set[int]] = {}
-            for i, js in _passing(sig, n, least, ratio):
-                for j in js.tolist():
-                    near.setdefault(i, set()).add(j)
-                    near.setdefault(j, set()).add(i)
-            left = set(near)
-            while left:
-                centre = max(left, key=lambda i: (len(near[i] & left), -i))
-                got = near[centre] & left
-                if not got:
-                    other = min(near[centre])
-                    out.append((rows[other][1], rows[centre][1]))
-                out += [(rows[centre][1], rows[j][1]) for j in got]
-                left -= got | {centre}
+            ids, n, sig = _members(rows)
+            near = _near(sig, n, least, ratio)
+            left = near.any(1)
+            while left.any():
+                at = np.nonzero(left)[0]
+                total = near[np.ix_(at, at)].sum(1, dtype=np.int64)
+                centre = at[total.argmax()]
+                got = np.nonzero((near[centre] > 0) & left)[0]
+                if not len(got):  # all that is left knows only members of other stars
+                    out += [(ids[int(near[i].argmax())], ids[i]) for i in at.tolist()]
+                    break
+                out += [(ids[centre], ids[j]) for j in got.tolist()]
+                left[got] = False
+                left[centre] = False
             if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
@@ -166,42 +174,68 @@ def _stars(least: int, ratio: float):
     return run
 
 
-def _crossing(least: int, ratio: float):
-    """In each small node every pair that passes and that no component holds yet."""
+def _undecided(least: int, ratio: float):
+    """Members of each node that have a pair that passes and that no component holds yet."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
         for rows in _groups(batches, 0):
-            comp = [r[4] for r in rows]
-            n = np.array([r[2] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), -1)
-            for i, js in _passing(sig, n, least, ratio):
-                out += [(rows[i][1], rows[j][1]) for j in js.tolist() if comp[i] != comp[j]]
-                if len(out) > 20_000:
-                    yield _pairs(out)
-                    out = []
-        yield _pairs(out)
+            ids, n, sig = _members(rows)
+            comp = np.unique([r[4] for r in rows], return_inverse=True)[1]
+            open_ = ((_near(sig, n, least, ratio) > 0) & (comp[:, None] != comp)).any(1)
+            who = [ids[i] for i in np.nonzero(open_)[0].tolist()]
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(who), pa.int64()), pa.array(who, pa.binary())], ["node", "sid"])
 
     return run
 
 
-def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["a", "b"])
+def intersections(sets: list[np.ndarray], block: int = 2048) -> np.ndarray:
+    """(m, m) sizes of the intersections of sorted sets of distinct hashes."""
+    m = len(sets)
+    own = np.repeat(np.arange(m), [len(s) for s in sets])
+    value, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    rank = np.cumsum(seen > 1) - 1
+    own, column = own[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    out = np.zeros((m, m), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, block):
+        lo, hi = np.searchsorted(column, [at, at + block])
+        part = np.zeros((m, block), np.float32)
+        part[own[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
 
 
-def _likely(least: int, ratio: float):
-    """Filters (a, b, two sizes, two sketches) by what the sketches allow."""
+def _compared(numerator: int, denominator: int):
+    """Rows (node, sid, comp, set) sorted by node: every pair of a node on its full sets, and one
+    link for each two components that a pair joins."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (4, 5))
-            n, m = np.asarray(b.column(2)), np.asarray(b.column(3))
-            ok = ((x == y).sum(1) >= least) & (np.minimum(n, m) >= ratio * np.maximum(n, m) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+        for rows in _groups(batches, 0):
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
+            same, n = intersections(sets), np.array([len(x) for x in sets], np.float64)
+            found: list[np.ndarray] = []
+            for i in range(len(rows)):
+                j = np.nonzero((comp > comp[i]) & (denominator * same[i] >= numerator * (n[i] + n - same[i]) - 1e-6))[0]
+                if len(j):
+                    found.append(np.stack([np.full(len(j), i), j], 1))
+            if found:
+                pairs = np.concatenate(found)
+                key = comp[pairs[:, 0]].astype(np.int64) << 32 | comp[pairs[:, 1]]
+                pairs = pairs[np.unique(key, return_index=True)[1]]
+                yield _pairs([(rows[i][1], rows[j][1]) for i, j in pairs.tolist()])
 
     return run
 
 
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["a", "b"])
+
+
 def _confirmed(numerator: int, denominator: int):
     """Rows (group, is_centre, a, sid, set), a group's centre first: links that the full sets bear."""
 
@@ -250,10 +284,28 @@ def _set_rows(width: int):
     return run
 
 
-def _nodes(members: DataFrame, coordinates: list[int], path) -> DataFrame:
-    """Rows (node, sid) of members (…, sid, sig), a node for each coordinate's value."""
-    each = F.array(*[F.xxhash64(path, F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in coordinates])
-    return members.select(F.explode(each).alias("node"), "sid")
+def _leaves(shape: DataFrame, trees: int) -> DataFrame:
+    """Stored (node, sid) of the trees' leaves of two members or more.
+
+    A tree begins with a coordinate of its own; a node of more than `MOST_MEMBERS` branches by
+    further coordinates of its path, down to `MOST_DEPTH`, where what is still large is a leaf.
+    """
+    path, level, found = F.lit(0), shape, None
+    coordinates = list(range(trees))
+    for depth in range(MOST_DEPTH):
+        value = F.array(*[F.xxhash64(path, F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in coordinates])
+        rows = stored(level.select(F.explode(value).alias("node"), "sid"), "nodes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        several = stored(rows.join(sizes, "node"), "several")
+        large = several.filter(F.col("size") > MOST_MEMBERS).drop("size")
+        last = depth == MOST_DEPTH - 1 or large.isEmpty()
+        leaf = several.drop("size") if last else several.filter(F.col("size") <= MOST_MEMBERS).drop("size")
+        found = leaf if found is None else found.union(leaf)
+        if last:
+            return found
+        level, path = large.join(shape.select("sid", "sig"), "sid"), F.col("node")
+        coordinates = [k % COORDINATES for k in range(trees + depth * BRANCHES, trees + (depth + 1) * BRANCHES)]
+    return found
 
 
 def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -273,60 +325,29 @@ def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
         .agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "classes",
     )
-    start = _nodes(classes, list(range(trees)), F.lit(0))
-    sizes = start.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     shape = classes.select("sid", "n", "sig")
-    top = stored(start.join(sizes, "node").join(shape, "sid").select("node", "sid", "n", "sig", "size"), "nodes")
-    small, large = top.filter(F.col("size") <= SMALL_NODE), top.filter(F.col("size") > SMALL_NODE)
-
-    def ordered(nodes: DataFrame, *more: str) -> DataFrame:
-        return nodes.select("node", "sid", "n", "sig", *more).repartition("node").sortWithinPartitions("node", "sid")
-
-    def pivots(nodes: DataFrame, depth: int) -> DataFrame:
-        """Each member of a large node with the node's pivot, where sketches allow a link."""
-        chosen = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("sid", F.lit(depth)).alias("h"), F.col("sid").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"))).alias("p"))
-        both = nodes.join(chosen, "node").filter("sid != p.a")
-        if "comp" in nodes.columns:
-            home = nodes.select("node", F.col("sid").alias("at"), F.col("comp").alias("acomp"))
-            both = both.join(home, (both["node"] == home["node"]) & (both["p.a"] == home["at"])).filter("comp != acomp")
-        return both.select("p.a", F.col("sid").alias("b"), "p.an", "n", "p.asig", "sig").mapInArrow(_likely(least, threshold), "a binary, b binary")
-
-    def children(nodes: DataFrame, depth: int) -> DataFrame:
-        """Members of large nodes again, in the nodes of the next coordinates of their path."""
-        from_ = trees + (depth - 1) * BRANCHES
-        down = _nodes(nodes, [k % COORDINATES for k in range(from_, from_ + BRANCHES)], F.col("node"))
-        return stored(down, "children")
-
-    below = children(large, 1)
-    paired = below.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    pairs = stored(ordered(small).mapInArrow(_stars(least, threshold), "a binary, b binary").union(pivots(large, 0)).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(below.join(paired, "node").select("sid")).distinct()
-    wanted = ends.join(classes, "sid").select("sid", "rep.doc_id", "rep.row_key")
-    texts = base.join(wanted, (base["row_key"] == wanted["row_key"]) & base["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "text")
+    nodes = _leaves(shape, trees)
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node", "sid")
+
+    leaves = ordered(nodes.join(shape, "sid").select("node", "sid", "n", "sig"))
+    pairs = stored(leaves.mapInArrow(_stars(least, threshold), "a binary, b binary").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = stored(ends.join(classes, "sid").select("sid", F.col("rep.doc_id").alias("d"), F.col("rep.row_key").alias("k")), "wanted")
+    some, _ = split_by_keys(base, wanted.select(F.col("k").alias("row_key")).distinct())
+    texts = some.join(wanted, (some["row_key"] == wanted["k"]) & some["doc_id"].eqNullSafe(wanted["d"])).select("sid", "text")
     sets = stored(texts.mapInArrow(_set_rows(width), "sid binary, set binary"), "sets", "lz4")
     links = stored(confirm(pairs, sets, numerator, denominator), "links")
-    labels, tested = components(links), pairs
-    open_small, open_all = small.select("node", "sid"), below
-    for depth in range(2, MOST_DEPTH + 1):
-        members = open_all if depth > 2 else open_all.union(open_small)
-        known = members.join(labels, members["sid"] == labels["v"], "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
-        state = known.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("size > 1 and lo != hi").select("node", "size")
-        now = stored(known.join(state, "node").join(shape, "sid").select("node", "sid", "n", "sig", "comp", "size"), "open")
-        if now.isEmpty():
-            break
-        last = depth == MOST_DEPTH
-        few = now if last else now.filter(F.col("size") <= SMALL_NODE)
-        many = now.filter("false") if last else now.filter(F.col("size") > SMALL_NODE)
-        more = ordered(few, "comp").mapInArrow(_crossing(least, threshold), "a binary, b binary").union(pivots(many, depth))
-        new = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(confirm(new, sets, numerator, denominator), "links")
-        links = links.union(found)
-        if not found.isEmpty():
-            labels = components(links)
-        tested = tested.union(new)
-        if many.isEmpty():
-            break
-        open_all = children(many, depth)
+    labels = components(links)
+    known = nodes.join(ends, "sid").join(labels, F.col("sid") == F.col("v"), "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
+    mixed = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("node")
+    open_ = stored(known.join(mixed, "node"), "open")
+    who = ordered(open_.join(shape, "sid").select("node", "sid", "n", "sig", "comp")).mapInArrow(_undecided(least, threshold), "node long, sid binary")
+    asked = open_.join(who, ["node", "sid"]).join(sets, "sid").select("node", "sid", "comp", "set")
+    more = stored(ordered(asked).mapInArrow(_compared(numerator, denominator), "a binary, b binary"), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     return described.drop("sig"), labels
 
 
