@@ -29,7 +29,9 @@ from .suffixes import suffix_array
 LENGTH, GRAM = 400, 128
 #: Surroundings of one anchor beyond which they are dealt out by what they share around it; shares
 #: of the starts of a string that each such deal has; bytes of text in a suffix sort.
-HOT, DEALS, BLOCK = 2000, 8, 1 << 20
+HOT, DEALS, BLOCK = 1000, 8, 1 << 20
+#: One anchor in so many begins a cluster, wherever it stands, so that clusters stay short.
+CUT = 8
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95 | 1
 _tables: list[np.ndarray] = []
@@ -272,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     )
     of_text = W.partitionBy("doc_id", "row_key")
     before = of_text.orderBy("place", "anchor")
-    gap = F.coalesce(F.col("place") - F.lag("place").over(before) >= length, F.lit(True))
+    gap = F.coalesce(F.col("place") - F.lag("place").over(before) >= length, F.lit(True)) | (F.pmod("anchor", F.lit(CUT)) == 0)
     stretch = asked.filter("not hot").withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(before))
     head = F.min("anchor").over(W.partitionBy("doc_id", "row_key", "stretch"))
     cluster = components(stretch.select("anchor", head.alias("a")).select("a", F.col("anchor").alias("b")).distinct())

@@ -148,7 +148,7 @@ def _sorted_turns(text: np.ndarray, kind: np.ndarray, star: np.ndarray, cap: int
     """S* suffixes in order, and the common prefix of each with the one before."""
     m, n = len(star), len(text)
     size = np.minimum(np.append(star[1:], n - 1) - star + 1, cap + 2)
-    symbol = text.astype(np.int64) * 2 + kind
+    symbol = text * 2 + kind.astype(np.int32)
 
     def word(sub: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(sub), np.int64)
@@ -211,7 +211,7 @@ def suffix_array(text: np.ndarray, cap: int, memory: int = 64 << 20) -> Iterator
     star = np.nonzero(kind[1:] & ~kind[:-1])[0] + 1
     if not len(star) or star[-1] != n - 1:
         star = np.append(star, n - 1)
-    turns, turn_lcp = _sorted_turns(text, kind.astype(np.int64), star, cap)
+    turns, turn_lcp = _sorted_turns(text, kind, star, cap)
     edge = np.searchsorted(text[turns], np.arange(sigma + 1))
     shelf = Shelf(memory)
     try:
