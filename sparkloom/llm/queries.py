@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, neardup, packing, quality, sharding, store, substrings, topk
+from . import ann, bpe, lines, neardup, packing, quality, sharding, store, substrings, topk
 from .common import documents
 from .tokens import vocabulary_path
 
@@ -19,6 +20,11 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), n_shards=40)
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_suffix_array_dedup,
         op2_bpe_roundtrip,
+        op3_line_dedup,
         op4_virtual_slot_sharding,
         op5_chosen_path_neardup,
         op6_pattern_packing,
