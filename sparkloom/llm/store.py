@@ -75,33 +75,47 @@ ENCODED = f"doc_id long, row_key long, n_tokens long, root binary, chunks {CHUNK
 def _encode(path: str, end_id: int):
     """Rows of two kinds: a document's recipe, or a chunk that the task has not met before."""
 
+    kinds = {"doc_id": pa.int64(), "row_key": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "chunks": pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())])), "digest": pa.binary(), "n": pa.int32(), "data": pa.binary()}
+
+    def batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        """Columns that are not given are null."""
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, t)) for k, t in kinds.items()], list(kinds))
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))), ("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])
         enc, tail, met = encoder(path), np.array([end_id], "<u4").tobytes(), set()
         for part in slices(batches):
-            rows: list[dict] = []
             raws = [raw + tail for raw in enc.encode(to_bytes(part.column(1)))]
             every = np.frombuffer(b"".join(raws), "<u4")
             ends = np.cumsum([len(raw) // 4 for raw in raws])
             marks = marks_of(every)
             of_doc = np.split(marks, np.searchsorted(marks, ends[:-1], side="right"))
+            names, sizes, roots, bounds = [], [], [], [0]
+            new_names, new_sizes, bodies = [], [], []
             first = 0
-            for doc_id, key, end, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ends.tolist(), of_doc):
+            for end, own in zip(ends.tolist(), of_doc):
                 ids, begin, first = every[first:end], first, end
                 data = ids.astype("<u2") if ids.max() < 65536 else ids
-                at, refs, names = 0, [], []
+                width, raw, at = data.itemsize, data.tobytes(), 0
                 for stop in cut_points(len(ids), (own - begin).tolist()):
-                    body = data[at:stop].tobytes()
-                    name = hashlib.blake2b(body, digest_size=16, key=bytes([data.itemsize])).digest()
+                    body = raw[at * width : stop * width]
+                    name = hashlib.blake2b(body, digest_size=16, key=bytes([width])).digest()
                     names.append(name)
-                    refs.append({"digest": name, "n": stop - at})
+                    sizes.append(stop - at)
                     if name not in met:
                         if len(met) < 200_000:
                             met.add(name)
-                        rows.append({"digest": name, "n": stop - at, "data": body})
+                        new_names.append(name)
+                        new_sizes.append(stop - at)
+                        bodies.append(body)
                     at = stop
-                rows.append({"doc_id": doc_id, "row_key": key, "n_tokens": len(ids), "root": merkle_root(names), "chunks": refs})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                roots.append(merkle_root(names[bounds[-1] :]))
+                bounds.append(len(names))
+            refs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"])
+            chunks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), refs)
+            counts = pa.array(np.diff(ends, prepend=0))
+            yield batch(len(raws), doc_id=part.column(0), row_key=part.column(2), n_tokens=counts, root=pa.array(roots, pa.binary()), chunks=chunks)
+            if bodies:
+                yield batch(len(bodies), digest=pa.array(new_names, pa.binary()), n=pa.array(new_sizes, pa.int32()), data=pa.array(bodies, pa.binary()))
 
     return run
 
@@ -137,7 +151,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     chunk met in thousands of copies leaves each task once before the shuffle by digest.
     """
     base = texts_of(docs).withColumn("row_key", text_key())
-    both = stored(base.mapInArrow(_encode(tokenizer_path, end_id), ENCODED), "encoded")
+    both = stored(base.mapInArrow(_encode(tokenizer_path, end_id), ENCODED), "encoded", "lz4")
     found = both.filter("digest is not null").select("digest", "n", "data").repartition("digest")
     found.mapInArrow(_unique, "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = both.filter("digest is null").select("doc_id", "row_key", "n_tokens", "root", "chunks")
