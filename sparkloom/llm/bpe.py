@@ -8,6 +8,7 @@ from the lowest, and a merge touches its two neighbours alone, whose new pairs e
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -24,7 +25,10 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class MergeReplay:
     """Encodes pieces of text by the ranks of a tiktoken file."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 800_000):
+        import regex
+
+        self.cut = regex.compile(SPLIT).findall
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {r: t for t, r in self.ranks.items()}
@@ -35,7 +39,7 @@ class MergeReplay:
             if len(t) == 2:
                 self.first[t[0] << 8 | t[1]] = r
         self.pairs: dict[int, int] = {}
-        self.known: dict[str, tuple[str, int]] = {}
+        self.known: dict[str, str] = {}
         self.most_pieces = most_pieces
 
     def pair(self, a: int, b: int) -> int:
@@ -133,20 +137,23 @@ class MergeReplay:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        """Pieces not known yet; longer ones are forgotten when `most_pieces` are held."""
+        new = pieces.difference(self.known)
         if len(self.known) + len(new) > self.most_pieces:
-            self.known.clear()
-            new = list(pieces)
-        whole, parts = self.ranks, []
+            self.known = {p: x for p, x in self.known.items() if len(p) < 6}
+            if len(self.known) > self.most_pieces // 2:
+                self.known = {}
+            new = pieces.difference(self.known)
+        whole, names, parts = self.ranks, [], []
         for p in new:
             b = p.encode()
             r = whole.get(b)
             if r is None:
-                parts.append((p, b))
+                names.append(p)
+                parts.append(b)
             else:
-                self.known[p] = (str(r), 1)
-        for (p, _), ids in zip(parts, self.replay([b for _, b in parts])):
-            self.known[p] = (",".join(map(str, ids)), len(ids))
+                self.known[p] = str(r)
+        self.known.update([(p, ",".join(map(str, ids))) for p, ids in zip(names, self.replay(parts))])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of whole texts."""
@@ -154,17 +161,23 @@ class MergeReplay:
 
     def lines(self, texts: list[str]) -> list[tuple[str, int]]:
         """Each text's decimal ids joined by commas, and their number."""
-        import regex
-
-        cut = regex.compile(SPLIT)
-        split = [cut.findall(t) for t in texts]
-        self.learn({p for pieces in split for p in pieces})
-        known = self.known
-        out = []
-        for pieces in split:
-            got = [known[p] for p in pieces]
-            out.append((",".join([x for x, _ in got]), sum([k for _, k in got])))
-        return out
+        running = gc.isenabled()
+        gc.disable()  # all that is made here goes by its reference count
+        try:
+            return self._lines(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _lines(self, texts: list[str]) -> list[tuple[str, int]]:
+        split = [self.cut(t) for t in texts]
+        pieces: set[str] = set()
+        for ps in split:
+            pieces.update(ps)
+        self.learn(pieces)
+        find = self.known.__getitem__
+        lines = [",".join(map(find, ps)) for ps in split]
+        return [(x, x.count(",") + 1 if x else 0) for x in lines]
 
     def decode(self, line: str) -> bytes:
         """The bytes of decimal ids joined by commas."""
