@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of
+from .common import slices, texts_of, worker_cache
 
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -185,13 +185,12 @@ class MergeReplay:
         return b"".join([token[x] for x in map(int, line.split(","))]) if line else b""
 
 
-_replays: dict[str, MergeReplay] = {}
-
-
 def replay_of(path: str) -> MergeReplay:
-    if path not in _replays:
-        _replays[path] = MergeReplay(path)
-    return _replays[path]
+    """One for each Python worker."""
+    cache = worker_cache("pieces")
+    if path not in cache:
+        cache[path] = MergeReplay(path)
+    return cache[path]
 
 
 def encode_texts(docs: DataFrame, ranks_path: str) -> DataFrame:

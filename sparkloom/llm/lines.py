@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_by_keys, stored, text_key
+from .common import bound_batches, split_by_keys, stored, text_key, worker_cache
 
 LEAST_CHARS = 20
 _U = np.uint64
@@ -160,6 +160,7 @@ def without_lines(text: Column, removed: Column) -> Column:
         return "\n".join([x for i, x in enumerate(t.split("\n")) if i not in out])
 
     def run(text: pd.Series, removed: pd.Series) -> pd.Series:
+        worker_cache("")
         return pd.Series([None if t is None else kept(t, g) for t, g in zip(text, removed)], dtype=object)
 
     return F.pandas_udf(run, "string")(text, removed)
@@ -176,6 +177,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = Tr
     in doc_id and text count as one document and share their result; an empty table gives an
     empty result. No row goes, even if all its lines do.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
     removed = removed_lines(base.select("doc_id", "row_key", "text"), least_chars, near)
     touched, clean = split_by_keys(base, removed.select(F.col("k").alias("row_key")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes
+from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes, worker_cache
 from .graph import components
 
 #: Minwise values of a sketch; members beyond which a node branches again; by how many coordinates
@@ -110,6 +110,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 def _describe(width: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for part in slices(batches, 1 << 20):
             sets = shingle_sets(to_bytes(part.column(1)), width)
             sig = sketches(sets)

@@ -70,8 +70,8 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 150) -
 def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, count, first sequence, offset) runs that place every piece.
 
-    Pattern counts are rounded down to what the histogram still supplies; the rest go longest
-    first into the fullest sequence with room, many alike at a time.
+    Pattern counts are rounded, as far as the histogram still supplies them, and patterns that fill
+    a sequence best are taken first; the rest go longest first into the fullest sequence with room, many alike at a time.
     """
     left = np.zeros(capacity + 1)
     for length, n in histogram.items():
@@ -96,11 +96,10 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
 
     patterns = enumerate_patterns(np.nonzero(left)[0], capacity) if left.any() else np.zeros((0, 4), int)
     counts = fit_counts(patterns, left)
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < 1:
-            break
+    order = np.lexsort((-counts, capacity - patterns.sum(1)))  # those that waste least come first
+    for k in order[counts[order] >= 0.5]:
         parts = [int(p) for p in patterns[k] if p]
-        n = int(min(counts[k], *(left[p] // parts.count(p) for p in set(parts))))
+        n = int(min(np.rint(counts[k]), *(left[p] // parts.count(p) for p in set(parts))))
         if n < 1:
             continue
         offset = 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, to_bytes
+from .common import slices, texts_of, to_bytes, worker_cache
 
 CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 2, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
@@ -200,6 +200,7 @@ def score(docs: DataFrame, net: ByteNet | float, keep: tuple[str, ...] = ()) ->
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         net = shared.value
         for part in slices(batches, 1 << 20):
             texts = to_bytes(part.column(1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lines, neardup, packing, quality, substrings
-from .common import split_by_keys, stored, text_key
+from .common import bound_batches, split_by_keys, stored, text_key, worker_cache
 from .tokens import vocabulary_path
 
 
@@ -21,6 +21,7 @@ def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_scores(net: quality.ByteNet | float, text: Column) -> Column:
     def run(text: pd.Series) -> pd.Series:
+        worker_cache("")
         if not isinstance(net, quality.ByteNet):
             return pd.Series(np.full(len(text), net))
         raw = [(t or "").encode() for t in text]
@@ -79,6 +80,7 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that strings of 400 bytes repeat anywhere."""
+    bound_batches(spark)
     base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
     spans = substrings.repeated_spans(base.select("doc_id", "text", "row_key"), substrings.LENGTH)
     per = stored(spans.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes
+from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes, worker_cache
 from .graph import components
 from .suffixes import suffix_array
 
@@ -93,6 +93,7 @@ def anchors(ends: np.ndarray, hashes: Hashes, length: int, gram: int) -> tuple[n
 
 def _emit_anchors(length: int, gram: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for part in slices(batches, 1 << 20):
             texts = to_bytes(part.column(1))
             text = np.frombuffer(b"".join(texts), np.uint8)

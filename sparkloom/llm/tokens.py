@@ -7,6 +7,8 @@ import os
 
 import numpy as np
 
+from .common import worker_cache
+
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -138,11 +140,9 @@ class WordEncoder:
         return [b"".join(map(find, ws)) for ws in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    cache = worker_cache("words")
+    if path not in cache:
+        cache[path] = WordEncoder(path)
+    return cache[path]
