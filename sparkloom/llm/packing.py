@@ -24,9 +24,9 @@ CAPACITY, END_ID, BUCKETS = 2048, 0, 32
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 
 
-def enumerate_patterns(lengths: np.ndarray, capacity: int, spread: int = 48) -> np.ndarray:
-    """Patterns of one to four lengths in descending order, 0 for none, that fill a sequence as
-    well as the lengths at hand allow: for each first length, second and third lengths spread
+def enumerate_patterns(lengths: np.ndarray, capacity: int, waste: int = 0, spread: int = 48) -> np.ndarray:
+    """Patterns of one to four lengths in descending order, 0 for none, that fill a sequence but
+    for `waste` places (others are left to the packing of what remains): for each first length, second and third lengths spread
     over those that fit, then the longest that still fits."""
     lengths = np.sort(lengths)
 
@@ -46,7 +46,7 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int, spread: int = 48) ->
         d = longest(capacity - a - b - c, c)
         rows.append(np.stack([a, b, np.where(b > 0, c, 0), np.where((b > 0) & (c > 0), d, 0)], 1))
     out = np.unique(np.concatenate(rows), axis=0)
-    return out[out.sum(1) >= capacity * 0.98]
+    return out[out.sum(1) >= capacity - waste]
 
 
 def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
@@ -68,10 +68,17 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 150) -
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, count, first sequence, offset) runs that place every piece.
+    """(length, first rank, count, first sequence, offset) runs that place every piece, in as few
+    sequences as patterns without waste, with a little, or with more of it lead to."""
+    plans = [_planned(histogram, capacity, w) for w in (0, capacity // 512, capacity // 50)]
+    return min(plans, key=lambda runs: max((r[2] + r[3] for r in runs), default=0))
 
-    Pattern counts are rounded, as far as the histogram still supplies them, and patterns that fill
-    a sequence best are taken first; the rest go longest first into the fullest sequence with room, many alike at a time.
+
+def _planned(histogram: dict[int, int], capacity: int, waste: int) -> list[tuple[int, int, int, int, int]]:
+    """A plan by patterns of bounded waste.
+
+    Pattern counts are rounded, as far as the histogram still supplies them; the rest go longest
+    first into the fullest sequence with room, many alike at a time.
     """
     left = np.zeros(capacity + 1)
     for length, n in histogram.items():
@@ -94,9 +101,9 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
                 insort(rooms, room)
             bins[room].append((sequence, count))
 
-    patterns = enumerate_patterns(np.nonzero(left)[0], capacity) if left.any() else np.zeros((0, 4), int)
+    patterns = enumerate_patterns(np.nonzero(left)[0], capacity, waste) if left.any() else np.zeros((0, 4), int)
     counts = fit_counts(patterns, left)
-    order = np.lexsort((-counts, capacity - patterns.sum(1)))  # those that waste least come first
+    order = np.argsort(-counts, kind="stable")
     for k in order[counts[order] >= 0.5]:
         parts = [int(p) for p in patterns[k] if p]
         n = int(min(np.rint(counts[k]), *(left[p] // parts.count(p) for p in set(parts))))
