@@ -23,7 +23,7 @@ from .common import new_folder, slices, stored, text_key, texts_of, to_bytes
 from .tokens import encoder
 
 #: Ids in a rolling window, and of a chunk on average, at least and at most: about 4 kB each.
-WINDOW, AVERAGE, LEAST, MOST = 16, 2048, 512, 8192
+WINDOW, AVERAGE, LEAST, MOST = 8, 2048, 512, 8192
 CHUNK_REF = "array<struct<digest:binary,n:int>>"
 END_ID = 1
 

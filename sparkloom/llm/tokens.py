@@ -34,7 +34,7 @@ class WordEncoder:
     Longer words are forgotten when `most_words` are held.
     """
 
-    def __init__(self, path: str, most_words: int = 1_600_000):
+    def __init__(self, path: str, most_words: int = 2_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
