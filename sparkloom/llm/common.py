@@ -31,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -43,10 +45,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made by `new_folder`, when no plan reads it any more."""
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+_made: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the stored tables of this session and returns their number: to be called when
+    results are written, as lazy ones still read them."""
+    paths, _made[:] = _made[:], []
+    for path in paths:
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    return len(paths)
 
 
 _caches: dict[str, dict] = {}

@@ -51,3 +51,12 @@ def test_clean_documents_stay(spark):
     kept = stages.keep_good(spark, docs, "/root/testdata/sf0.01").select("doc_id")
     good = labels.filter("quality = 1")
     assert good.join(kept, "doc_id").count() >= 0.98 * good.count()
+
+
+def test_sweep_deletes_what_was_stored(spark):
+    from sparkloom.llm import common
+
+    path = common.stored(spark.range(3), "three").inputFiles()[0]
+    assert common.sweep(spark) >= 1 and common.sweep(spark) == 0
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to)
