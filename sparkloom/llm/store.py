@@ -24,6 +24,8 @@ from .tokens import encoder
 
 #: Ids in a rolling window, and of a chunk on average, at least and at most: about 4 kB each.
 WINDOW, AVERAGE, LEAST, MOST = 8, 2048, 512, 8192
+#: Words that a worker remembers while it encodes a store: nothing else needs its memory then.
+MOST_WORDS = 1_800_000
 CHUNK_REF = "array<struct<digest:binary,n:int>>"
 END_ID = 1
 
@@ -82,7 +84,7 @@ def _encode(path: str, end_id: int):
         return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, t)) for k, t in kinds.items()], list(kinds))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, tail, met = encoder(path), np.array([end_id], "<u4").tobytes(), set()
+        enc, tail, met = encoder(path, MOST_WORDS), np.array([end_id], "<u4").tobytes(), set()
         for part in slices(batches):
             raws = [raw + tail for raw in enc.encode(to_bytes(part.column(1)))]
             every = np.frombuffer(b"".join(raws), "<u4")

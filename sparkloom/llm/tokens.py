@@ -23,6 +23,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[\x21-\x3b\x3d-\x7e\xa1-\u012f\u0131-\u017f]+"
 
 
+#: Words that a worker remembers: about 180 bytes each.
+MOST_WORDS = 700_000
+
+
 class WordEncoder:
     """Encodes by `tokenizers`, as the library would encode each whole text, once per distinct word.
 
@@ -34,7 +38,7 @@ class WordEncoder:
     Longer words are forgotten when `most_words` are held.
     """
 
-    def __init__(self, path: str, most_words: int = 2_200_000):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -140,9 +144,10 @@ class WordEncoder:
         return [b"".join(map(find, ws)) for ws in split]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most_words: int = MOST_WORDS) -> WordEncoder:
     """One for each Python worker."""
     cache = worker_cache("words")
     if path not in cache:
         cache[path] = WordEncoder(path)
+    cache[path].most_words = most_words
     return cache[path]
