@@ -37,8 +37,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that come earlier in the corpus."""
-    return _with_text(lines.dedup_lines(docs), docs.columns)
+    """Documents without the lines that come earlier in the corpus. One that loses lines and has
+    no text left is a copy of what came before, and goes."""
+    left = lines.dedup_lines(docs)
+    return _with_text(left.filter((F.col("n_removed") == 0) | (lines.normal_form(F.col("text")) != "")), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

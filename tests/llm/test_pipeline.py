@@ -25,6 +25,12 @@ def test_one_of_each_group_stays(spark, docs, corpus):
     assert ids.count(500) == 2 and {400, 401, 402, 600, 601} <= set(ids) and ids.count(None) == 2
 
 
+def test_documents_of_old_lines_go(spark, docs, corpus):
+    ids = [r["doc_id"] for r in stages.drop_lines(spark, docs, SF).collect()]
+    assert [i for i in ids if i is not None and 100 <= i < 130] == [100]
+    assert {400, 401, 402, 403, 404, 405} <= set(ids) and set(range(40)) <= set(ids)
+
+
 def test_repeats_go_and_rows_stay(spark, docs, corpus):
     got = {r["doc_id"]: r for r in stages.drop_repeats(spark, docs, SF).collect()}
     assert len(got) == len({i for i, _ in corpus})
