@@ -71,7 +71,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_KEYS = ", ".join(f"'{side[0]}' || {h} || ':' || {side}(t, {h})" for side in ("left", "right") for h in ("(n // 2)", "((n + 1) // 2)"))
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    l AS (SELECT doc_id, i, raw, lower(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS t FROM r),
+    f AS (SELECT t, len(t) AS n, min(doc_id * 1000000 + i) AS o FROM l WHERE len(t) >= 20 GROUP BY t),
+    k AS (SELECT t, n, o, unnest(list_distinct([{_KEYS}])) AS h FROM f),
+    c AS (SELECT DISTINCT b.t FROM k a JOIN k b ON a.h = b.h WHERE a.o < b.o AND abs(a.n - b.n) <= 1 AND levenshtein(a.t, b.t) <= 1),
+    g AS (SELECT l.*, f.t IS NOT NULL AND (f.o <> l.doc_id * 1000000 + l.i OR c.t IS NOT NULL) AS gone FROM l LEFT JOIN f ON l.t = f.t LEFT JOIN c ON l.t = c.t),
+    s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN s USING (doc_id)""",
     "op5_chosen_path_neardup": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
