@@ -17,9 +17,8 @@ def clamp_score(dup_ratio: Column, dead_ratio: Column, gods: Column, cycles: Col
 
 def health(total_functions: DataFrame, dead: DataFrame, duplicates: DataFrame, gods: DataFrame, cycles: DataFrame) -> DataFrame:
     """One row from one-row tables, each with a column n: score, ratios and counts."""
-    row = total_functions.select(F.col("n").alias("fn"))
-    for name, df in (("dead", dead), ("dup", duplicates), ("gods", gods), ("cycles", cycles)):
-        row = row.crossJoin(df.select(F.col("n").alias(name)))  # of single rows
+    parts = {"dead": dead, "dup": duplicates, "gods": gods, "cycles": cycles}
+    row = total_functions.select(F.col("n").alias("fn"), *[df.select("n").scalar().alias(name) for name, df in parts.items()])
     least = F.greatest(F.col("fn"), F.lit(1))
     dead_ratio, dup_ratio = F.col("dead") / least, F.col("dup") / least
     return row.select(
@@ -70,7 +69,7 @@ def risk_of(targets: DataFrame, edges: DataFrame, nodes: DataFrame, cycle_files:
         out = out.join(by_test, F.col("symbol") == F.col("_s"), "left").drop("_s")
     else:
         tests = nodes.filter(F.lower("file").contains("test")).agg(F.min(stem(F.col("file"))).alias("_lo"), F.max(stem(F.col("file"))).alias("_hi"))
-        out = out.crossJoin(tests)  # a single row
+        out = out.withColumns({c: tests.select(c).scalar() for c in ("_lo", "_hi")})
     own = stem(F.col("file"))
     tested = F.coalesce((F.col("_lo") != own) | (F.col("_hi") != own), F.lit(False)) & F.col("_dead").isNull()
     cyc = cycle_files.select(F.col("file").alias("_c")).distinct()
@@ -78,7 +77,7 @@ def risk_of(targets: DataFrame, edges: DataFrame, nodes: DataFrame, cycle_files:
     god = gods.groupBy(F.col("file").alias("_g")).agg(F.min("lines").alias("_lines"))
     out = out.join(god, out["file"] == god["_g"], "left")
     average = summary.select((F.col("total_lines") / F.greatest(F.col("total_files"), F.lit(1))).alias("_average"))
-    out = out.crossJoin(average)  # a single row
+    out = out.withColumn("_average", average.scalar())
     scored = risk(out, F.col("inbound"), tested, F.coalesce(F.col("_lines").cast("double"), F.col("_average")), F.col("_c").isNotNull())
     return scored.select(*targets.columns, "inbound_refs", "has_tests", "lines_changed", "is_circular", "score", "recommendation")
 
@@ -117,7 +116,7 @@ def architecture(files: DataFrame, languages: list[str]) -> DataFrame:
 
     entries = gathered(base.filter(F.col("s").isin(*T.ENTRY_POINT_STEMS)), "file", None, "entry_points")
     modules = base.filter((F.col("s") != "") & ~F.col("s").isin(*T.MODULES_SKIPPED) & ~F.col("s").startswith("test_"))
-    row = shares.crossJoin(entries).crossJoin(gathered(modules, "s", 20, "inferred_modules"))  # single rows
+    row = shares.select("best", entries.scalar().alias("entry_points"), gathered(modules, "s", 20, "inferred_modules").scalar().alias("inferred_modules"))
     spoken = ", ".join(languages) or "unknown language"
     entry_text = F.when(
         F.size("entry_points") > 0,
