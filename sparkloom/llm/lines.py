@@ -153,7 +153,8 @@ def removed_lines(base: DataFrame, least_chars: int = LEAST_CHARS, near: bool =
 
 
 def without_lines(text: Column, removed: Column) -> Column:
-    """The text without the lines of the given numbers."""
+    """The text without the lines of the given numbers. Marked as not deterministic, lest a filter
+    on it be pushed below and run it twice."""
 
     def kept(t: str, gone) -> str:
         out = set(gone)
@@ -163,7 +164,7 @@ def without_lines(text: Column, removed: Column) -> Column:
         worker_cache("")
         return pd.Series([None if t is None else kept(t, g) for t, g in zip(text, removed)], dtype=object)
 
-    return F.pandas_udf(run, "string")(text, removed)
+    return F.pandas_udf(run, "string").asNondeterministic()(text, removed)
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_key, texts_of, to_bytes
-from .tokens import encoder
+from .tokens import MOST_WORDS, encoder
 
 CAPACITY, END_ID, BUCKETS = 2048, 0, 32
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
@@ -140,12 +140,12 @@ def _planned(histogram: dict[int, int], capacity: int, waste: int) -> list[tuple
     return runs
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, most_words: int = MOST_WORDS) -> DataFrame:
     """A row for each piece of each document's ids and its end id; only documents longer than
     the capacity are cut. A null or empty text is a piece of the end id alone."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(tokenizer_path, most_words), np.array([end_id], "<u4").tobytes()
         for part in slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for doc_id, key, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(to_bytes(part.column(1)))):
@@ -198,11 +198,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, most_words: int = MOST_WORDS) -> DataFrame:
     """Packs the ids of every whole text, end_id after each, into sequences of at most `capacity`.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts
     pack as the end id alone, repeated rows are packed each, null doc_ids like any other; an
-    empty table packs into nothing.
+    empty table packs into nothing. `most_words` bounds what a Python worker remembers.
     """
-    return pack_pieces(stored(tokenized_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack_pieces(stored(tokenized_pieces(docs, tokenizer_path, capacity, end_id, most_words), "pieces"), capacity)

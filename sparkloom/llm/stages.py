@@ -94,5 +94,6 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, as `packing.pack_documents` returns them."""
-    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+    """Sequences of at most 2048 tokens, as `packing.pack_documents` returns them. Workers that
+    other stages left behind may be idle beside those at work, so each remembers few words."""
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"), most_words=150_000)
