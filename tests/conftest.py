@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-SF = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")

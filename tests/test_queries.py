@@ -1,11 +1,16 @@
 """Every core query against DuckDB on the smallest tables."""
 
+import ast
+from pathlib import Path
+
 import duckdb
 import pytest
-from conftest import SF
 
 from sparkloom import queries
 
+ROOT = Path(__file__).resolve().parent.parent
+SF = Path("/root/testdata/sf0.001")
+
 
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v
@@ -37,10 +42,6 @@ def test_entry_and_contract(spark):
 
 
 def test_core_never_imports_llm():
-    import ast
-
-    from conftest import ROOT
-
     for p in (ROOT / "sparkloom").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             for node in ast.walk(ast.parse(p.read_text())):
