@@ -168,8 +168,8 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:
-    """(row, doc_id, text, n_lines, n_removed) of every row: `row` holds the columns of `docs`,
-    text is what is left of it.
+    """(row, doc_id, text, n_lines, n_removed) of every row: `row` holds the other columns of
+    `docs`, text is what is left of it.
 
     A line goes if an equal line, or one within an edit of one character, comes earlier: by
     doc_id (null first), then the hash of the text, then the line's number; whether that one stays
@@ -179,7 +179,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, near: bool = Tr
     empty result. No row goes, even if all its lines do.
     """
     bound_batches(docs.sparkSession)
-    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    base = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
     removed = removed_lines(base.select("doc_id", "row_key", "text"), least_chars, near)
     touched, clean = split_by_keys(base, removed.select(F.col("k").alias("row_key")).distinct())
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")

@@ -298,7 +298,7 @@ def _leaves(shape: DataFrame, trees: int) -> DataFrame:
         rows = stored(level.select(F.explode(value).alias("node"), "sid"), "nodes")
         # stored, so that the join has a plain exchange on either side and a hot node can be split
         sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        several = stored(rows.join(sizes, "node"), "several")
+        several = stored(rows.join(sizes.hint("merge"), "node"), "several")
         large = several.filter(F.col("size") > MOST_MEMBERS).drop("size")
         last = depth == MOST_DEPTH - 1 or large.isEmpty()
         leaf = several.drop("size") if last else several.filter(F.col("size") <= MOST_MEMBERS).drop("size")
@@ -345,7 +345,7 @@ def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
     known = nodes.join(ends, "sid").join(labels, F.col("sid") == F.col("v"), "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
     mixed = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("node")
     mixed = stored(mixed, "mixed")
-    open_ = stored(known.join(mixed, "node"), "open")
+    open_ = stored(known.join(mixed.hint("merge"), "node"), "open")
     who = ordered(open_.join(shape, "sid").select("node", "sid", "n", "sig", "comp")).mapInArrow(_undecided(least, threshold), "node long, sid binary")
     asked = open_.join(who, ["node", "sid"]).join(sets, "sid").select("node", "sid", "comp", "set")
     more = stored(ordered(asked).mapInArrow(_compared(numerator, denominator), "a binary, b binary"), "links")

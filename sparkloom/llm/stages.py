@@ -83,7 +83,8 @@ def without_spans(text: Column, spans: Column) -> Column:
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that strings of 400 bytes repeat anywhere."""
     bound_batches(spark)
-    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]  # the text itself moves once
+    base = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key())
     spans = substrings.repeated_spans(base.select("doc_id", "text", "row_key"), substrings.LENGTH)
     per = stored(spans.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     touched, clean = split_by_keys(base, per.select(F.col("k").alias("row_key")).distinct())

@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     every = stored(emitted, "anchors")
     # stored, so that the join has a plain exchange on either side and a hot anchor can be split
     common = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common")
-    met = stored(every.join(common, "anchor"), "met")
+    met = stored(every.join(common.hint("merge"), "anchor"), "met")
     kinds = stored(met.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place", "start", "stop")).alias("one")), "kinds")
     whole = met.join(kinds.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select("doc_id", "row_key", "start", "stop")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
