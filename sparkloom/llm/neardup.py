@@ -2,12 +2,14 @@
 
 Every document becomes a set of shingle hashes and a sketch of minwise values. Trees branch the
 distinct sets by chosen minwise coordinates: sets that share the value of a coordinate share a
-node. Small nodes are compared exhaustively on their sketches; large ones are compared with a
-pivot and branched again by further coordinates. Pairs that pass are confirmed on full sets.
-
-A group of copies never becomes all of its pairs: equal sets are one vertex from the start, each
-round first links members to a centre, and later rounds compare only members that no confirmed
-link has joined yet; a node closes once all of it is one component.
+node. Small nodes are compared exhaustively on their sketches. Members of large ones are first
+linked to a few pivots; what is one component then is done, and the rest branches by further
+coordinates or, where that would not shrink it, is compared in pairs of bounded blocks. Pairs that
+pass are confirmed on full sets.
+
+A group of copies never becomes all of its pairs: equal sets are one vertex from the start, members
+are linked to pivots and centres, and only members that no confirmed link has joined yet are
+compared further; a node closes once all of it is one component.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes, worker_cache
 from .graph import components
 
-#: Minwise values of a sketch; members beyond which a node branches again; by how many coordinates
-#: it then does, and how often at most.
-COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH = 64, 3000, 4, 5
+#: Minwise values of a sketch; members beyond which a node is never compared in one task; by how
+#: many coordinates it branches then, and how often at most; pivots of a large node.
+COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH, PIVOTS = 64, 1000, 4, 5, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -145,7 +147,7 @@ def _members(rows: list[tuple]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _stars(least: int, ratio: float):
-    """In each node stars over the pairs that pass: members hang on the centre that agrees most
+    """In each node stars over the pairs that pass and are of two components: members hang on the centre that agrees most
     with its neighbours; those that it does not reach go on among themselves, or hang on any
     neighbour. So whoever has a pair that passes is in some pair, and a node gives no more pairs
     than it has members."""
@@ -155,6 +157,9 @@ def _stars(least: int, ratio: float):
         for rows in _groups(batches, 0):
             ids, n, sig = _members(rows)
             near = _near(sig, n, least, ratio)
+            comp = np.unique([r[4] for r in rows], return_inverse=True)[1]
+            if comp.max() < len(rows) - 1:
+                near *= comp[:, None] != comp
             left = near.any(1)
             while left.any():
                 at = np.nonzero(left)[0]
@@ -175,6 +180,19 @@ def _stars(least: int, ratio: float):
     return run
 
 
+def _likely(least: int, ratio: float):
+    """Filters (a, b, two sizes, two sketches) by what the sketches allow."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (4, 5))
+            n, m = np.asarray(b.column(2)), np.asarray(b.column(3))
+            ok = ((x == y).sum(1) >= least) & (np.minimum(n, m) >= ratio * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _undecided(least: int, ratio: float):
     """Members of each node that have a pair that passes and that no component holds yet."""
 
@@ -285,27 +303,65 @@ def _set_rows(width: int):
     return run
 
 
-def _leaves(shape: DataFrame, trees: int) -> DataFrame:
-    """Stored (node, sid) of the trees' leaves of two members or more.
+def _blocks(large: DataFrame) -> DataFrame:
+    """(node, sid, comp): members (node, sid, comp) of large nodes again, in a node for each two of
+    its blocks, so that every two members of different components meet in one of bounded size.
 
-    A tree begins with a coordinate of its own; a node of more than `MOST_MEMBERS` branches by
-    further coordinates of its path, down to `MOST_DEPTH`, where what is still large is a leaf.
+    Blocks are dealt by hash. A component that fills several has them for itself, and two of those
+    never meet; so a node that is one component but for a few members costs about its size.
     """
-    path, level, found = F.lit(0), shape, None
-    coordinates = list(range(trees))
+    half = max(1, MOST_MEMBERS // 2)
+    whose = F.coalesce("comp", "sid")
+    filled = large.groupBy("node", whose.alias("own")).agg(F.count("*").alias("filled")).filter(F.col("filled") > half).select("node", "own")
+    own = stored(filled, "filled").withColumn("apart", F.lit(True))
+    put = stored(large.withColumn("own", whose).join(own.hint("merge"), ["node", "own"], "left").withColumn("own", F.when(F.col("apart"), F.col("own")).otherwise(F.lit(b""))).select("node", "sid", "comp", "own"), "put")
+    sizes = stored(put.groupBy("node", "own").agg(F.count("*").alias("n")), "sizes")
+    salt = F.pmod(F.xxhash64("sid", F.lit(5)), F.ceil(F.col("n") / (0.8 * half)))
+    dealt = stored(put.join(sizes.hint("merge"), ["node", "own"]).select("node", "sid", "comp", "own", F.xxhash64("node", "own", salt).alias("block")), "dealt")
+    blocks = stored(dealt.select("node", "own", "block").distinct(), "blocks")
+    a, b = blocks.select("node", F.col("own").alias("x"), F.col("block").alias("a")), blocks.select("node", F.col("own").alias("y"), F.col("block").alias("b"))
+    two = a.join(b, "node").filter((F.col("a") < F.col("b")) & ((F.col("x") != F.col("y")) | (F.col("x") == F.lit(b"")))).select("a", "b", F.xxhash64("a", "b").alias("unit"))
+    two = stored(two, "block-pairs")
+    sides = two.select(F.col("a").alias("block"), "unit").union(two.select("b", "unit"))
+    return dealt.join(sides.hint("merge"), "block").select(F.col("unit").alias("node"), "sid", "comp")
+
+
+def _leaves(shape: DataFrame, trees: int, link=None) -> DataFrame:
+    """Stored (node, sid, comp) of the trees' leaves of two components or more; none has many more
+    than `MOST_MEMBERS` members. comp is null where no link is known yet.
+
+    A tree begins with a coordinate of its own. Members of a larger node are linked to pivots by
+    `link`, from (node, sid) and the depth to components (v, comp). It branches by further
+    coordinates of its path, down to `MOST_DEPTH`; but where it hardly shrank, or is one component
+    with few others, it is compared in blocks at once.
+    """
+    level = shape.select("sid", "sig", F.lit(None).cast("binary").alias("comp"), F.lit(None).cast("long").alias("was"), F.lit(0).alias("path"))
+    found, coordinates = None, list(range(trees))
     for depth in range(MOST_DEPTH):
-        value = F.array(*[F.xxhash64(path, F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in coordinates])
-        rows = stored(level.select(F.explode(value).alias("node"), "sid"), "nodes")
+        value = F.array(*[F.xxhash64("path", F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in coordinates])
+        rows = stored(level.select(F.explode(value).alias("node"), "sid", "comp", "was"), "nodes")
         # stored, so that the join has a plain exchange on either side and a hot node can be split
-        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        mark = F.xxhash64(F.coalesce("comp", "sid"))
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo != hi").select("node", "size"), "sizes")
         several = stored(rows.join(sizes.hint("merge"), "node"), "several")
-        large = several.filter(F.col("size") > MOST_MEMBERS).drop("size")
-        last = depth == MOST_DEPTH - 1 or large.isEmpty()
-        leaf = several.drop("size") if last else several.filter(F.col("size") <= MOST_MEMBERS).drop("size")
+        leaf = several.filter(F.col("size") <= MOST_MEMBERS).select("node", "sid", "comp")
         found = leaf if found is None else found.union(leaf)
-        if last:
+        large = several.filter(F.col("size") > MOST_MEMBERS)
+        if large.isEmpty():
+            return found
+        if link:
+            labels = link(large.select("node", "sid"), depth)
+            large = large.drop("comp").join(labels, large["sid"] == labels["v"], "left").select("node", "sid", "comp", "was")
+        kinds = large.groupBy("node", F.coalesce("comp", "sid").alias("c")).agg(F.count("*").alias("n"))
+        mixed = stored(kinds.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most"), "mixed")
+        large = stored(large.select("node", "sid", "comp", "was").join(mixed.hint("merge"), "node"), "large")
+        whole = (F.col("size") - F.col("most") <= MOST_MEMBERS) | F.coalesce(2 * F.col("size") > F.col("was"), F.lit(False)) | F.lit(depth == MOST_DEPTH - 1)
+        done, rest = large.filter(whole), large.filter(~whole)
+        if not done.isEmpty():
+            found = found.union(stored(_blocks(done.select("node", "sid", "comp")), "units"))
+        if rest.isEmpty():
             return found
-        level, path = large.join(shape.select("sid", "sig"), "sid"), F.col("node")
+        level = rest.join(shape.select("sid", "sig"), "sid").select("sid", "sig", "comp", F.col("size").alias("was"), F.col("node").alias("path"))
         coordinates = [k % COORDINATES for k in range(trees + depth * BRANCHES, trees + (depth + 1) * BRANCHES)]
     return found
 
@@ -328,20 +384,45 @@ def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
         "classes",
     )
     shape = classes.select("sid", "n", "sig")
-    nodes = _leaves(shape, trees)
+    sets: DataFrame | None = None
+    links: DataFrame | None = None
+
+    def linked(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+        """The components once pairs (a, b) are confirmed on the full sets of their ends (sid)."""
+        nonlocal sets, links
+        new = ends if sets is None else ends.join(sets.select("sid"), "sid", "left_anti")
+        wanted = stored(new.join(classes, "sid").select("sid", F.col("rep.doc_id").alias("d"), F.col("rep.row_key").alias("k")), "wanted")
+        some, _ = split_by_keys(base, wanted.select(F.col("k").alias("row_key")).distinct())
+        texts = some.join(wanted, (some["row_key"] == wanted["k"]) & some["doc_id"].eqNullSafe(wanted["d"])).select("sid", "text")
+        more = stored(texts.mapInArrow(_set_rows(width), "sid binary, set binary"), "sets", "lz4")
+        sets = more if sets is None else sets.union(more)
+        sure = stored(confirm(pairs, sets, numerator, denominator), "links")
+        links = sure if links is None else links.union(sure)
+        return components(links)
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+    def pivoted(large: DataFrame, depth: int) -> DataFrame:
+        """Links members of large nodes to their node's pivots, the same ones in all trees."""
+        members = stored(large.join(shape, "sid").select("node", "sid", "n", "sig"), "members")
+        order = F.xxhash64("sid", F.lit(depth))
+        chosen = members.groupBy("node", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("h"), "sid", "n", "sig")).alias("p"))
+        pivots = stored(chosen.select("node", F.col("p.sid").alias("a"), F.col("p.n").alias("an"), F.col("p.sig").alias("asig")), "pivots")
+        both = members.join(pivots.hint("merge"), "node").filter("sid != a").select("a", F.col("sid").alias("b"), "an", "n", "asig", "sig")
+        pairs = stored(both.mapInArrow(_likely(least, threshold), "a binary, b binary").distinct(), "pairs")
+        return linked(pairs, ends_of(pairs))
+
+    nodes = _leaves(shape, trees, pivoted)
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartition("node").sortWithinPartitions("node", "sid")
 
-    leaves = ordered(nodes.join(shape, "sid").select("node", "sid", "n", "sig"))
+    leaves = ordered(nodes.join(shape, "sid").select("node", "sid", "n", "sig", F.coalesce("comp", "sid").alias("comp")))
     pairs = stored(leaves.mapInArrow(_stars(least, threshold), "a binary, b binary").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(classes, "sid").select("sid", F.col("rep.doc_id").alias("d"), F.col("rep.row_key").alias("k")), "wanted")
-    some, _ = split_by_keys(base, wanted.select(F.col("k").alias("row_key")).distinct())
-    texts = some.join(wanted, (some["row_key"] == wanted["k"]) & some["doc_id"].eqNullSafe(wanted["d"])).select("sid", "text")
-    sets = stored(texts.mapInArrow(_set_rows(width), "sid binary, set binary"), "sets", "lz4")
-    links = stored(confirm(pairs, sets, numerator, denominator), "links")
-    labels = components(links)
+    ends = ends_of(pairs)
+    labels = linked(pairs, ends)
+    nodes = nodes.drop("comp")
     known = nodes.join(ends, "sid").join(labels, F.col("sid") == F.col("v"), "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
     mixed = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("node")
     mixed = stored(mixed, "mixed")

@@ -210,6 +210,26 @@ def test_near_duplicates_where_nodes_branch(docs, corpus, monkeypatch):
     same(neardup.near_duplicates(docs, 3, 85, 100).drop("row_key").collect(), graph(corpus, 3, 85, 100))
 
 
+def test_large_nodes_are_compared_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_MEMBERS", 40)
+    sig = np.arange(64, dtype=np.uint32).tobytes()
+    shape = spark.createDataFrame([(bytes([i, 1]), 9, sig) for i in range(200)], "sid binary, n long, sig binary")
+    of_node = defaultdict(set)
+    for r in neardup._leaves(shape, 2).collect():
+        of_node[r["node"]].add(bytes(r["sid"]))
+    assert max(map(len, of_node.values())) <= 60
+    assert len({(a, b) for x in of_node.values() for a in x for b in x if a < b}) == 200 * 199 // 2
+
+
+def test_near_copies_beyond_a_node_are_linked_by_pivots(spark, corpus, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_MEMBERS", 8)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(60)]
+    rows += [(100 + i, " ".join([*words[: 75 + i], *(f"x{i}.{k}" for k in range(30))])) for i in range(30)]
+    docs = spark.createDataFrame([*rows, *corpus], "doc_id long, text string")
+    same(neardup.near_duplicates(docs, 3, 85, 100).drop("row_key").collect(), graph([*rows, *corpus], 3, 85, 100))
+
+
 def test_intersections():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 300, n).astype(np.uint64)) for n in (1, 40, 80, 200, 3)]
