@@ -29,7 +29,8 @@ from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes,
 from .graph import components
 
 #: Minwise values of a sketch; members beyond which a node is never compared in one task; by how
-#: many coordinates it branches then, and how often at most; pivots of a large node.
+#: many coordinates it branches then at least, and in how many levels at most; pivots of a large
+#: node.
 COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH, PIVOTS = 64, 1000, 4, 5, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -326,20 +327,38 @@ def _blocks(large: DataFrame) -> DataFrame:
     return dealt.join(sides.hint("merge"), "block").select(F.col("unit").alias("node"), "sid", "comp")
 
 
-def _leaves(shape: DataFrame, trees: int, link=None) -> DataFrame:
+#: How probable it may be that a pair at the threshold shares no leaf.
+MOST_MISSED = 1e-6
+
+
+def _coordinates(trees: int, threshold: float) -> list[list[list[int]]]:
+    """For each level below the first, for each tree the coordinates that it branches by: its own
+    random order of all but its first, so that no path takes one twice. They are so many that a
+    pair at the threshold is missed with a probability of `MOST_MISSED` even if all its nodes are
+    large, as far as the sketch has coordinates."""
+    levels, differ = MOST_DEPTH - 1, 1 - threshold
+    most = (COORDINATES - 1) // levels
+    n = next((b for b in range(BRANCHES, most) if (differ + threshold * levels * differ**b) ** trees <= MOST_MISSED), most)
+    random = np.random.default_rng(31)
+    orders = [random.permutation([k for k in range(COORDINATES) if k != t]).tolist() for t in range(trees)]
+    return [[order[d * n : (d + 1) * n] for order in orders] for d in range(levels)]
+
+
+def _leaves(shape: DataFrame, trees: int, link=None, threshold: float = 0.8) -> DataFrame:
     """Stored (node, sid, comp) of the trees' leaves of two components or more; none has many more
     than `MOST_MEMBERS` members. comp is null where no link is known yet.
 
     A tree begins with a coordinate of its own. Members of a larger node are linked to pivots by
     `link`, from (node, sid) and the depth to components (v, comp). It branches by further
-    coordinates of its path, down to `MOST_DEPTH`; but where it hardly shrank, or is one component
+    coordinates of its tree, down to `MOST_DEPTH`; but where it hardly shrank, or is one component
     with few others, it is compared in blocks at once.
     """
-    level = shape.select("sid", "sig", F.lit(None).cast("binary").alias("comp"), F.lit(None).cast("long").alias("was"), F.lit(0).alias("path"))
-    found, coordinates = None, list(range(trees))
+    level = shape.select("sid", "sig", F.lit(None).cast("binary").alias("comp"), F.lit(None).cast("long").alias("was"))
+    further = _coordinates(trees, threshold)
+    first = F.array(*[F.struct(F.xxhash64(F.lit(0), F.lit(k), F.substring("sig", 4 * k + 1, 4)).alias("node"), F.lit(k).cast("byte").alias("tree")) for k in range(trees)])
+    found, children = None, first
     for depth in range(MOST_DEPTH):
-        value = F.array(*[F.xxhash64("path", F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in coordinates])
-        rows = stored(level.select(F.explode(value).alias("node"), "sid", "comp", "was"), "nodes")
+        rows = stored(level.select(F.explode(children).alias("x"), "sid", "comp", "was").select("x.node", "x.tree", "sid", "comp", "was"), "nodes")
         # stored, so that the join has a plain exchange on either side and a hot node can be split
         mark = F.xxhash64(F.coalesce("comp", "sid"))
         sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo != hi").select("node", "size"), "sizes")
@@ -351,18 +370,22 @@ def _leaves(shape: DataFrame, trees: int, link=None) -> DataFrame:
             return found
         if link:
             labels = link(large.select("node", "sid"), depth)
-            large = large.drop("comp").join(labels, large["sid"] == labels["v"], "left").select("node", "sid", "comp", "was")
+            large = large.drop("comp").join(labels, large["sid"] == labels["v"], "left").select("node", "tree", "sid", "comp", "was")
         kinds = large.groupBy("node", F.coalesce("comp", "sid").alias("c")).agg(F.count("*").alias("n"))
         mixed = stored(kinds.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most"), "mixed")
-        large = stored(large.select("node", "sid", "comp", "was").join(mixed.hint("merge"), "node"), "large")
+        large = stored(large.select("node", "tree", "sid", "comp", "was").join(mixed.hint("merge"), "node"), "large")
         whole = (F.col("size") - F.col("most") <= MOST_MEMBERS) | F.coalesce(2 * F.col("size") > F.col("was"), F.lit(False)) | F.lit(depth == MOST_DEPTH - 1)
         done, rest = large.filter(whole), large.filter(~whole)
         if not done.isEmpty():
             found = found.union(stored(_blocks(done.select("node", "sid", "comp")), "units"))
         if rest.isEmpty():
             return found
-        level = rest.join(shape.select("sid", "sig"), "sid").select("sid", "sig", "comp", F.col("size").alias("was"), F.col("node").alias("path"))
-        coordinates = [k % COORDINATES for k in range(trees + depth * BRANCHES, trees + (depth + 1) * BRANCHES)]
+        level = rest.join(shape.select("sid", "sig"), "sid").select("node", "tree", "sid", "sig", "comp", F.col("size").alias("was"))
+        each = []
+        for own in zip(*further[depth]):  # the coordinate of each tree
+            k = F.element_at(F.array(*map(F.lit, own)), F.col("tree").cast("int") + 1)
+            each.append(F.struct(F.xxhash64("node", k, F.substring(F.col("sig"), 4 * k + 1, F.lit(4))).alias("node"), "tree"))
+        children = F.array(*each)
     return found
 
 
@@ -373,7 +396,7 @@ def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
     sets, null without words); labels has v (a sid) and comp for sids with any link.
     """
     threshold = numerator / denominator
-    trees = max(2, math.ceil(math.log(1e-6) / math.log(1 - threshold))) if threshold < 1 else 2
+    trees = max(2, math.ceil(math.log(MOST_MISSED) / math.log(1 - threshold))) if threshold < 1 else 2
     least = max(1, int(COORDINATES * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES))))
     base = texts_of(docs).withColumn("row_key", text_key())
     described = stored(base.mapInArrow(_describe(width), "doc_id long, row_key long, n_shingles long, sid binary, sig binary"), "described")
@@ -413,7 +436,7 @@ def link_sets(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
         pairs = stored(both.mapInArrow(_likely(least, threshold), "a binary, b binary").distinct(), "pairs")
         return linked(pairs, ends_of(pairs))
 
-    nodes = _leaves(shape, trees, pivoted)
+    nodes = _leaves(shape, trees, pivoted, threshold)
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartition("node").sortWithinPartitions("node", "sid")

@@ -221,6 +221,25 @@ def test_large_nodes_are_compared_in_bounded_blocks(spark, monkeypatch):
     assert len({(a, b) for x in of_node.values() for a in x for b in x if a < b}) == 200 * 199 // 2
 
 
+def test_trees_branch_by_coordinates_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_MEMBERS", 20)
+    r = np.random.default_rng(6)
+    sigs = r.integers(0, 1 << 32, (62, 64), dtype=np.uint32)
+    sigs[:, :9] = 1  # all are in one large node of every tree
+    sigs[1] = sigs[0]
+    sigs[1, 9:25] += np.uint32(1)  # what all trees once branched by
+    shape = spark.createDataFrame([(bytes([i]), 9, x.tobytes()) for i, x in enumerate(sigs)], "sid binary, n long, sig binary")
+    of_node = defaultdict(set)
+    for row in neardup._leaves(shape, 9).collect():
+        of_node[row["node"]].add(row["sid"][0])
+    assert any({0, 1} <= x for x in of_node.values())
+    for trees, threshold in ((8, 0.85), (9, 0.8), (20, 0.5)):
+        levels = neardup._coordinates(trees, threshold)
+        assert all(len({t, *(k for level in levels for k in level[t])}) == 1 + sum(len(level[t]) for level in levels) for t in range(trees))
+        n = len(levels[0][0])
+        assert (1 - threshold + threshold * len(levels) * (1 - threshold) ** n) ** trees <= 1e-6
+
+
 def test_near_copies_beyond_a_node_are_linked_by_pivots(spark, corpus, monkeypatch):
     monkeypatch.setattr(neardup, "MOST_MEMBERS", 8)
     words = [f"w{k}" for k in range(150)]
