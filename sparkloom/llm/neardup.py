@@ -31,7 +31,7 @@ from .graph import components
 #: Minwise values of a sketch; members beyond which a node is never compared in one task; by how
 #: many coordinates it branches then at least, and in how many levels at most; pivots of a large
 #: node.
-COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH, PIVOTS = 64, 1000, 4, 5, 4
+COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH, PIVOTS = 64, 2000, 4, 5, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
