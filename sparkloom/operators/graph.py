@@ -95,6 +95,54 @@ def list_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
     return found
 
 
+def _least_first(cycle: list[str]) -> list[str]:
+    """A cycle (closed) from its least node on."""
+    at = cycle.index(min(cycle))
+    return [*cycle[at:-1], *cycle[: at + 1]]
+
+
+def _shortest_cycles(edges: list[tuple[str, str]], through: list[str]) -> list[list[str]]:
+    """Shortest cycles through nodes that lie on one, until each is on some."""
+    to: dict[str, list[str]] = {}
+    for a, b in sorted(edges):
+        to.setdefault(a, []).append(b)
+    seen: set[str] = set()
+    out = []
+    for start in sorted(through):
+        if start in seen:
+            continue
+        came: dict[str, str] = {}
+        queue = [start]
+        for node in queue:
+            for nxt in to.get(node, []):
+                if nxt not in came:
+                    came[nxt] = node
+                    queue.append(nxt)
+            if start in came:
+                break
+        if start not in came:
+            continue
+        path = [start, came[start]]
+        while path[-1] != start:
+            path.append(came[path[-1]])
+        out.append(_least_first(path[::-1]))
+        seen.update(path)
+    return out
+
+
+def all_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
+    """(cycle): those of `list_cycles`, and for nodes that are on longer cycles alone a shortest one
+    through each, so that every node that reaches itself is on a listed cycle. The longer ones are
+    sought on the driver, in the trimmed graph (report-sized)."""
+    short = cut_lineage(list_cycles(edges, most_length))
+    on_short = short.select(F.explode("cycle").alias("file")).distinct()
+    left = [r["file"] for r in cycle_members(edges).join(on_short, "file", "left_anti").collect()]
+    if not left:
+        return short
+    core = [(r["from"], r["to"]) for r in trimmed(edges).collect()]
+    return short.union(edges.sparkSession.createDataFrame([(c,) for c in _shortest_cycles(core, left)], short.schema))
+
+
 def first_search_cycles(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     """Compat: a cycle for each edge back into the path of a depth-first walk in node order, on
     the driver (for report-sized graphs); a stack takes the place of recursion."""

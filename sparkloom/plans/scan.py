@@ -123,7 +123,7 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         god_files=symbols.god_files(sizes, F.col("lines"), F.col("exports")),
         nodes=nodes,
         edges=edges,
-        cycles=graph.list_cycles(edges) if mode == "intended" else edges.limit(0),
+        cycles=graph.all_cycles(edges) if mode == "intended" else edges.limit(0),
         subprojects=files.subprojects(listing, mode),
         functions=functions,
         calls=calls,

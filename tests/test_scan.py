@@ -54,6 +54,15 @@ def test_cycles_dotted_and_relative_imports(spark, tree):
     assert [c for c in compat.circular() if "q.py" in c] == [["q.py", "q.py"]]
 
 
+def test_rings_of_any_length_are_listed(spark, tree):
+    files = {f"f{i:02}.py": f"import f{(i + 1) % 11:02}\n" for i in range(11)}
+    files |= {"g0.py": "import g1\n", "g1.py": "import g0\nimport f00\n"}
+    got = scan(spark, tree(files))
+    ring = [f"f{i:02}.py" for i in range(11)]
+    assert got.circular() == [[*ring, ring[0]], ["g0.py", "g1.py", "g0.py"]]
+    assert got.health().first()["circular_count"] == 2
+
+
 def test_depth_first_cycles():
     assert graph.first_search_cycles(["a", "b", "c"], [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("b", "b")]) == [["a", "b", "c", "a"], ["b", "c", "b"], ["b", "b"]]
 
