@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import new_folder, slices, stored, text_key, texts_of, to_bytes
 from .tokens import encoder
 
-#: Ids in a rolling window, and of a chunk on average, at least and at most: about 4 kB each.
-WINDOW, AVERAGE, LEAST, MOST = 8, 2048, 512, 8192
+#: Ids in a rolling window; between marks on average, and of a chunk at least and at most: about 380
+#: ids a chunk, well below the median document (568 on sf0.1), so that near copies share chunks.
+WINDOW, AVERAGE, LEAST, MOST = 8, 256, 128, 1024
 #: Words that a worker remembers while it encodes a store: nothing else needs its memory then.
 MOST_WORDS = 1_800_000
 CHUNK_REF = "array<struct<digest:binary,n:int>>"

@@ -337,6 +337,22 @@ def test_cuts_follow_content():
     assert store.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(whole)
 
 
+def test_short_near_copies_share_chunks():
+    r = np.random.default_rng(12)
+
+    def cut(x):
+        ends = store.cut_points(len(x), store.marks_of(x).tolist())
+        return {x[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends)}
+
+    shared = 0
+    for _ in range(40):
+        a = r.integers(0, 40_000, 568)
+        b = a.copy()
+        b[r.integers(500, 568)] += 1
+        shared += bool(cut(a) & cut(b))
+    assert shared > 20
+
+
 # -- 8 --------------------------------------------------------------------------------------
 
 
