@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts_of, to_bytes, worker_cache
 
-CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 2, 256
+CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 1, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
 #: Bounds of the sample that the model is fitted on: rows of each label, and chunks of each row,
 #: spread evenly over the whole text.

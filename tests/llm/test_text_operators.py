@@ -389,6 +389,14 @@ def test_chunks_cover_the_whole_text():
         assert back == t
 
 
+def test_filters_see_every_place():
+    net = quality.ByteNet.fresh()
+    net.p["filters"][:, 0] = net.p["vectors"][list(b"phrase")].reshape(-1)
+    net.p["filters"][:, 0] -= net.p["filters"][:, 0].mean()
+    pooled = [net.pooled(quality.chunks_of([b"." * n + b"phrase" + b"." * (40 - n)])[0])[0, :-1] for n in (8, 9)]
+    assert np.allclose(*pooled, atol=1e-4)
+
+
 def test_gradients():
     net = quality.ByteNet.fresh()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
