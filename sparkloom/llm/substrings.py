@@ -6,7 +6,8 @@ anchors met twice are looked at. Where everything around an anchor is the same a
 strings through it are repeats. Where it differs, the surroundings (one of each kind) go to a
 shard, where a suffix array by external induced sorting, with common prefixes, tells which strings
 are shared. Anchors that follow each other in some document are one cluster and go to one shard,
-so that what lies between them is sorted once. Every string lies around an anchor, and all places
+so that what lies between them is sorted once; a cluster or a key that too many surroundings have is dealt
+out further, down to single strings. Every string lies around an anchor, and all places
 of an anchor meet, so no repeat is lost.
 """
 
@@ -32,6 +33,9 @@ LENGTH, GRAM = 400, 128
 HOT, DEALS, BLOCK = 1000, 8, 1 << 20
 #: One anchor in so many begins a cluster, wherever it stands, so that clusters stay short.
 CUT = 8
+#: Surroundings that may meet in one task: a larger cluster falls into its anchors, and of a share
+#: of a hot anchor with more, bodies alike are counted and single strings compared by hash.
+CROWD = 2000
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95 | 1
 _tables: list[np.ndarray] = []
@@ -252,6 +256,41 @@ def _sort_shard(length: int):
     return run
 
 
+def _single_strings(length: int):
+    """Rows (doc_id, row_key, base, body) to the hash of each string of `length` bytes, and where
+    it starts."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1 << 20):
+            bodies = part.column(3).to_pylist()
+            sizes = np.array([len(b) for b in bodies])
+            n = np.maximum(sizes - length + 1, 0)
+            own = np.repeat(np.arange(len(bodies)), n)
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(sizes) - sizes)[own] + offset
+            value = Hashes(np.frombuffer(b"".join(bodies), np.uint8)).of(at, at + length)
+            base = np.asarray(part.column(2))[own] + offset
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(base.astype(np.int32))], ["string", "doc_id", "row_key", "start"])
+
+    return run
+
+
+def crowded_spans(rows: DataFrame, length: int) -> DataFrame:
+    """What `_sort_shard` finds, for surroundings of keys that too many have: bodies alike are one
+    from partial sums on, and single strings of the different ones are grouped by hash, so that
+    neither waits for one task."""
+    rows = rows.withColumn("alike", F.xxhash64("body"))
+    kinds = stored(rows.groupBy("key", "alike").agg(F.count("*").alias("n"), F.first(F.struct("doc_id", "row_key", "base", "body")).alias("one")), "bodies")
+    several = stored(kinds.filter("n > 1").select("key", "alike"), "bodies-alike")
+    whole = rows.join(several.hint("merge"), ["key", "alike"]).select("doc_id", "row_key", F.col("base").alias("start"), (F.col("base") + F.length("body")).alias("stop"))
+    singles = stored(kinds.select("one.*").mapInArrow(_single_strings(length), "string long, doc_id long, row_key long, start int"), "strings")
+    place = F.xxhash64("doc_id", "row_key", "start")
+    again = stored(singles.groupBy("string").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("string"), "strings-again")
+    found = singles.join(again.hint("merge"), "string").select("doc_id", "row_key", "start", (F.col("start") + length).alias("stop"))
+    return whole.union(found)
+
+
 def _intervals(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[]] * 4
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -280,17 +319,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     stretch = asked.filter("not hot").withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(before))
     head = F.min("anchor").over(W.partitionBy("doc_id", "row_key", "stretch"))
     cluster = components(stretch.select("anchor", head.alias("a")).select("a", F.col("anchor").alias("b")).distinct())
-    ask = F.struct("anchor", "hot", "place", "start", "stop", F.coalesce("comp", "anchor").alias("cluster"))
+    placed = stored(asked.join(cluster, asked["anchor"] == cluster["v"], "left").withColumn("cluster", F.coalesce("comp", "anchor")).drop("v", "comp"), "placed")
+    wide = placed.filter("not hot").groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("cluster")
+    wide = stored(wide, "wide-clusters").withColumn("wide", F.lit(True))
+    ask = F.struct("anchor", "hot", "place", "start", "stop", F.when(F.col("wide"), F.col("anchor")).otherwise(F.col("cluster")).alias("cluster"))
     of_doc = stored(
-        asked.join(cluster, asked["anchor"] == cluster["v"], "left").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(ask).alias("asked")),
+        placed.join(wide.hint("merge"), "cluster", "left").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(ask).alias("asked")),
         "asked-of",
     )
     wanted, _ = split_by_keys(docs, of_doc.select(F.col("k").alias("row_key")).distinct())
     one = wanted.dropDuplicates(["doc_id", "row_key"])
     texts = one.join(of_doc, (one["row_key"] == of_doc["k"]) & one["doc_id"].eqNullSafe(of_doc["d"])).select("doc_id", "row_key", "text", "asked")
     around = texts.mapInArrow(_cut_surroundings(length, gram), SURROUNDINGS)
-    judged = around.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(length), "doc_id long, row_key long, start int, stop int")
-    return whole.union(judged)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(length), "doc_id long, row_key long, start int, stop int")
+
+    if placed.filter("hot").isEmpty():
+        return whole.union(judged(around))
+    around = stored(around, "around")
+    crowded = stored(around.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "crowded")
+    if crowded.isEmpty():
+        return whole.union(judged(around))
+    spans = crowded_spans(around.join(crowded.hint("merge"), "key"), length)
+    return whole.union(judged(around.join(crowded, "key", "left_anti"))).union(spans)
 
 
 def _kept(batches) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,27 @@ def test_repeated_substrings(docs, corpus, length, hot, monkeypatch):
     same(substrings.remove_repeats(docs, length).collect(), repeats(corpus, length))
 
 
+@pytest.mark.parametrize("length", [20, 60])
+def test_no_task_sorts_a_crowd(docs, corpus, length, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "CROWD", 4, raising=False)
+    plain = substrings._sort_shard
+
+    def checked(length):
+        inner = plain(length)
+
+        def run(batches):
+            held = list(batches)
+            if max(Counter(k for b in held for k in b.column(0).to_pylist()).values(), default=0) > 4:
+                raise ValueError("a crowd in one task")
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(substrings, "_sort_shard", checked)
+    same(substrings.remove_repeats(docs, length).collect(), repeats(corpus, length))
+
+
 # -- 2 --------------------------------------------------------------------------------------
 
 
