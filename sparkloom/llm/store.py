@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, stored, text_key, texts_of, to_bytes
+from .common import new_folder, slices, stored, text_key, texts_of, to_bytes, worker_cache
 from .tokens import encoder
 
 #: Ids in a rolling window; between marks on average, and of a chunk at least and at most: about 380
@@ -125,6 +125,7 @@ def _encode(path: str, end_id: int):
 
 def _unique(batches) -> Iterator[pa.RecordBatch]:
     """The first of each digest; all of a digest are in one partition."""
+    worker_cache("")  # frees the encoder's words
     met: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -165,6 +166,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
 
 def _proved(batches) -> Iterator[pa.RecordBatch]:
     """Reads chunks back: each must have the content that its name says."""
+    worker_cache("")
     for b in batches:
         names, crcs = [], []
         for name, n, body in zip(*(c.to_pylist() for c in b.columns)):
