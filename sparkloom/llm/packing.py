@@ -145,17 +145,20 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     the capacity are cut. A null or empty text is a piece of the end id alone."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer_path, most_words), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer_path, most_words)
         for part in slices(batches):
-            cols: list[list] = [[] for _ in range(6)]
-            for doc_id, key, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(to_bytes(part.column(1)))):
-                raw += tail
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    body = raw[at : at + 4 * capacity]
-                    for c, v in zip(cols, (doc_id, key, piece, at // 4, len(body) // 4, zlib.crc32(body))):
-                        c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+            ids, ends = enc.encode_ended(to_bytes(part.column(1)), end_id)
+            sizes = np.diff(ends, prepend=0)
+            n = -(-sizes // capacity)
+            own = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(sizes[own] - start, capacity)
+            at, raw = (ends - sizes)[own] + start, memoryview(ids.astype("<u4").view(np.uint8))
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
+            take = pa.array(own)
+            cols = [part.column(0).take(take), part.column(2).take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
 
     return texts_of(docs).withColumn("row_key", text_key()).mapInArrow(run, PIECES)
 

@@ -25,8 +25,6 @@ from .tokens import encoder
 #: Ids in a rolling window; between marks on average, and of a chunk at least and at most: about 380
 #: ids a chunk, well below the median document (568 on sf0.1), so that near copies share chunks.
 WINDOW, AVERAGE, LEAST, MOST = 8, 256, 128, 1024
-#: Words that a worker remembers while it encodes a store: nothing else needs its memory then.
-MOST_WORDS = 1_800_000
 CHUNK_REF = "array<struct<digest:binary,n:int>>"
 END_ID = 1
 
@@ -85,11 +83,9 @@ def _encode(path: str, end_id: int):
         return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, t)) for k, t in kinds.items()], list(kinds))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, tail, met = encoder(path, MOST_WORDS), np.array([end_id], "<u4").tobytes(), set()
+        enc, met = encoder(path), set()
         for part in slices(batches):
-            raws = [raw + tail for raw in enc.encode(to_bytes(part.column(1)))]
-            every = np.frombuffer(b"".join(raws), "<u4")
-            ends = np.cumsum([len(raw) // 4 for raw in raws])
+            every, ends = enc.encode_ended(to_bytes(part.column(1)), end_id)
             marks = marks_of(every)
             of_doc = np.split(marks, np.searchsorted(marks, ends[:-1], side="right"))
             names, sizes, roots, bounds = [], [], [], [0]
@@ -116,7 +112,7 @@ def _encode(path: str, end_id: int):
             refs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"])
             chunks = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), refs)
             counts = pa.array(np.diff(ends, prepend=0))
-            yield batch(len(raws), doc_id=part.column(0), row_key=part.column(2), n_tokens=counts, root=pa.array(roots, pa.binary()), chunks=chunks)
+            yield batch(part.num_rows, doc_id=part.column(0), row_key=part.column(2), n_tokens=counts, root=pa.array(roots, pa.binary()), chunks=chunks)
             if bodies:
                 yield batch(len(bodies), digest=pa.array(new_names, pa.binary()), n=pa.array(new_sizes, pa.int32()), data=pa.array(bodies, pa.binary()))
 
@@ -124,17 +120,15 @@ def _encode(path: str, end_id: int):
 
 
 def _unique(batches) -> Iterator[pa.RecordBatch]:
-    """The first of each digest; all of a digest are in one partition."""
+    """The first of each digest, of a partition sorted by digest that has all of each."""
     worker_cache("")  # frees the encoder's words
-    met: set[bytes] = set()
+    last = None
     for batch in batches:
-        keep = []
-        for i, name in enumerate(batch.column(0).to_pylist()):
-            if name not in met:
-                met.add(name)
-                keep.append(i)
+        names = batch.column(0).to_pylist()
+        keep = [i for i, (a, b) in enumerate(zip([last, *names], names)) if a != b]
+        last = names[-1] if names else last
         if keep:
-            yield batch.take(pa.array(keep))
+            yield batch.take(pa.array(keep)) if len(keep) < len(names) else batch
 
 
 def _starts(batches) -> Iterator[pa.RecordBatch]:
@@ -156,7 +150,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     """
     base = texts_of(docs).withColumn("row_key", text_key())
     both = stored(base.mapInArrow(_encode(tokenizer_path, end_id), ENCODED), "encoded", "lz4")
-    found = both.filter("digest is not null").select("digest", "n", "data").repartition("digest")
+    found = both.filter("digest is not null").select("digest", "n", "data").repartition("digest").sortWithinPartitions("digest")
     found.mapInArrow(_unique, "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = both.filter("digest is null").select("doc_id", "row_key", "n_tokens", "root", "chunks")
     ordered = recipes.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key").withColumn("part", F.spark_partition_id())

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a tokenizers file, with a bounded memory of words."""
+"""Token ids of whole texts by a tokenizers file, with a bounded memory of pieces."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import gc
 import os
 
 import numpy as np
+import pyarrow as pa
 
 from .common import worker_cache
 
@@ -16,37 +17,114 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: The pre-tokenizer's pattern, as the vocabulary file states it (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters are in NFC whatever they are, and lower-case one by one; none is white
-#: space, and without "<" none holds an added token.
-PLAIN = r"[\x21-\x3b\x3d-\x7e\xa1-\u012f\u0131-\u017f]+"
-
-
-#: Words that a worker remembers: about 180 bytes each.
+#: Pieces that a worker remembers: about 180 bytes each.
 MOST_WORDS = 700_000
 
+#: Kinds of bytes; ODD makes its whole word one that only the library can cut.
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+#: The endings that the pre-tokenizer's pattern names (fixed values).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Characters of two bytes that are looked at here, from and to: all are in NFC whatever they are,
+#: and lower-case one by one, but for one that lower-cases to two characters (fixed values).
+FIRST_WIDE, LAST_WIDE, SPLITS_IN_LOWER_CASE = 0xA1, 0x17F, 0x130
+
+
+def _kind(character: str) -> int:
+    if character.isspace():
+        return SPACE
+    if character.isalpha():
+        return LETTER
+    return NUMBER if character.isnumeric() else OTHER
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind and lower case of each ASCII byte, and of each character of two bytes from C2 80 on."""
+    kind, lower = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    for b in range(0x21, 0x7F):
+        if chr(b) != "<":  # with which added tokens begin
+            kind[b], lower[b] = _kind(chr(b)), ord(chr(b).lower())
+    kind[list(b" \t\n\r\x0b\x0c")] = SPACE
+    wide_kind = np.full(256, ODD, np.uint8)
+    wide_lower = np.zeros((256, 2), np.uint8)
+    for at in range(256):
+        code = 0x80 + at
+        wide_lower[at] = list(chr(code).encode())
+        if FIRST_WIDE <= code <= LAST_WIDE and code != SPLITS_IN_LOWER_CASE:
+            wide_kind[at], wide_lower[at] = _kind(chr(code)), list(chr(code).lower().encode())
+    return kind, lower, wide_kind, wide_lower
+
+
+_KIND, _LOWER, _WIDE_KIND, _WIDE_LOWER = _tables()
+
+
+def wide_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, both of a character of two bytes alike, and where such ones begin."""
+    kind = _KIND[raw]
+    wide = np.nonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xC5))[0]
+    kind[wide] = kind[wide + 1] = _WIDE_KIND[_wide_at(raw, wide)]
+    return kind, wide
+
+
+def _wide_at(raw: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    return (raw[wide].astype(np.int64) - 0xC2) * 64 + (raw[wide + 1] & 63)
+
+
+def pieces_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts UTF-8 bytes as the word-end vocabulary's pre-tokenizer does: runs of letters, single
+    numbers, runs of other signs, and endings after an apostrophe. Returns where each piece begins,
+    its kind, and the bytes in lower case. White space makes pieces of its own; a word with a
+    character of kind ODD stays whole and as it is."""
+    n = len(raw)
+    (kind, wide), low = wide_kinds(raw), _LOWER[raw]
+    low[wide], low[wide + 1] = _WIDE_LOWER[_wide_at(raw, wide)].T
+    odd = np.nonzero(kind == ODD)[0]
+    if len(odd):
+        space = np.concatenate([[True], kind == SPACE, [True]])
+        starts, ends = np.nonzero(space[:-1] & ~space[1:])[0], np.nonzero(~space[:-1] & space[1:])[0]
+        words = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        change = np.zeros(n + 1, np.int8)
+        change[starts[words]] = 1
+        change[ends[words]] -= 1
+        whole = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+        kind[whole], low[whole] = ODD, raw[whole]
+    begins = np.empty(n + 1, bool)
+    begins[0] = begins[n] = True
+    begins[1:n] = kind[1:] != kind[:-1]
+    number = kind == NUMBER
+    number[wide + 1] = False
+    begins[:n] |= number
+    marks = np.nonzero((raw == ord("'")) & (kind == OTHER) & begins[:n])[0]
+    if len(marks):
+        padded = np.append(low, [0, 0])
+        letter = np.append(kind == LETTER, [False, False])
+        one, two = padded[marks + 1], padded[np.minimum(marks + 2, n + 1)]
+        for ending in ENDINGS:
+            own = letter[marks + 1] & (one == ord(ending[0]))
+            if len(ending) == 2:
+                own &= two == ord(ending[1])
+            at = marks[own]
+            begins[at + 1] = False
+            begins[at + 1 + len(ending)] = True
+    at = np.nonzero(begins[:n])[0]
+    return at, kind[at], low
+
 
 class WordEncoder:
-    """Encodes by `tokenizers`, as the library would encode each whole text, once per distinct word.
+    """Encodes by `tokenizers`, as the library would encode each whole text, once per distinct piece.
 
     The pre-tokenizer of the word-end BPE file never joins what ASCII white space parts, and
-    neither NFC nor per-character lower case looks across it, so a text's ids are the ids of its
-    white-space-separated words in order. Added tokens hold no white space, so the library still
-    finds them inside a word. A plain word is cut into the pre-tokenizer's pieces here, and the
-    library encodes each distinct piece, which is a word of its own; any other word it gets whole.
-    Longer words are forgotten when `most_words` are held.
+    neither NFC nor per-character lower case looks across it, so a text's ids are those of its
+    pieces in order. Added tokens hold no white space and begin with a sign that makes their word
+    odd; the library gets odd words whole. Longer pieces are forgotten when `most_words` are held.
     """
 
     def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_words = most_words
         self.known: dict[bytes, bytes] = {}
-        self.cut, self.plain = regex.compile(PIECES).findall, regex.compile(PLAIN).fullmatch
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -71,61 +149,24 @@ class WordEncoder:
                 self.learn_whole(part)
 
     def learn_whole(self, words: list[bytes]) -> None:
-        self.known.update(zip(words, self.ids([w.decode() for w in words])))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > self.most_words:
-            self.known = {w: v for w, v in self.known.items() if len(w) < 6}
+        self.known.update(zip(words, self.ids([w.decode("utf-8", "replace") for w in words])))
+
+    def learn(self, letters: list[bytes], others: list[bytes]) -> None:
+        """New pieces."""
+        self.learn_letters(letters)
+        self.learn_whole(others)
+
+    def _room(self, words: list[bytes]) -> None:
+        """Forgets longer pieces, other than `words`, when `most_words` are held."""
+        if len(self.known) + len(words) > self.most_words:
+            known = self.known
+            self.known = {w: v for w, v in known.items() if len(w) < 6}
             if len(self.known) > self.most_words // 2:
                 self.known = {}
-            new = words.difference(self.known)
-        known, plain = self.known, self.plain
-        letters: set[bytes] = set()
-        rest: set[bytes] = set()
-        whole: list[bytes] = []
-        cut: list[tuple[bytes, bytes, bytes]] = []
-        mixed: list[tuple[bytes, list[bytes]]] = []
-        for w in new:
-            end = w[-1:]
-            body = w[:-1] if end in b".,;:!?)" else w
-            if body.isalpha():  # ASCII letters
-                low = body.lower()
-                letters.add(low)
-                if body is not w:
-                    rest.add(end)
-                    cut.append((w, low, end))
-                elif low != w:
-                    cut.append((w, low, b""))
-                continue
-            text = w.decode()
-            if not plain(text):
-                whole.append(w)
-                continue
-            low = text.lower()
-            if low.isalpha():
-                letters.add(key := low.encode())
-                if key != w:
-                    cut.append((w, key, b""))
-            elif low[:-1].isalpha() and low[-1] in ".,;:!?)":
-                letters.add(key := low[:-1].encode())
-                rest.add(end)
-                cut.append((w, key, end))
-            else:
-                mixed.append((w, [p.encode() for p in self.cut(low)]))
-        for _, ps in mixed:
-            rest.update(ps)
-        self.learn_letters(list(letters.difference(known)))
-        self.learn_whole(list(rest.difference(known)))
-        known[b""] = b""
-        known.update([(w, known[x] + known[m]) for w, x, m in cut])
-        known.update([(w, b"".join([known[x] for x in ps])) for w, ps in mixed])
-        self.learn_whole(whole)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+            self.known.update([(w, known[w]) for w in words if w in known])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text's end."""
         running = gc.isenabled()
         gc.disable()  # all that is made here goes by its reference count
         try:
@@ -134,14 +175,36 @@ class WordEncoder:
             if running:
                 gc.enable()
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words: set[bytes] = set()
-        for ws in split:
-            words.update(ws)
-        self.learn(words)
-        find = self.known.__getitem__
-        return [b"".join(map(find, ws)) for ws in split]
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        at, kind, low = pieces_of(joined)
+        offsets = np.append(at, len(joined)).astype(np.int32)
+        every = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+        code, words = np.asarray(every.indices), every.dictionary.to_pylist()
+        kind_of = np.zeros(len(words), np.uint8)
+        kind_of[code] = kind
+        self._room(words)
+        known = self.known
+        letters, others = [], []
+        for w, k in zip(words, kind_of.tolist()):
+            if k and w not in known:
+                (letters if k == LETTER else others).append(w)
+        self.learn(letters, others)
+        bodies = [known[w] if k else b"" for w, k in zip(words, kind_of.tolist())]
+        flat = np.frombuffer(b"".join(bodies), "<u4")
+        size = np.array([len(b) // 4 for b in bodies], np.int64)
+        first = np.cumsum(size) - size
+        n = size[code]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(first[code] - (upto - n), n) + np.arange(int(upto[-1]))]
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        last = np.searchsorted(at, ends)  # pieces that begin before a text's end
+        return ids, np.concatenate([[0], upto])[last]
+
+    def encode_ended(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with end_id after each text."""
+        ids, ends = self.encode(texts)
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 def encoder(path: str, most_words: int = MOST_WORDS) -> WordEncoder:
