@@ -23,31 +23,57 @@ from .common import bound_batches, split_by_keys, stored, text_key, worker_cache
 
 LEAST_CHARS = 20
 _U = np.uint64
-_BASE = 0xC2B2AE3D27D4EB4F
-FIRST = "struct<doc_id:long,row_key:long,line:int>"
+#: Hashes are polynomials modulo a prime, at a base drawn at random.
+_PRIME, _HALF = _U((1 << 61) - 1), _U((1 << 32) - 1)
+_BASE = 0x1A7F3C9D5E2B8461
+_INVERSE = pow(_BASE, -1, (1 << 61) - 1)
 
 
 def normal_form(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime 2^61 - 1, from halves of 32 bits."""
+    ah, al, bh, bl = a >> _U(32), a & _HALF, b >> _U(32), b & _HALF
+    middle, low = ah * bl + al * bh, al * bl
+    total = (ah * bh << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + (low >> _U(61)) + (low & _PRIME)
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.array([pow(_BASE, len(out), int(_PRIME))], np.uint64))])
+    return out[:n]
+
+
 def deletions(text: str, lo: int, hi: int) -> tuple[int, np.ndarray]:
     """The hash of a text, and of what is left of it without its character lo, …, hi - 1."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + _U(1)
     n = len(x)
-    power = np.cumprod(np.concatenate([[_U(1)], np.full(n, _BASE, np.uint64)]))
-    sums = np.concatenate([[_U(0)], np.cumsum(x * power[:n])])
+    term = _times(x, _USUAL[:n] if n <= len(_USUAL) else _powers(n))
+    low, high = np.cumsum(term & _U((1 << 31) - 1)), np.cumsum(term >> _U(31))
+    sums = _reduced(_times(_reduced(high), np.array([1 << 31], np.uint64)) + _reduced(low))
+    sums = np.concatenate([[_U(0)], sums])
     at = np.arange(lo, hi)
-    inverse = _U(pow(_BASE, -1, 1 << 64))
-    left = sums[at] + (sums[n] - sums[at + 1]) * inverse
+    left = _reduced(sums[at] + _times(_reduced(sums[n] + _PRIME - sums[at + 1]), np.array([_INVERSE], np.uint64)))
 
     def mixed(h: np.ndarray, size: int) -> np.ndarray:
-        h = (h ^ (h >> _U(32))) * _U(0x9FB21C651E98DF25) + _U(size)
+        h = (h ^ (h >> _U(32))) * _U(0x9FB21C651E98DF25) + _U(max(size, 0))
         return h ^ (h >> _U(28))
 
     return int(mixed(sums[n : n + 1], n).view(np.int64)[0]), mixed(left, n - 1).view(np.int64)
 
 
+_USUAL = _powers(1 << 10)
+
+
 def _neighbourhood(batches) -> Iterator[pa.RecordBatch]:
     """Rows (h1, h2, by_prefix, by_suffix, norm): (key, place, h1, h2); place -1 is the line itself."""
     for b in batches:
@@ -108,21 +134,40 @@ def near_lines(base: DataFrame, firsts: DataFrame) -> DataFrame:
     every = stored(every, "neighbourhoods")
     met = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = stored(every.join(met, "key").join(order, ["h1", "h2"]), "shared")
+    texts = lines.select("h1", "h2", "norm").dropDuplicates(["h1", "h2"])
+    found = verified(earlier_pairs(shared), texts)
+    near = stored(found, "verified")
+    # a pair that fails met by a hash alone: its keys are dealt again by the strings themselves
+    failed = near.filter("not near").select(F.explode("keys").alias("key")).distinct()
+    if failed.isEmpty():
+        return near.filter("near").select("h1", "h2").distinct()
+    strings = shared.join(failed.hint("merge"), "key").join(texts, ["h1", "h2"])
+    left = F.when(F.col("place") < 0, F.col("norm")).otherwise(F.concat(F.expr("substring(norm, 1, place)"), F.expr("substring(norm, place + 2)")))
+    again = verified(earlier_pairs(strings.withColumn("key", left).drop("norm")), texts)
+    return near.filter("near").select("h1", "h2").union(again.filter("near").select("h1", "h2")).distinct()
+
+
+def earlier_pairs(shared: DataFrame) -> DataFrame:
+    """(keys, h1, h2, w) of lines that share keys with an earlier line, w the earliest of its kind:
+    with one character gone at one place each, or at any place against the whole line."""
     who = F.struct("first", "h1", "h2")
     left, own = shared.filter("place >= 0"), shared.filter("place < 0")
     heads = left.groupBy("key", "place").agg(F.min(who).alias("w"))
-    same_place = left.join(heads, ["key", "place"]).select("h1", "h2", "first", "w")
-    selves = own.select("key", who.alias("w"))
+    same_place = left.join(heads, ["key", "place"]).select("key", "h1", "h2", "first", "w")
+    selves = own.groupBy("key").agg(F.min(who).alias("w"))
     longer = left.select("key", "h1", "h2", "first").distinct()
-    inserted = longer.join(selves, "key").select("h1", "h2", "first", "w")
+    inserted = longer.join(selves, "key").select("key", "h1", "h2", "first", "w")
     least = longer.groupBy("key").agg(F.min(who).alias("w"))
-    dropped = own.join(least, "key").select("h1", "h2", "first", "w")
+    dropped = own.join(least, "key").select("key", "h1", "h2", "first", "w")
     pairs = same_place.union(inserted).union(dropped).filter(F.col("w.first") < F.col("first"))
-    pairs = pairs.groupBy("h1", "h2").agg(F.min("w").alias("w"))
-    texts = lines.select("h1", "h2", "norm").dropDuplicates(["h1", "h2"])
+    return pairs.groupBy("h1", "h2", "w").agg(F.collect_set("key").alias("keys"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(keys, h1, h2, near): whether each pair is within one edit."""
     witness = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("norm").alias("earlier"))
     both = pairs.join(texts, ["h1", "h2"]).join(witness, (F.col("w.h1") == F.col("w1")) & (F.col("w.h2") == F.col("w2")))
-    return both.filter(F.levenshtein("norm", "earlier", 1) >= 0).select("h1", "h2")
+    return both.select("keys", "h1", "h2", (F.levenshtein("norm", "earlier", 1) >= 0).alias("near"))
 
 
 def removed_lines(base: DataFrame, least_chars: int = LEAST_CHARS, near: bool = True) -> DataFrame:

@@ -34,8 +34,8 @@ from .graph import components
 COORDINATES, MOST_MEMBERS, BRANCHES, MOST_DEPTH, PIVOTS = 64, 2000, 4, 5, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += np.uint8(32)
 _U = np.uint64
 
 
@@ -46,49 +46,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_power_cache: list[np.ndarray] = []
+#: A shingle: 128 bits of its words' digests.
+SHINGLE = np.dtype([("a", "<u8"), ("b", "<u8")])
+_FOLDS = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, for i below n at least."""
-    if not _power_cache or len(_power_cache[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _power_cache[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _power_cache[0], _power_cache[1]
+def _set_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct (a, b) in order."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    new = np.append(True, a[1:] != a[:-1])
+    if not new.all() and (b[1:] != b[:-1])[~new[1:]].any():
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    out = np.empty(int(new.sum()), SHINGLE)
+    out["a"], out["b"] = a[new], b[new]
+    return out
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles of `width` words; of a text with fewer words
-    its whole sequence, of one without words none. Words are what ASCII white space parts, in
-    ASCII lower case."""
+    """Each text's distinct shingles of `width` words in order; of a text with fewer words its
+    whole sequence, of one without words none. Words are what ASCII white space parts, in ASCII
+    lower case; a slice's distinct words are digested once."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends_at = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[joined]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    power, inverse = _powers(len(joined) + 1)
-    total = np.concatenate([[_U(0)], np.cumsum((_LOWER[joined] + _U(1)) * power[: len(joined)])])
-    word = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    upto = np.searchsorted(start, ends_at)
-    out, first = [], 0
-    shingle = np.zeros(0, np.uint64)
-    if len(word) >= width:
-        shingle = np.zeros(len(word) - width + 1, np.uint64)
+    low, space = _LOWER[joined], _SPACE[joined]
+    at = np.nonzero(np.append(True, space[1:] != space[:-1]))[0]
+    offsets = np.append(at, len(joined)).astype(np.int32)
+    every = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
+    is_word = ~space[at]
+    start, code = at[is_word], np.asarray(every.indices)[is_word]
+    digests = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in every.dictionary.to_pylist()]), SHINGLE)
+    words = [np.ascontiguousarray(digests[lane])[code] for lane in ("a", "b")]
+    n_shingles = max(0, len(code) - width + 1)
+    lanes = []
+    for word, fold in zip(words, _FOLDS):
+        shingle = np.zeros(n_shingles, np.uint64)
         for k in range(width):
-            shingle = _mix(shingle * _U(0xD6E8FEB86659FD93) + word[k : k + len(shingle)])
-    for last in upto.tolist():
+            shingle = _mix(shingle * fold + word[k : k + n_shingles])
+        lanes.append(shingle)
+    out, first = [], 0
+    for last in np.searchsorted(start, ends_at).tolist():
         n = last - first
         if n >= width:
-            out.append(np.unique(shingle[first : last - width + 1]))
+            out.append(_set_of(*(lane[first : last - width + 1] for lane in lanes)))
         elif n:
-            h = np.array([n], np.uint64)
-            for k in range(n):
-                h = _mix(h * _U(0xA0761D6478BD642F) + word[first + k : first + k + 1])
-            out.append(h)
+            h = [np.array([n], np.uint64), np.array([n], np.uint64)]
+            for k in range(first, last):
+                h = [_mix(x * fold + word[k : k + 1]) for x, word, fold in zip(h, words, _FOLDS)]
+            out.append(_set_of(*h))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros(0, SHINGLE))
         first = last
     return out
 
@@ -102,7 +111,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), COORDINATES), np.uint32)
     some = np.nonzero(sizes)[0]
     if len(some):
-        every = np.concatenate([sets[i] for i in some])
+        every = np.concatenate([sets[i]["a"] for i in some])
         first = np.cumsum(sizes[some]) - sizes[some]
         for k, seed in enumerate(_SEEDS):
             h = every * seed
@@ -213,7 +222,13 @@ def intersections(sets: list[np.ndarray], block: int = 2048) -> np.ndarray:
     """(m, m) sizes of the intersections of sorted sets of distinct hashes."""
     m = len(sets)
     own = np.repeat(np.arange(m), [len(s) for s in sets])
-    value, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    every = np.concatenate(sets)
+    lanes = [np.ascontiguousarray(every[f]) for f in every.dtype.names] if every.dtype.names else [every]
+    order = np.lexsort(lanes[::-1])
+    new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in lanes], axis=0))
+    column = np.empty(len(every), np.int64)
+    column[order] = np.cumsum(new) - 1
+    seen = np.bincount(column)
     shared = seen[column] > 1
     rank = np.cumsum(seen > 1) - 1
     own, column = own[shared], rank[column[shared]]
@@ -235,7 +250,7 @@ def _compared(numerator: int, denominator: int):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 0):
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            sets = [np.frombuffer(r[3], SHINGLE) for r in rows]
             comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
             same, n = intersections(sets), np.array([len(x) for x in sets], np.float64)
             found: list[np.ndarray] = []
@@ -260,19 +275,20 @@ def _confirmed(numerator: int, denominator: int):
     """Rows (group, is_centre, a, sid, set), a group's centre first: links that the full sets bear."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        group, centre, left = None, None, b""
+        group, centre, heads, left = None, None, None, b""
         for batch in batches:
             for part in slices([batch], 4 << 20):
                 out = []
                 for g, first, a, b, raw in zip(*(c.to_pylist() for c in part.columns)):
-                    own = np.frombuffer(raw, np.uint64)
+                    own = np.frombuffer(raw, SHINGLE)
                     if first:
                         group, centre, left = g, own, a
+                        heads = np.ascontiguousarray(own["a"])
                         continue
                     if g != group:
                         raise ValueError("a group came without its centre")
-                    at = np.searchsorted(centre, own)
-                    same = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
+                    at = np.minimum(np.searchsorted(heads, own["a"]), len(heads) - 1)
+                    same = int(((heads[at] == own["a"]) & (centre["b"][at] == own["b"])).sum())
                     if denominator * same >= numerator * (len(own) + len(centre) - same):
                         out.append((left, b))
                 yield _pairs(out)
