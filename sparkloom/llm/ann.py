@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .search import BLOCK_ROWS, SHARD_ROWS, Best, packed, search, usable, width_of
 
 #: Tables, and the share of the axes that a query probes in each. Together they set recall.
@@ -112,13 +113,21 @@ def _kernel(block: dict, shard: dict, best: Best) -> None:
     _exact(block, shard, best, q, j)
 
 
+def _every(block: dict, shard: dict, best: Best) -> None:
+    """All pairs of a block and a shard, for the few queries that the tables leave short."""
+    q, j = np.nonzero(block["ids"][:, None] != shard["ids"])
+    _exact(block, shard, best, q, j)
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probed: float = PROBED) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by `every`, the k rows
     of largest inner product that the index finds, in double precision, ties to the smaller id.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite components
     take no part; shorter vectors count as padded with zeros; rows that repeat an id never answer
-    it. The index is fitted on nothing but the norms' range, and indexes every row.
+    it. The index is fitted on nothing but the norms' range, and indexes every row. A query for
+    which the tables hold fewer than k candidates is held against all rows, in blocks; so each gets
+    k, or all that there are.
     """
     rows = usable(table, allow_zero=False)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
@@ -128,4 +137,10 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES
     shards = packed(rows, width, SHARD_ROWS, _shard(high, even, tables), "ann-shards")
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     blocks = packed(queries, width, BLOCK_ROWS, _block(even, tables, probed), "ann-queries")
-    return search(blocks, shards, _kernel, k, as_long=False)
+    found = stored(search(blocks, shards, _kernel, k, as_long=False), "ann-found")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")).distinct()
+    short = queries.join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found
+    rest = search(packed(short, width, BLOCK_ROWS, _block(even, tables, probed), "ann-short"), shards, _every, k, as_long=False)
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest)

@@ -72,29 +72,34 @@ def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray,
     return got.join(F.broadcast(numbers), "at").select("no", "body")
 
 
+NOBODY = np.iinfo(np.int64).max
+
+
 class Best:
-    """The k best (score, id) of each query of a block: highest score first, then least id."""
+    """The k best (score, id) of each query of a block: highest score first, then least id. Scores
+    are doubles, or whole numbers that are never rounded."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
-        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.floor = np.full(n, -np.inf) if floor is None else floor.copy()
+    def __init__(self, n: int, k: int, kind: type = np.float64):
+        self.none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+        self.k, self.score, self.id = k, np.full((n, k), self.none, kind), np.full((n, k), NOBODY)
+        self.floor = np.full(n, self.none, kind)
 
     def take(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Candidates of the queries in `rows`: score (len(rows), m), -inf for none; ids (m,) or alike."""
-        ok = score >= self.floor[rows][:, None]
+        """Candidates of the queries in `rows`: score (len(rows), m), `none` for none; ids (m,) or alike."""
+        ok = (score >= self.floor[rows][:, None]) & (score > self.none)
         hit = ok.any(1)
         if not hit.any():
             return
         rows, score, ok = rows[hit], score[hit], ok[hit]
         ids = np.broadcast_to(ids, ok.shape) if ids.ndim == 1 else ids[hit]
-        s = np.concatenate([self.score[rows], np.where(ok, score, -np.inf)], 1)
-        i = np.concatenate([self.id[rows], np.where(ok, ids, np.iinfo(np.int64).max)], 1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        s = np.concatenate([self.score[rows], np.where(ok, score, self.none)], 1)
+        i = np.concatenate([self.id[rows], np.where(ok, ids, NOBODY)], 1)
+        order = np.lexsort((i, -s if s.dtype.kind == "f" else ~s), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         self.floor[rows] = np.maximum(self.floor[rows], self.score[rows, -1])
 
 
-def _searched(k: int, kernel: Callable[[dict, object, Best], None]):
+def _searched(k: int, kernel: Callable[[dict, object, Best], None], number: type):
     """Sorted rows (block, stripe, kind, body): a block (kind 0), its floor if any (1), shards (2)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,7 @@ def _searched(k: int, kernel: Callable[[dict, object, Best], None]):
                 if kind == 0:
                     if best is not None:
                         yield done()
-                    key, block, best = (no, stripe), got, Best(len(got["ids"]), k)
+                    key, block, best = (no, stripe), got, Best(len(got["ids"]), k, number)
                 elif kind == 1:
                     best.floor = np.maximum(best.floor, got[1][:, -1])
                 else:
@@ -121,14 +126,13 @@ def _searched(k: int, kernel: Callable[[dict, object, Best], None]):
     return run
 
 
-def _merged(k: int, as_long: bool):
+def _merged(k: int, number: type):
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, ids, best = None, None, None
 
         def done() -> pa.RecordBatch:
-            q, r = np.nonzero(np.isfinite(best.score))
-            score = best.score[q, r]
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(r + 1, pa.int32()), pa.array(best.id[q, r]), pa.array(score.astype(np.int64) if as_long else score)], ["query_id", "rank", "vec_id", "score"])
+            q, r = np.nonzero(best.id != NOBODY)
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(r + 1, pa.int32()), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["query_id", "rank", "vec_id", "score"])
 
         for b in batches:
             for no, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -136,7 +140,7 @@ def _merged(k: int, as_long: bool):
                 if no != key:
                     if best is not None:
                         yield done()
-                    key, ids, best = no, own, Best(len(own), k)
+                    key, ids, best = no, own, Best(len(own), k, number)
                 best.take(np.arange(len(own)), score, found)
         if best is not None:
             yield done()
@@ -147,6 +151,7 @@ def _merged(k: int, as_long: bool):
 def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): every block against every shard by `kernel`, which gives
     its candidates to a `Best`."""
+    number = np.int64 if as_long else np.float64
     n_blocks, n_shards = blocks.count(), shards.count()
     if not n_blocks or not n_shards:
         return blocks.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {'long' if as_long else 'double'}")
@@ -160,13 +165,13 @@ def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object,
             every = every.union(floors.select("block", F.explode(F.sequence(F.lit(first), F.lit(last))), F.lit(1), "body"))
         tasks = min(2000, n_blocks * (last - first + 1))
         ordered = every.repartition(tasks, "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
-        return stored(ordered.mapInArrow(_searched(k, kernel), "block int, body binary"), "found")
+        return stored(ordered.mapInArrow(_searched(k, kernel, number), "block int, body binary"), "found")
 
     found = pilot = run(0, 0, None)
     if stripes > 1:
         found = pilot.union(run(1, stripes - 1, pilot))
     kind = "long" if as_long else "double"
-    return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, as_long), f"query_id long, rank int, vec_id long, score {kind}")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, number), f"query_id long, rank int, vec_id long, score {kind}")
 
 
 def width_of(rows: DataFrame) -> int:

@@ -50,11 +50,14 @@ def _block(ids: np.ndarray, x: np.ndarray) -> dict:
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: by doubles where these are exact, else by whole numbers."""
+    """Integer inner products, exact: by doubles where these hold them, else by whole numbers, and
+    an error where a long cannot."""
     most = (np.abs(a).max(initial=0)) * (np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
-        return a @ b.T
-    return (a.astype(np.int64) @ b.astype(np.int64).T).astype(np.float64)
+        return (a @ b.T).astype(np.int64)
+    if most >= 2**63 and (np.abs(a) @ np.abs(b).T).max() * (1 + 1e-9) >= 2**63:
+        raise OverflowError("an inner product may pass 2^63")
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def _kernel(block: dict, tree: dict, best: Best) -> None:
@@ -75,7 +78,7 @@ def _kernel(block: dict, tree: dict, best: Best) -> None:
             for at in range(lo, hi, 4 * LEAF):
                 ids = tree["ids"][at : min(hi, at + 4 * LEAF)]
                 score = _scores(q[asks], tree["x"][at : at + len(ids)])
-                score[block["ids"][asks][:, None] == ids] = -np.inf
+                score[block["ids"][asks][:, None] == ids] = best.none
                 best.take(asks, score, ids)
         else:
             for c in (child, child + 1):
@@ -89,6 +92,7 @@ def exact_top(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     Rows without id and vectors that are null, empty or hold null or non-finite components take
     no part; shorter vectors count as padded with zeros; rows that repeat an id never answer it.
+    Sums that may pass 2^63 raise an error.
     """
     rows = usable(table)
     width = width_of(rows)
