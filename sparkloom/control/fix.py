@@ -1,16 +1,39 @@
-"""A fix as a transaction: guard, keep a copy, apply, test, and take back on failure."""
+"""A fix as a transaction: guard, keep a copy on disk, apply, test, and take back on failure."""
 
 from __future__ import annotations
 
+import contextlib
+import os
 import shlex
 import subprocess
+import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
 from ..functions.tables import CHAINING
 from ..sources.srctree import OutsideRoot, inside, is_skipped
 from .diff import BadDiff, applied, write_atomically
 
-TEST_SECONDS = 120
+TEST_SECONDS, GIT_SECONDS = 120, 30
+#: What a session may do, unless the tree's config says otherwise.
+BUDGET, CONFIRM_EVERY = 20, 5
+#: Of a file that is being changed; a crash leaves it, and `rollback` puts it back.
+COPY = ".sparkloom-before"
+
+
+def fix_policy(root: str | Path, config: str = "scan.toml") -> dict[str, int]:
+    """budget and confirm_every from `session_budget` and `confirm_every` under [fix] of a tree's
+    config; what is missing, no whole number or cannot be read is as usual."""
+    try:
+        own = tomllib.loads(Path(root, config).read_text(encoding="utf-8")).get("fix", {})
+    except (OSError, tomllib.TOMLDecodeError, UnicodeDecodeError):
+        own = {}
+
+    def number(key: str, usual: int) -> int:
+        got = own.get(key) if isinstance(own, dict) else None
+        return got if isinstance(got, int) and not isinstance(got, bool) and got > 0 else usual
+
+    return {"budget": number("session_budget", BUDGET), "confirm_every": number("confirm_every", CONFIRM_EVERY)}
 
 
 def allowed_command(command: str, allowed: tuple[str, ...]) -> bool:
@@ -19,9 +42,55 @@ def allowed_command(command: str, allowed: tuple[str, ...]) -> bool:
     return bool(bare) and not any(c in bare for c in CHAINING) and any(bare.startswith(a) for a in allowed)
 
 
+def _copy_of(path: Path) -> Path:
+    return path.with_name(path.name + COPY)
+
+
+def _keep(path: Path) -> None:
+    """A copy that is on disk before the file changes."""
+    with open(_copy_of(path), "wb") as f:
+        f.write(path.read_bytes())
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def rollback(file_path: str, root: str) -> bool:
+    """Puts a file back as it was before a change that has not ended; False if there is no copy."""
+    path = inside(file_path, root)
+    copy = _copy_of(path)
+    if not copy.is_file():
+        return False
+    os.replace(copy, path)
+    return True
+
+
+def _git(root: str, *args: str) -> str:
+    return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True, timeout=GIT_SECONDS).stdout.strip()
+
+
+@contextlib.contextmanager
+def others_aside(root: str, path: Path) -> Iterator[bool]:
+    """Stashes uncommitted changes of tracked files other than `path` for a while, so that a test
+    sees the fix alone; outside a repository, or where git fails, nothing happens."""
+    aside = False
+    try:
+        here = path.relative_to(Path(root).resolve()).as_posix()
+        before = _git(root, "rev-parse", "--verify", "--quiet", "HEAD") and _git(root, "stash", "list")
+        _git(root, "stash", "push", "--quiet", "--", ".", f":(exclude){here}")
+        aside = _git(root, "stash", "list") != before
+    except (subprocess.SubprocessError, OSError):
+        pass
+    try:
+        yield aside
+    finally:
+        if aside:
+            with contextlib.suppress(subprocess.SubprocessError, OSError):
+                _git(root, "stash", "pop", "--quiet")
+
+
 def write_fix(file_path: str, diff: str, root: str, test_command: str | None = None, allowed: tuple[str, ...] = ("pytest", "npm test", "go test")) -> dict:
     """Applies a diff to one file of a tree. With a test command the change stays only if that
-    succeeds; commands run without a shell."""
+    succeeds; commands run without a shell, and other uncommitted changes are put aside."""
     out = {"success": False, "rolled_back": False, "error": None, "test_output": ""}
     try:
         path = inside(file_path, root)
@@ -32,43 +101,45 @@ def write_fix(file_path: str, diff: str, root: str, test_command: str | None = N
     if not path.is_file() or is_skipped(path):
         return out | {"error": f"not a file to change: {file_path}"}
     try:
-        before = path.read_text(encoding="utf-8")
-        write_atomically(path, applied(before, diff))
+        after = applied(path.read_text(encoding="utf-8"), diff)
+        _keep(path)
     except (BadDiff, OSError, UnicodeDecodeError) as e:
         return out | {"error": str(e)}
-    if test_command is None:
-        return out | {"success": True}
+    good, said = True, ""
     try:
-        ran = subprocess.run(shlex.split(test_command), cwd=root, capture_output=True, text=True, timeout=TEST_SECONDS)
-        good, said = ran.returncode == 0, ran.stdout + ran.stderr
+        write_atomically(path, after)
+        if test_command is not None:
+            with others_aside(root, path):
+                ran = subprocess.run(shlex.split(test_command), cwd=root, capture_output=True, text=True, timeout=TEST_SECONDS)
+            good, said = ran.returncode == 0, ran.stdout + ran.stderr
     except (OSError, subprocess.TimeoutExpired) as e:
         good, said = False, str(e)
     if good:
+        _copy_of(path).unlink(missing_ok=True)
         return out | {"success": True, "test_output": said}
-    write_atomically(path, before)
+    rollback(file_path, root)
     return out | {"rolled_back": True, "error": "the test command failed", "test_output": said}
 
 
-def commit(root: str, files: list[str], message: str, n_done: int, branch: str | None = None, create_branch: bool = False, confirmed: bool = False, budget: int = 20, confirm_every: int = 5) -> dict:
-    """Stages files and commits them with git, under the policy of operators.history.gate."""
+def commit(root: str, files: list[str] | None, message: str | None, n_done: int, branch: str | None = None, create_branch: bool = False, confirmed: bool = False, budget: int = BUDGET, confirm_every: int = CONFIRM_EVERY) -> dict:
+    """Stages files (None: all that changed) and commits them with git, under the policy of
+    operators.history.gate. Without a message the commit is numbered."""
     out = {"success": False, "commit_hash": None, "branch": None, "files_committed": [], "error": None}
     try:
-        names = [str(inside(f, root).relative_to(Path(root).resolve())) for f in files]
+        names = None if files is None else [str(inside(f, root).relative_to(Path(root).resolve())) for f in files]
     except OutsideRoot as e:
         return out | {"error": str(e)}
     if n_done >= budget:
         return out | {"error": f"session budget of {budget} is used up"}
     if not confirmed and n_done > 0 and n_done % confirm_every == 0:
         return out | {"needs_confirmation": True}
-
-    def git(*args: str) -> str:
-        return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True).stdout.strip()
-
     try:
         if branch:
-            git("checkout", *(["-b"] if create_branch else []), branch)
-        git("add", "--", *names)
-        git("commit", "-m", message, "--", *names)
-        return out | {"success": True, "commit_hash": git("rev-parse", "HEAD"), "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "files_committed": names}
-    except (subprocess.CalledProcessError, OSError) as e:
+            _git(root, "checkout", *(["-b"] if create_branch else []), branch)
+        _git(root, "add", *(["--all"] if names is None else ["--", *names]))
+        _git(root, "commit", "-m", message or f"Automated fix {n_done + 1}", *([] if names is None else ["--", *names]))
+        if names is None:
+            names = _git(root, "show", "--name-only", "--format=", "HEAD").split("\n")
+        return out | {"success": True, "commit_hash": _git(root, "rev-parse", "HEAD"), "branch": _git(root, "rev-parse", "--abbrev-ref", "HEAD"), "files_committed": names}
+    except (subprocess.SubprocessError, OSError) as e:
         return out | {"error": getattr(e, "stderr", "") or str(e)}

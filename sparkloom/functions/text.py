@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.strip sees it (fixed value).
+#: White space as Python's str.strip sees it, as a class and one by one (fixed values).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: Line ends as Python's str.splitlines sees them (fixed value).
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -19,7 +20,7 @@ DOCSTRING_MARKS = ('"""', "'''")
 
 def strip(c: Column) -> Column:
     """Python's str.strip."""
-    return F.regexp_replace(F.regexp_replace(c, f"\\A{SPACE}+", ""), f"{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normal_body(c: Column, strip_docstring_marks: bool = False) -> Column:
@@ -66,6 +67,11 @@ def is_comment_line(line: Column) -> Column:
     return s.startswith("#") | s.startswith("//")
 
 
+def iso_time(at: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC with microseconds, as the logs have it."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -15,9 +16,7 @@ def is_skipped(path: Column, size: Column) -> Column:
     name = basename(path)
     bad = name.isin(*T.SKIPPED_NAMES) | size.isNull() | (size > T.MOST_BYTES)
     full = F.lower(F.regexp_extract(name, r"(?s)^\.*[^.]+(\..*)$", 1))
-    for s in T.SKIPPED_SUFFIXES:
-        bad = bad | full.endswith(s) | (suffix(path) == s)
-    return bad
+    return bad | full.rlike("(?:" + "|".join(re.escape(s) for s in T.SKIPPED_SUFFIXES) + r")\z")
 
 
 def in_ignored_directory(path: Column, ignored: tuple[str, ...] = T.IGNORED_DIRECTORIES) -> Column:

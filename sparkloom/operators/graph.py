@@ -54,7 +54,7 @@ def trimmed(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     stays lies on cycles or between them."""
     now = cut_lineage(edges.select("from", "to").distinct())
     n = now.count()
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if n else 0):
         entered, left = now.select(F.col("to").alias("from")).distinct(), now.select(F.col("from").alias("to")).distinct()
         now = cut_lineage(now.join(entered, "from", "left_semi").join(left, "to", "left_semi").select("from", "to"))
         after = now.count()
@@ -64,10 +64,10 @@ def trimmed(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return now
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """(file): nodes that reach themselves. Trimming leaves a small graph; in it, each round
-    doubles the length of the paths known, so rounds are few."""
-    reach = trimmed(edges)
+def cycle_members(edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
+    """(file): nodes that reach themselves. Trimming leaves a small graph (`core`, if it is known);
+    in it, each round doubles the length of the paths known, so rounds are few."""
+    reach = trimmed(edges) if core is None else core
     n = reach.count()
     while n:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.to") == F.col("b.from")).select(F.col("a.from").alias("from"), F.col("b.to").alias("to"))
@@ -79,10 +79,10 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return reach.filter(F.col("from") == F.col("to")).select(F.col("from").alias("file"))
 
 
-def list_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
+def list_cycles(edges: DataFrame, most_length: int = 8, core: DataFrame | None = None) -> DataFrame:
     """(cycle): simple cycles of up to most_length nodes, each once, its least node first and
     again at its end. Paths grow from their least node alone, so no rotation is built."""
-    steps = trimmed(edges)
+    steps = trimmed(edges) if core is None else core
     loops = steps.filter(F.col("from") == F.col("to")).select(F.array("from", "to").alias("cycle"))
     steps = steps.filter(F.col("from") != F.col("to"))
     paths = steps.filter(F.col("from") < F.col("to")).select(F.array("from", "to").alias("path"))
@@ -134,13 +134,16 @@ def all_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
     """(cycle): those of `list_cycles`, and for nodes that are on longer cycles alone a shortest one
     through each, so that every node that reaches itself is on a listed cycle. The longer ones are
     sought on the driver, in the trimmed graph (report-sized)."""
-    short = cut_lineage(list_cycles(edges, most_length))
+    core = trimmed(edges)
+    if core.isEmpty():
+        return core.select(F.array("from", "to").alias("cycle"))
+    short = cut_lineage(list_cycles(edges, most_length, core))
     on_short = short.select(F.explode("cycle").alias("file")).distinct()
-    left = [r["file"] for r in cycle_members(edges).join(on_short, "file", "left_anti").collect()]
+    left = [r["file"] for r in cycle_members(edges, core).join(on_short, "file", "left_anti").collect()]
     if not left:
         return short
-    core = [(r["from"], r["to"]) for r in trimmed(edges).collect()]
-    return short.union(edges.sparkSession.createDataFrame([(c,) for c in _shortest_cycles(core, left)], short.schema))
+    links = [(r["from"], r["to"]) for r in core.collect()]
+    return short.union(edges.sparkSession.createDataFrame([(c,) for c in _shortest_cycles(links, left)], short.schema))
 
 
 def first_search_cycles(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:

@@ -31,6 +31,25 @@ def retain(log: DataFrame, keys: list[str], newest_first: list[Column], most: in
     return log.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first))).filter(F.col("_at") <= most).drop("_at")
 
 
+def changelog(history: DataFrame, fixes: DataFrame, pending: DataFrame, order: str = "at") -> DataFrame:
+    """One row `text`: a change log in Markdown, from logs with a column of their order: history
+    (score), fixes (message, file), pending (item). Scores are compared by lag; items are joined."""
+    last = history.select(F.col(order), "score", F.lag("score").over(W.orderBy(order)).alias("before")).orderBy(F.desc(order)).limit(1)
+    score = F.format_string("**Health score:** %.1f", F.col("score"))
+    change = F.when(F.col("before").isNotNull(), F.format_string(" (%+.1f from previous scan)", F.col("score") - F.col("before"))).otherwise("")
+    first = last.agg(F.max(F.concat(score, change)).alias("x"))
+
+    def items(rows: DataFrame, item: Column, title: str, nothing: str | None) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.lit("- "), item).alias("i"))))
+        text = F.array_join(F.transform(listed, lambda x: x["i"]), "\n")
+        return rows.agg(F.when(F.count("*") > 0, F.concat(F.lit(f"## {title}\n\n"), text)).otherwise(F.lit(f"## {title}\n\n{nothing}") if nothing else F.lit(None)).alias("x"))
+
+    done = items(fixes, F.coalesce(F.nullif("message", F.lit("")), F.nullif("file", F.lit("")), F.lit("unknown")), "Fixes Applied", None)
+    left = items(pending, F.col("item"), "Pending Fixes", "_None_")
+    blocks = [F.lit("# Changes"), F.col("x"), done.scalar(), left.scalar()]
+    return first.select(F.concat(F.concat_ws("\n\n", *blocks), F.lit("\n")).alias("text"))
+
+
 def gate(n: Column, confirmed: Column, budget: int = 20, confirm_every: int = 5) -> Column:
     """What an attempt after n successes meets: blocked, checkpoint or allowed."""
     return F.when(n >= budget, "blocked").when(~confirmed & (n > 0) & (n % confirm_every == 0), "checkpoint").otherwise("allowed")

@@ -47,7 +47,7 @@ class Scan:
 
     def health(self) -> DataFrame:
         n = F.count("*").alias("n")
-        dup = self.duplicates.agg(F.coalesce(F.sum(F.size("locations")), F.lit(0)).alias("n"))
+        dup = self.duplicates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         cycles = self.nodes.sparkSession.createDataFrame([(len(self.circular()),)], "n long")
         return scoring.health(self.functions.agg(n), self.dead_code.agg(n), dup, self.god_files.agg(n), cycles)
 
@@ -96,6 +96,16 @@ def import_targets(imports: DataFrame, mode: str) -> DataFrame:
     return whole.select("import_id", "file", "target").union(each).filter("target is not null and target != ''")
 
 
+def ordered(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, ordinal): places from 1 in the order of a key, and what to unpersist after use. Rows are
+    sorted by ranges and counted in each; only the counts, one for each range, meet in one place."""
+    ranged = rows.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).persist()
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_base"))
+    nth = F.row_number().over(W.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("_nth", nth).join(F.broadcast(counts), "_part").select(key, (F.col("_base") + F.col("_nth")).alias("ordinal")), ranged
+
+
 def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0, mode: str = "intended") -> Scan:
     """Reads and parses a tree once and plans every analysis on the result."""
     ensure_importable(spark)
@@ -110,7 +120,7 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         functions = functions.withColumn("decorators", F.array().cast("array<string>"))
     counts = {"total_functions": F.size("functions"), "total_classes": F.size("classes"), "total_imports": F.size("imports")}
     sizes = good.select("file", lines.alias("lines"), (F.size("functions") + F.size("classes")).alias("exports"))
-    nodes = good.select("file", F.row_number().over(W.orderBy("file")).alias("ordinal"))  # report-sized
+    nodes, ranged = ordered(good, "file")
     calls = symbols.call_sites(good.select("file", "text"), mode)
     exported = good.select(F.explode("exported").alias("name"))
     targets = import_targets(parsers.imports_of(parsed), mode)
@@ -128,5 +138,5 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         functions=functions,
         calls=calls,
         mode=mode,
-        kept=[parsed, listing],
+        kept=[parsed, listing, ranged],
     )

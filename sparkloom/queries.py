@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import tables as T
 from .functions import text as X
 from .operators import files, graph, history, scoring, symbols
+from .session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +56,7 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HASHES} SELECT hash, doc_id FROM h WHERE hash IN (SELECT hash FROM h GROUP BY hash HAVING count(*) >= 2)")
 def dup_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.duplicate_members(_hashes(spark, sf_dir), "hash").select("hash", "doc_id")
+    return symbols.duplicate_members(cut_lineage(_hashes(spark, sf_dir)), "hash").select("hash", "doc_id")  # texts are hashed once
 
 
 @query(f"SELECT doc_id, sha256({_sql_body(X.COMMENT_STARTS + X.DOCSTRING_MARKS)}) AS hash FROM documents WHERE text IS NOT NULL")

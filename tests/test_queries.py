@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sparkloom import queries
+from sparkloom import queries, tree_queries  # noqa: F401  (adds its queries)
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = Path("/root/testdata/sf0.001")
