@@ -20,6 +20,9 @@ IGNORED_DIRECTORIES = (
     ".mypy_cache", ".tox", ".coverage", "htmlcov", ".cache", ".next", "out", "target",
 )
 
+#: Of these, what a tree that is read without a scan leaves out.
+READ_IGNORED = IGNORED_DIRECTORIES[:10]
+
 #: Files that are never read: by suffix, by name, by size in bytes.
 SKIPPED_SUFFIXES = (
     ".min.js", ".lock", ".bin", ".exe", ".map", ".png", ".jpg", ".jpeg", ".gif", ".woff", ".woff2", ".ttf", ".ico",

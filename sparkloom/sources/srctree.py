@@ -6,6 +6,7 @@ guards and pruning happen where partitions are planned, so files that are left o
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 
 from ..functions import tables as T
 
+log = logging.getLogger(__name__)
+
 SCHEMA = "file string, language string, size long, content binary, error string"
 
 
@@ -68,8 +71,10 @@ class Part(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
-        self.ignored = frozenset(x for x in options.get("ignore", ",".join(T.IGNORED_DIRECTORIES)).split(",") if x)
+        self.ignored = frozenset(x for x in options.get("ignore", ",".join(T.READ_IGNORED)).split(",") if x)
         self.languages = {x for x in options.get("languages", "").split(",") if x}
+        if unknown := self.languages - set(T.PARSED_LANGUAGES.values()):
+            log.warning("no parser for %s", ", ".join(sorted(unknown)))
         self.depth = int(options.get("maxdepth", "0"))
         self.tests = options.get("includetests", "true").lower() != "false"
         self.per_part = int(options.get("filesperpartition", "64"))

@@ -382,6 +382,15 @@ def tree_files_of_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir, maxDepth="1", includeTests="false")
 
 
+@query("SELECT d || '/x.py' AS file FROM (VALUES ('src'), ('out'), ('target'), ('.tox'), ('htmlcov')) AS t(d)")
+def tree_files_by_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that is read without a scan leaves out fewer directories."""
+    root = new_tree(spark, "default")
+    for d in ("src", "node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".egg-info", ".pytest_cache", ".mypy_cache", "out", "target", ".tox", "htmlcov"):
+        _write(root, f"{d}/x.py", b"x = 1\n")
+    return srctree.read_tree(spark, str(root)).select("file")
+
+
 @query("SELECT * FROM (VALUES ('a/x.py', true), ('a/../a/x.py', true), ('.', true), ('new.py', true), ('../outside.py', false), ('/etc/hostname', false), ('a/../../outside.py', false), ('link/hostname', false)) AS t(path, allowed)")
 def paths_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_tree(spark, "paths")

@@ -3,8 +3,8 @@ import subprocess
 import pytest
 
 from sparkloom.api import Workspace
-from sparkloom.control import diff, state
-from sparkloom.control.fix import write_fix
+from sparkloom.control import diff, fix, state
+from sparkloom.control.fix import fix_policy, write_fix
 from sparkloom.sources.srctree import OutsideRoot, inside
 
 DIFF = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a = 1\n-b = 2\n+b = 3\n+c = 4\n"
@@ -74,3 +74,17 @@ def test_changelog_and_tidy(tree):
     root = tree({"x.sparkloom-part": "", "y.tmp": "", ".gitignore": "a"})
     assert state.tidy(root)["cleaned"] and not state.tidy(root)["ignore_updated"]
     assert open(f"{root}/y.tmp").read() == "" and open(f"{root}/.gitignore").read().startswith("a\n")
+
+
+def test_policy_of_a_config(tree):
+    assert fix_policy(tree({"scan.toml": "[fix]\nsession_budget = 3\nconfirm_every = 'x'\n"})) == {"budget": 3, "confirm_every": 5}
+    assert fix_policy("/nowhere") == {"budget": 20, "confirm_every": 5}
+
+
+def test_a_crash_leaves_a_copy_that_rollback_puts_back(tree, monkeypatch):
+    root = tree({"x.py": "a = 1\nb = 2\n"})
+    monkeypatch.setattr(fix.subprocess, "run", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        write_fix("x.py", DIFF, root, "true", ("true",))
+    assert "c = 4" in open(f"{root}/x.py").read()
+    assert fix.rollback("x.py", root) and open(f"{root}/x.py").read() == "a = 1\nb = 2\n" and not fix.rollback("x.py", root)

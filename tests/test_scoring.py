@@ -4,42 +4,43 @@ from pyspark.sql import functions as F
 from sparkloom.operators import history, scoring
 
 
+STORE = "lib/store.py"
+
+
 @pytest.fixture
 def world(spark):
-    edges = spark.createDataFrame([(f"m{i}.py", "core.py", i) for i in range(6)], "from string, to string, import_id int")
-    none = spark.createDataFrame([], "from string, to string, import_id int")
-    nodes = spark.createDataFrame([("core.py", 1), ("tests/test_x.py", 2)], "file string, ordinal int")
-    gods = spark.createDataFrame([("core.py", 500)], "file string, lines int")
-    summary = spark.createDataFrame([(2, 100)], "total_files long, total_lines long")
-    return edges, none, nodes, gods, summary
-
-
-def test_risk_cases(spark, world):
-    edges, none, nodes, gods, summary = world
-    no_nodes, no_gods = nodes.limit(0), gods.limit(0)
-    no_dead = spark.createDataFrame([], "symbol string")
-    cyc, no_cyc = spark.createDataFrame([("core.py",)], "file string"), spark.createDataFrame([], "file string")
-    target = spark.createDataFrame([("f", "core.py")], "symbol string, file string")
-
-    def of(e, n, c, g, dead=no_dead):
-        r = scoring.risk_of(target, e, n, c, dead, g, summary, mode="compat").first()
-        return r["score"], r["recommendation"]
-
-    assert of(none, nodes, no_cyc, no_gods) == (5, "safe to fix")
-    assert of(edges, no_nodes, no_cyc, gods) == (75, "manual review recommended")
-    assert of(none, no_nodes, no_cyc, no_gods) == (25, "safe to fix")
-    assert of(none, no_nodes, cyc, no_gods) == (50, "fix with caution")
-    assert of(edges, no_nodes, cyc, gods) == (100, "manual review recommended")
-    assert of(none, nodes, no_cyc, no_gods, spark.createDataFrame([("F",)], "symbol string"))[0] == 25
-
-
-@pytest.mark.parametrize("names, languages, pattern, modules, entries", [
-    (["main.py", "cli.py", "commands/run.py", "utils/helpers.py"], ["python"], "CLI tool", ["main", "cli", "run"], ["main.py", "cli.py", "commands/run.py"]),
-    (["setup.py", "pyproject.toml", "src/mylib/__init__.py", "src/mylib/core.py", "src/mylib/utils.py", "tests/test_core.py"], ["python"], "library", ["core"], []),
+    edges = spark.createDataFrame([(f"jobs/j{i}.py", STORE, i) for i in range(3)], "from string, to string, import_id int")
+    nodes = spark.createDataFrame([(STORE, 1), ("checks/test_all.py", 2)], "file string, ordinal int")
+    gods = spark.createDataFrame([(STORE, 320)], "file string, lines int")
+    cycles = spark.createDataFrame([(STORE,)], "file string")
+    summary = spark.createDataFrame([(4, 480)], "total_files long, total_lines long")
+    return edges, nodes, cycles, gods, summary
+
+
+@pytest.mark.parametrize("importers, tests, cycle, large, dead, score, advice", [
+    (False, True, False, False, False, 10, "safe to fix"),
+    (False, False, False, False, False, 30, "safe to fix"),
+    (False, True, False, False, True, 30, "safe to fix"),
+    (False, False, True, False, False, 55, "fix with caution"),
+    (True, False, False, True, False, 63, "manual review recommended"),
+    (True, True, True, True, False, 68, "manual review recommended"),
+])
+def test_risk_adds_up(spark, world, importers, tests, cycle, large, dead, score, advice):
+    edges, nodes, cycles, gods, summary = world
+    target = spark.createDataFrame([("load", STORE)], "symbol string, file string")
+    unused = spark.createDataFrame([("LOAD",)], "symbol string")
+    some = [df if on else df.limit(0) for df, on in ((edges, importers), (nodes, tests), (cycles, cycle), (unused, dead), (gods, large))]
+    r = scoring.risk_of(target, *some, summary, mode="compat").first()
+    assert (r["score"], r["recommendation"]) == (score, advice)
+
+
+@pytest.mark.parametrize("names, pattern, modules, entries", [
+    (["run.py", "tool/cli_args.py", "tool/typer_app.py"], "CLI tool", ["run", "cli_args", "typer_app"], ["run.py"]),
+    (["package_info.py", "core/module_a.py", "core/engine.py", "setup.py"], "library", ["package_info", "module_a", "engine"], []),
 ])
-def test_architecture(spark, names, languages, pattern, modules, entries):
+def test_architecture(spark, names, pattern, modules, entries):
     files = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, ordinal int")
-    r = scoring.architecture(files, languages).first()
+    r = scoring.architecture(files, ["python"]).first()
     assert (r["pattern"], r["confidence"], r["inferred_modules"], r["entry_points"]) == (pattern, 1.0, modules, entries)
     assert r["hypothesis"].startswith(f"This appears to be a {pattern} written in python.")
 
