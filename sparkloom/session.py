@@ -23,8 +23,11 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy in the checkpoint folder (`spark.checkpoint.dir`; a local one only where none is
-    set), so that an iteration's plan stays small and a lost executor costs no replay."""
+    set and all runs on one machine), so that an iteration's plan stays small and a lost executor costs no replay."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(at or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
