@@ -14,29 +14,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of, to_bytes, worker_cache
 
 CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 1, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
-#: Bounds of the sample that the model is fitted on: rows of each label, and chunks of each row,
-#: spread evenly over the whole text.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 1500, 12
+#: Bounds of the sample that the model is fitted on, for each label: rows, and bytes of their texts,
+#: which are taken whole or not at all.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+#: Chunks whose windows are laid out at a time.
+BLOCK = 512
 THRESHOLD = 0.7
 
 
-def chunks_of(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks of all texts, (n, CHUNK) int16 padded with PAD, and each text's number of chunks.
-    With `most`, that many chunks at even distances; an empty text is a chunk of padding."""
-    starts, numbers = [], []
-    for t in texts:
-        at = np.arange(0, max(1, len(t) - OVERLAP), CHUNK - OVERLAP)
-        if most and len(at) > most:
-            at = at[np.linspace(0, len(at) - 1, most).astype(int)]
-        starts.append(at)
-        numbers.append(len(at))
-    out = np.full((sum(numbers), CHUNK), PAD, np.int16)
+def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of all texts, (n, CHUNK) int16 padded with PAD, and each text's number of chunks; an
+    empty text is a chunk of padding."""
+    starts = [np.arange(0, max(1, len(t) - OVERLAP), CHUNK - OVERLAP) for t in texts]
+    numbers = np.array([len(at) for at in starts], np.int64)
+    out = np.full((int(numbers.sum()), CHUNK), PAD, np.int16)
     row = 0
     for t, at in zip(texts, starts):
         raw = np.frombuffer(t, np.uint8)
@@ -44,7 +42,7 @@ def chunks_of(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray,
             part = raw[a : a + CHUNK]
             out[row, : len(part)] = part
             row += 1
-    return out, np.array(numbers, np.int64)
+    return out, numbers
 
 
 def filled(chunks: np.ndarray) -> np.ndarray:
@@ -97,6 +95,7 @@ class ByteNet:
         return np.concatenate([np.maximum(out + self.p["fbias"], 0), filled(chunks)], 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        """A score of each whole text; many texts or a long one are read in blocks of chunks."""
         chunks, numbers = chunks_of(texts)
         h = np.maximum(self.pooled(chunks) @ self.p["layer"] + self.p["lbias"], 0)
         mean = np.add.reduceat(h, np.cumsum(numbers) - numbers, axis=0) / numbers[:, None]
@@ -105,10 +104,14 @@ class ByteNet:
     def gradients(self, chunks: np.ndarray, numbers: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted logistic loss; each max sends its gradient to the place it came from."""
         p, first = self.p, np.cumsum(numbers) - numbers
-        w = self.windows(chunks)
-        conv = (w.reshape(-1, WIDTH * VECTOR) @ p["filters"]).reshape(*w.shape[:2], FILTERS)
-        place = conv.argmax(1)
-        feat = np.concatenate([np.maximum(np.take_along_axis(conv, place[:, None], 1)[:, 0] + p["fbias"], 0), filled(chunks)], 1)
+        place, top = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), p["filters"].dtype)
+        blocks = [slice(at, at + BLOCK) for at in range(0, len(chunks), BLOCK)]
+        for k in blocks:
+            w = self.windows(chunks[k])
+            conv = (w.reshape(-1, WIDTH * VECTOR) @ p["filters"]).reshape(*w.shape[:2], FILTERS)
+            place[k] = conv.argmax(1)
+            top[k] = np.take_along_axis(conv, place[k][:, None], 1)[:, 0]
+        feat = np.concatenate([np.maximum(top + p["fbias"], 0), filled(chunks)], 1)
         hid = np.maximum(feat @ p["layer"] + p["lbias"], 0)
         mean = np.add.reduceat(hid, first, axis=0) / numbers[:, None]
         prob = 1 / (1 + np.exp(-np.clip(mean @ p["last"] + p["bias"][0], -30, 30)))
@@ -118,11 +121,14 @@ class ByteNet:
         g["layer"], g["lbias"] = feat.T @ dh, dh.sum(0)
         df = ((dh @ p["layer"].T) * (feat > 0))[:, :FILTERS]
         g["fbias"] = df.sum(0)
-        rows = np.arange(len(chunks))[:, None]
-        g["filters"] = np.einsum("cf,cfk->kf", df, w[rows, place], optimize=True)
-        back = (df[:, :, None] * p["filters"].T).reshape(-1, VECTOR)
-        seen = chunks[rows[:, :, None], (place * STRIDE)[:, :, None] + np.arange(WIDTH)].reshape(-1)
-        g["vectors"] = np.stack([np.bincount(seen, back[:, k], PAD + 1) for k in range(VECTOR)], 1).astype(np.float32)
+        g["filters"], g["vectors"] = np.zeros_like(p["filters"]), np.zeros((PAD + 1, VECTOR))
+        for k in blocks:
+            rows = np.arange(len(chunks[k]))[:, None]
+            g["filters"] += np.einsum("cf,cfk->kf", df[k], self.windows(chunks[k])[rows, place[k]], optimize=True)
+            back = (df[k][:, :, None] * p["filters"].T).reshape(-1, VECTOR)
+            seen = chunks[k][rows[:, :, None], (place[k] * STRIDE)[:, :, None] + np.arange(WIDTH)].reshape(-1)
+            g["vectors"] += np.stack([np.bincount(seen, back[:, j], PAD + 1) for j in range(VECTOR)], 1)
+        g["vectors"] = g["vectors"].astype(np.float32)
         g["vectors"][PAD] = 0
         return g
 
@@ -155,10 +161,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, chunks: int = SAMPLE_CHUNKS) -> ByteNet | float:
-    """Fits a net on at most `rows` rows of each label, taken by the hash of their id, and
-    `chunks` chunks of each. Weights restore the labels' own proportion. Where fewer than two
-    labels are known, the share of label 1 (0.5 if there is none) stands in for a net.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteNet | float:
+    """Fits a net on the whole texts of at most `rows` rows of each label, taken in the order of the
+    hash of their id as far as `most_bytes` of text hold them. Weights restore the labels' own
+    proportion. Where fewer than two labels are known, the share of label 1 (0.5 if there is none)
+    stands in for a net.
 
     Labels that are null or neither 0 nor 1, and those of held-out rows, are left out; of several
     for one id the least counts.
@@ -171,17 +178,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # 2 * rows ids at most
 
-    def cut(batches) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            got = [chunks_of([t], chunks)[0].tobytes() for t in to_bytes(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "chunks"])
-
-    got = texts_of(docs).join(sample, "doc_id").select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, chunks binary").collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["chunks"]))}.values(), key=lambda r: r["doc_id"])
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    upto = F.sum(size).over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", size).rowsBetween(W.unboundedPreceding, 0))
+    sized = texts_of(docs).join(sample, "doc_id").withColumn("upto", upto).filter(F.col("upto") <= most_bytes)
+    got = sized.select("doc_id", "y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).collect()
+    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))}.values(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
         return share.get(1, 0) / sum(share.values())
-    every = [np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in got]
+    every = [chunks_of([bytes(r["text"])])[0] for r in got]
     seen = [max(1, int((y == k).sum())) for k in (0, 1)]
     weight = np.where(y == 1, share[1] / seen[1], share[0] / seen[0]).astype(np.float32)
     return fitted(every, y, weight)
