@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_key, texts_of
+from .common import new_folder, stored, text_key, texts_of
 
 SLOTS = 4096
-MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_rows long, slot_bytes long"
+MAP_SCHEMA = "virtual_slot int, shard int, slot_rows long, slot_bytes long"
 ROW_OVERHEAD = 16
 
 
@@ -70,12 +70,13 @@ def rebalance(to: dict[int, int], slot_bytes: dict[int, int], n_shards: int) ->
         weight[s] += slot_bytes[slot]
     slots = sorted(slot_bytes, key=lambda x: (-slot_bytes[x], x))
     for new in range(old, n_shards):
-        for slot in slots:
-            s, size = now[slot], slot_bytes[slot]
-            if s < old and weight[new] + size <= share and weight[s] - size >= share * 0.98:
-                now[slot] = new
-                weight[s] -= size
-                weight[new] += size
+        for least in (share * 0.98, 0.0):  # from shards that stay full, then from any that stay the heavier one
+            for slot in slots:
+                s, size = now[slot], slot_bytes[slot]
+                if s < old and weight[new] + size <= share and weight[s] - size >= max(least, weight[new] + size if not least else 0):
+                    now[slot] = new
+                    weight[s] -= size
+                    weight[new] += size
     return now
 
 
@@ -92,23 +93,60 @@ def digests(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     )
 
 
-def slot_map(spark: SparkSession, rows: DataFrame, n_shards: int, n_slots: int = SLOTS, grow_to: int | None = None) -> DataFrame:
-    """The stored map: version 1 for n_shards, version 2, if asked for, edited to grow_to shards.
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_map(spark: SparkSession, path: str, version: int, to: dict[int, int], sums: dict[int, tuple[int, int]]) -> None:
+    """Stores a version of the map at path/version=N; what is there already is never changed."""
+    data = [(s, to[s], *map(int, sums.get(s, (0, 0)))) for s in sorted(to)]
+    rows = spark.createDataFrame(data, MAP_SCHEMA).coalesce(1)
+    rows.write.mode("error").parquet(f"{path}/version={version}")
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest version of the map at path that was written to its end, 0 if there is none."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        return 0
+    names = [x.getPath() for x in fs.listStatus(at)]
+    done = [p.getName() for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(n.split("=")[1]) for n in done), default=0)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(virtual_slot, shard, slot_rows, slot_bytes) of a version, the latest unless one is named."""
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version or latest_version(spark, path)}")
+
+
+def slot_map(spark: SparkSession, rows: DataFrame, n_shards: int, path: str, n_slots: int = SLOTS) -> int:
+    """Brings the map stored at path to n_shards and returns its version. Without a map the slots
+    are assigned anew; a map of fewer shards is edited, and slots move into new shards alone; a map
+    of as many stays, whatever the rows weigh now, so that records keep their shard.
 
     The aggregate has n_slots rows at most; its size is a parameter and not the corpus's.
     """
+    last = latest_version(spark, path)
+    old = {r["virtual_slot"]: r["shard"] for r in read_map(spark, path, last).collect()} if last else {}
+    if last and len(old) != n_slots:
+        raise ValueError(f"the map at {path} has {len(old)} slots, not {n_slots}")
+    if last and max(old.values()) + 1 > n_shards:
+        raise ValueError(f"the map at {path} has {max(old.values()) + 1} shards, more than {n_shards}")
+    if last and max(old.values()) + 1 == n_shards:
+        return last
     sums = {r["virtual_slot"]: (r["n"], r["b"]) for r in rows.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     weights = {s: sums.get(s, (0, 0))[1] for s in range(n_slots)}
-    versions = [assign(weights, n_shards)]
-    if grow_to:
-        versions.append(rebalance(versions[0], weights, grow_to))
-    data = [(v, s, to[s], *map(int, sums.get(s, (0, 0)))) for v, to in enumerate(versions, 1) for s in range(n_slots)]
-    return stored(spark.createDataFrame(data, MAP_SCHEMA).coalesce(1), "slot-map")
+    write_map(spark, path, last + 1, rebalance(old, weights, n_shards) if last else assign(weights, n_shards), sums)
+    return last + 1
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Puts every document into one of n_shards shards of near equal bytes (law `bytes`).
 
+    The slot-to-shard map is kept at `map_path` (a new folder unless stated): a later call there
+    keeps every record in its shard, and with more shards edits the map as its next version.
+
     Returns doc_id, size (UTF-8 bytes and 16), text_crc32, law, shard, slot (the row's place in
     its shard, gapless from 0), grown_shard (null under this law), virtual_slot, map_version. A
     null text has no bytes; a null doc_id hashes like any value; repeated rows are dealt one by
@@ -118,9 +156,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -
     """
     spark = docs.sparkSession
     rows = stored(digests(docs, n_slots), "shard-rows")
-    made = slot_map(spark, rows, n_shards, n_slots).filter("version = 1")
+    path = map_path or new_folder(spark, "slot-map")
+    version = slot_map(spark, rows, n_shards, path, n_slots)
+    held = rows.groupBy("virtual_slot").agg(F.count("*").alias("held"))  # n_slots rows at most
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
-    mapped = made.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base"))
+    base = F.coalesce(F.sum(F.coalesce("held", F.lit(0))).over(before), F.lit(0))
+    mapped = read_map(spark, path, version).join(F.broadcast(held), "virtual_slot", "left").select("virtual_slot", "shard", base.alias("base"))
     place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "row_key")) - 1
     return (
         rows.withColumn("place", place)
@@ -128,6 +169,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("base") + F.col("place")).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"),
+            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
         )
     )
