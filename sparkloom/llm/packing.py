@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_key, texts_of, to_bytes
 from .tokens import MOST_WORDS, encoder
 
-CAPACITY, END_ID, BUCKETS = 2048, 0, 32
+CAPACITY, END_ID = 2048, 0
+#: Pieces of one length that are ranked in one task, about; buckets of a length at most, so that the
+#: driver holds some million counts at any size.
+RANKED, MOST_BUCKETS = 200_000, 1 << 20
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -163,18 +166,30 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     return texts_of(docs).withColumn("row_key", text_key()).mapInArrow(run, PIECES)
 
 
+def _buckets(sizes: dict[int, int]) -> dict[int, int]:
+    """In how many buckets pieces of each length are ranked: by their number, fewer if all lengths
+    together would have more than `MOST_BUCKETS`."""
+    each = max(RANKED, sum(sizes.values()) // MOST_BUCKETS)
+    return {length: -(-n // each) for length, n in sizes.items()}
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to stored pieces (as of `tokenized_pieces`).
 
     Pieces of one length are interchangeable, so a piece's rank within its length picks its run.
-    Ranks are counted in hashed buckets of each length: one length may hold a third of all rows.
+    Ranks are counted in hashed buckets of each length, as many as its pieces need: one length may
+    hold a third of all rows.
     """
     spark = pieces.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "row_key", "piece"), F.lit(BUCKETS)).cast("int")
-    rows = pieces.withColumn("bucket", bucket)
+    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    spread = _buckets(sizes)
+    usual = F.lit(1)
+    if many := {k: b for k, b in spread.items() if b > 1}:
+        usual = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length")), usual)
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_key", "piece"), usual).cast("int"))
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram: dict[int, int] = {}
-    bases = []  # at most capacity * BUCKETS rows
+    bases = []  # a row for each length and bucket
     for length, b, n in sorted(map(tuple, counts.collect())):
         bases.append((length, b, histogram.get(length, 0)))
         histogram[length] = histogram.get(length, 0) + n
