@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on one machine) is a
-    local folder set.
+    Where neither that setting nor a checkpoint folder exists, a local folder is set if all runs on
+    one machine; on a cluster that is an error, as no executor would see another's files.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
