@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Fast Hadamard pseudo-rotations turn unit vectors; a vector's code in a table is the signed axis
-nearest to it. Every row is in every table of its shard. A query probes the axes nearest to it in
-each table, and what lies there is ranked by exact inner products.
+nearest to it. Every row is in every table of its shard. A query probes many axes of each table, the
+nearer ones with more weight: a row's votes are the query's lengths along the axes that the row is
+filed under. Rows with the most votes of a shard, and all that have nearly as many as the query
+would give itself, are ranked by exact inner products.
 """
 
 from __future__ import annotations
@@ -13,27 +15,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .search import BLOCK_ROWS, SHARD_ROWS, Best, packed, search, usable, width_of
+from .search import BLOCK_ROWS, Best, distinct_vectors, for_all_ids, packed, search, usable
 
-#: Tables, and the share of the axes that a query probes in each. Together they set recall.
-TABLES, PROBED = 10, 0.125
+#: Tables; the share of signed axes that a query probes in each (all on its own side); the share of a
+#: shard's rows that are ranked exactly, how many they are at least, and the share of a query's own
+#: votes from which a row always is.
+TABLES, PROBED, RANKED, LEAST, NEAR = 32, 0.5, 0.08, 128, 0.7
+SHARD_ROWS = 8192
+#: Queries whose votes are counted at a time.
+ASKED = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The Walsh-Hadamard transform of each row; its width is a power of two."""
+    x = np.array(x)
     n, d = x.shape
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, d)
+        pair = x.reshape(n, d // (2 * h), 2, h)
+        first, second = pair[:, :, 0], pair[:, :, 1]
+        total = first + second
+        np.subtract(first, second, out=second)
+        first[:] = total
         h *= 2
-    return x / np.sqrt(d)
+    x /= np.sqrt(d).astype(x.dtype)
+    return x
 
 
 def rotated(x: np.ndarray, table: int) -> np.ndarray:
     """Three rounds of random signs and Hadamard, by the table's own seed."""
-    signs = np.random.default_rng(1000 + table).choice([-1.0, 1.0], (3, x.shape[1]))
+    signs = np.random.default_rng(1000 + table).choice([-1.0, 1.0], (3, x.shape[1])).astype(x.dtype)
     for s in signs:
         x = hadamard(x * s)
     return x
@@ -43,7 +54,7 @@ def lifted(x: np.ndarray, radius: float, even: bool, query: bool) -> np.ndarray:
     """Unit vectors whose inner products order rows as those of the originals do: where norms
     differ, a further component makes up what each lacks of the largest. Padded to a power of 2."""
     width = x.shape[1] + (not even)
-    out = np.zeros((len(x), 1 << max(1, (width - 1).bit_length())))
+    out = np.zeros((len(x), 1 << max(1, (width - 1).bit_length())), np.float32)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     out[:, : x.shape[1]] = x / (np.maximum(norm, 1e-300) if query or even else radius)
     if not even and not query:
@@ -52,36 +63,54 @@ def lifted(x: np.ndarray, radius: float, even: bool, query: bool) -> np.ndarray:
 
 
 def _shard(radius: float, even: bool, tables: int) -> Callable:
+    """The index of a shard: in each table, which rows are filed under each signed axis."""
+
     def build(ids: np.ndarray, x: np.ndarray) -> dict:
         unit, codes = lifted(x, radius, even, False), []
         for t in range(tables):
             y = rotated(unit, t)
             axis = np.abs(y).argmax(1)
-            code = 2 * axis + (y[np.arange(len(y)), axis] < 0)
-            order = np.argsort(code, kind="stable")
-            codes.append((order.astype(np.int32), np.searchsorted(code[order], np.arange(2 * y.shape[1] + 1)).astype(np.int32)))
+            codes.append((2 * axis + (y[np.arange(len(y)), axis] < 0)).astype(np.int16 if y.shape[1] < 1 << 14 else np.int32))
         return {"ids": ids, "x": x, "codes": codes}
 
     return build
 
 
 def _block(even: bool, tables: int, probed: float) -> Callable:
+    """The weights with which each query probes the axes of each table; 0 for those it does not."""
+
     def build(ids: np.ndarray, x: np.ndarray) -> dict:
-        unit, probes = lifted(x, 1.0, even, True), []
+        unit, weights = lifted(x, 1.0, even, True), []
         for t in range(tables):
             y = rotated(unit, t)
             both = np.stack([y, -y], 2).reshape(len(y), -1)
             n = max(1, int(probed * both.shape[1]))
-            pick = np.argpartition(-both, n - 1, axis=1)[:, :n].reshape(-1)
-            order = np.argsort(pick, kind="stable")
-            probes.append(((order // n).astype(np.int32), np.searchsorted(pick[order], np.arange(both.shape[1] + 1)).astype(np.int32)))
-        return {"ids": ids, "x": x, "probes": probes}
+            least = np.partition(both, both.shape[1] - n, axis=1)[:, [both.shape[1] - n]]
+            weights.append(np.where(both >= least, both, 0))
+        return {"ids": ids, "x": x, "weights": np.stack(weights)}
 
     return build
 
 
+def candidates(block: dict, shard: dict, q: slice, ranked: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of some of a block's queries that are worth exact products."""
+    weights = block["weights"][:, q]
+    n = len(shard["ids"])
+    votes = np.zeros((weights.shape[1], n), np.float32)
+    for w, code in zip(weights, shard["codes"]):
+        votes += w[:, code]
+    most = max(k, LEAST, int(np.ceil(ranked * n)))
+    floor = weights.max(2).sum(0) * NEAR
+    if most < n:
+        floor = np.minimum(floor, np.partition(votes, n - most, axis=1)[:, n - most])
+    else:
+        floor = np.full(len(votes), -np.inf, np.float32)
+    at, row = np.nonzero(votes >= floor[:, None])
+    return at + (q.start or 0), row
+
+
 def _exact(block: dict, shard: dict, best: Best, q: np.ndarray, j: np.ndarray) -> None:
-    """Candidate pairs by score again, each summed in one fixed order, so that equal vectors tie."""
+    """Candidate pairs by score, each summed in one fixed order, so that equal vectors tie."""
     for at in range(0, len(q), 1 << 16):
         a, b = q[at : at + (1 << 16)], j[at : at + (1 << 16)]
         score = np.einsum("ij,ij->i", block["x"][a], shard["x"][b])
@@ -96,51 +125,35 @@ def _exact(block: dict, shard: dict, best: Best, q: np.ndarray, j: np.ndarray) -
         best.take(rows, s, i)
 
 
-def _kernel(block: dict, shard: dict, best: Best) -> None:
-    score = np.full((len(block["ids"]), len(shard["ids"])), -np.inf)
-    for (order, edge), (who, from_) in zip(shard["codes"], block["probes"]):
-        for c in range(len(edge) - 1):
-            rows, asks = order[edge[c] : edge[c + 1]], who[from_[c] : from_[c + 1]]
-            if len(rows) and len(asks):
-                score[asks[:, None], rows] = block["x"][asks] @ shard["x"][rows].T
-    score[block["ids"][:, None] == shard["ids"]] = -np.inf
-    n, k = score.shape[1], best.k
-    floor = best.floor
-    if n > k:
-        floor = np.maximum(floor, np.partition(score, n - k, axis=1)[:, n - k])
-    slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(floor), floor, 0)))
-    q, j = np.nonzero((score >= (floor - slack)[:, None]) & (score > -np.inf))
-    _exact(block, shard, best, q, j)
-
+def _kernel(ranked: float) -> Callable[[dict, dict, Best], None]:
+    def run(block: dict, shard: dict, best: Best) -> None:
+        for at in range(0, len(block["ids"]), ASKED):
+            q, j = candidates(block, shard, slice(at, min(at + ASKED, len(block["ids"]))), ranked, best.k)
+            _exact(block, shard, best, q, j)
 
-def _every(block: dict, shard: dict, best: Best) -> None:
-    """All pairs of a block and a shard, for the few queries that the tables leave short."""
-    q, j = np.nonzero(block["ids"][:, None] != shard["ids"])
-    _exact(block, shard, best, q, j)
+    return run
 
 
-def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probed: float = PROBED) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probed: float = PROBED, ranked: float = RANKED) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by `every`, the k rows
     of largest inner product that the index finds, in double precision, ties to the smaller id.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite components
     take no part; shorter vectors count as padded with zeros; rows that repeat an id never answer
-    it. The index is fitted on nothing but the norms' range, and indexes every row. A query for
-    which the tables hold fewer than k candidates is held against all rows, in blocks; so each gets
-    k, or all that there are.
+    it, and rows alike in both count once. The index is fitted on nothing but the norms' range, and
+    indexes every row. A shard gives each query k + 1 candidates at least, or all it has, so that a
+    query gets k rows, or all that there are.
     """
     rows = usable(table, allow_zero=False)
+    vectors = distinct_vectors(rows)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    width, low, high = rows.agg(F.max(F.size("vec")), F.min(norm), F.max(norm)).first()
+    width, low, high = vectors.agg(F.max(F.size("vec")), F.min(norm), F.max(norm)).first()
     width, high = width or 1, high or 1.0
     even = (low or 1.0) >= 0.999 * high
-    shards = packed(rows, width, SHARD_ROWS, _shard(high, even, tables), "ann-shards")
-    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = packed(queries, width, BLOCK_ROWS, _block(even, tables, probed), "ann-queries")
-    found = stored(search(blocks, shards, _kernel, k, as_long=False), "ann-found")
-    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")).distinct()
-    short = queries.join(full, "vec_id", "left_anti")
-    if short.isEmpty():
-        return found
-    rest = search(packed(short, width, BLOCK_ROWS, _block(even, tables, probed), "ann-short"), shards, _every, k, as_long=False)
-    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest)
+
+    def find(reps: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+        shards = packed(reps, width, SHARD_ROWS, _shard(high, even, tables), "ann-shards")
+        blocks = packed(queries, width, BLOCK_ROWS // 8, _block(even, tables, probed), "ann-queries")
+        return search(blocks, shards, _kernel(ranked), most, as_long=False)
+
+    return for_all_ids(rows, vectors, every, k, find)

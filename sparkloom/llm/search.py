@@ -1,9 +1,11 @@
 """Top-k search of a stated query set against all rows, in blocks.
 
-Rows are packed into shards of bounded size, queries into blocks; a task takes one block and
-streams one stripe of shards past it, keeping each query's k best. A first stripe is searched
-alone, and the k-th scores it finds are a floor for all others. What moves are blocks and shards,
-a few thousand rows in one; the answer of a block and stripe is one packed row.
+Vectors that are the same are one: each distinct vector is searched, and asked, once, and stands for
+its ids in the end. Distinct vectors are packed into shards of bounded size, queries into blocks; a
+task takes one block and streams one stripe of shards past it, keeping each query's k best. A first
+stripe is searched alone, and the k-th scores it finds are a floor for all others; where shards tell
+how far they reach, a block then gets those alone that may pass its floors. What moves are blocks
+and shards, some thousand rows in one; the answer of a block and stripe is one packed row.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, worker_cache
 
-SHARD_ROWS, BLOCK_ROWS, STRIPE = 4096, 1024, 8
+SHARD_ROWS, BLOCK_ROWS = 4096, 8192
+#: Shards of a stripe at least, and stripes at most.
+STRIPE, STRIPES = 2, 256
+#: Bounds of shards that are sent to all tasks at a time: 64 components and a radius are some 40 MB.
+SENT = 1 << 16
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", allow_zero: bool = True) -> DataFrame:
@@ -48,6 +55,7 @@ def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray,
     them, numbered from 0. The numbering collects one number for each packed row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         part, k, ids, vecs, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def emit() -> pa.RecordBatch:
@@ -148,32 +156,88 @@ def _merged(k: int, number: type):
     return run
 
 
-def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool) -> DataFrame:
+def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): every block against every shard by `kernel`, which gives
-    its candidates to a `Best`."""
-    number = np.int64 if as_long else np.float64
+    its candidates to a `Best`; with `reach`, against the shards that it names from the floors of a
+    first stripe and `bounds` (no, body), a small row for each shard."""
+    number, kind = (np.int64, "long") if as_long else (np.float64, "double")
     n_blocks, n_shards = blocks.count(), shards.count()
     if not n_blocks or not n_shards:
-        return blocks.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {'long' if as_long else 'double'}")
-    stripes = max(1, n_shards // STRIPE)
+        return blocks.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")
+    stripes = max(1, min(STRIPES, n_shards // STRIPE))
 
-    def run(first: int, last: int, floors: DataFrame | None) -> DataFrame:
+    def run(first: int, last: int, floors: DataFrame | None, routes: DataFrame | None) -> DataFrame:
         own = blocks.select(F.col("no").alias("block"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("stripe"), F.lit(0).alias("kind"), "body")
         at = shards.withColumn("stripe", F.pmod("no", F.lit(stripes))).filter(F.col("stripe").between(first, last))
-        every = own.union(at.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "stripe", F.lit(2), "body"))
+        if routes is None:
+            sent = at.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "stripe", F.lit(2), "body")
+        else:
+            sent = at.join(routes, "no").select("block", "stripe", F.lit(2), "body")
+        every = own.union(sent)
         if floors is not None:
             every = every.union(floors.select("block", F.explode(F.sequence(F.lit(first), F.lit(last))), F.lit(1), "body"))
         tasks = min(2000, n_blocks * (last - first + 1))
         ordered = every.repartition(tasks, "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
         return stored(ordered.mapInArrow(_searched(k, kernel, number), "block int, body binary"), "found")
 
-    found = pilot = run(0, 0, None)
+    found = pilot = run(0, 0, None, None)
     if stripes > 1:
-        found = pilot.union(run(1, stripes - 1, pilot))
-    kind = "long" if as_long else "double"
+        routes = _routes(blocks, pilot, bounds, n_shards, reach) if reach else None
+        found = pilot.union(run(1, stripes - 1, pilot, routes))
     return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, number), f"query_id long, rank int, vec_id long, score {kind}")
 
 
+def _routes(blocks: DataFrame, floors: DataFrame, bounds: DataFrame, n_shards: int, reach: Callable) -> DataFrame:
+    """Stored (block, no): the shards that may hold a score above a floor of a block. Bounds go to
+    all tasks in parts of bounded size."""
+    asked = blocks.join(floors.select(F.col("block").alias("no"), F.col("body").alias("found")), "no")
+    out = None
+    for low in range(0, n_shards, SENT):
+        part = sorted((r["no"], bytes(r["body"])) for r in bounds.filter(F.col("no").between(low, low + SENT - 1)).collect())
+        shared = blocks.sparkSession.sparkContext.broadcast((np.array([no for no, _ in part]), [pickle.loads(b) for _, b in part]))
+
+        def run(batches, shared=shared) -> Iterator[pa.RecordBatch]:
+            numbers, own = shared.value
+            for b in batches:
+                for no, body, found in zip(*(c.to_pylist() for c in b.columns)):
+                    got = numbers[reach(pickle.loads(body), pickle.loads(found)[1][:, -1], own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), no), pa.int32()), pa.array(got, pa.int32())], ["block", "no"])
+
+        made = asked.select("no", "body", "found").mapInArrow(run, "block int, no int")
+        out = made if out is None else out.union(made)
+    return stored(out, "routes")
+
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """Stored (vec, rep, n): each distinct vector, its least vec_id and its number of rows, from
+    partial sums; a vector that a third of all rows share is one row of each task."""
+    return stored(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+
+
+def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """`find(rows, queries, k + 1)` on distinct vectors (vec_id, vec), for the ids they stand for.
+
+    Of equal scores the least ids count, so the k + 1 best vectors, and of each its k + 1 least ids,
+    hold the k best rows of any query, itself left out. Rows alike in id and vector count once.
+    """
+    alone = vectors.filter("n = 1").select("rep", F.col("rep").alias("id"))
+    shared = vectors.filter("n > 1").select("vec", "rep")
+    ids = stored(rows.join(shared.hint("merge"), "vec").select("rep", F.col("vec_id").alias("id")).distinct(), "shared-ids")
+    least = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (("rep", "salt"), ("rep",)):  # in 64 parts first: one vector may have very many ids
+        least = least.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1)
+    asks = stored(alone.union(ids).filter(F.pmod("id", F.lit(every)) == 0).select("rep", F.col("id").alias("query_id")), "asks")
+    reps = vectors.select(F.col("rep").alias("vec_id"), "vec")
+    queries = reps.join(asks.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    hits = find(reps, queries, k + 1).select(F.col("query_id").alias("rep"), F.col("vec_id").alias("hit"), "score")
+    best = W.partitionBy("rep").orderBy(F.desc("score"), "id")
+    each = hits.join(least.select(F.col("rep").alias("hit"), "id"), "hit", "left").select("rep", "score", F.coalesce("id", "hit").alias("id"))
+    each = stored(each.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), "answers")
+    out = asks.join(each.hint("merge"), "rep").filter("id != query_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.select("query_id", rank.alias("rank"), F.col("id").alias("vec_id"), "score").filter(F.col("rank") <= k)
+
+
 def width_of(rows: DataFrame) -> int:
     """Components of the longest vector; shorter ones count as padded with zeros."""
     return rows.agg(F.max(F.size("vec"))).first()[0] or 1

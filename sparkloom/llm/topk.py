@@ -1,16 +1,26 @@
-"""Exact top-k inner products by ball-tree branch and bound in every shard."""
+"""Exact top-k inner products by ball-tree branch and bound in every shard.
+
+Rows are first dealt to cells of a coarse tree over a bounded sample, so that shards, and the balls
+above them, are as narrow as the data let them be; bounds are those of the rows themselves, so the
+sample decides nothing but speed. A block of queries gets the shards whose ball may hold a score
+above the k-th best of one of its queries, and visits their nodes by upper bound.
+"""
 
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import BLOCK_ROWS, SHARD_ROWS, Best, packed, search, usable, width_of
+from .search import BLOCK_ROWS, SHARD_ROWS, Best, _matrix, distinct_vectors, for_all_ids, packed, search, usable, width_of
 
-LEAF = 64
+#: Rows of a leaf; cells of the coarse tree and rows that it is fitted on, at most.
+LEAF, CELLS, SAMPLE = 64, 1024, 16_384
 
 
 def ball_tree(ids: np.ndarray, x: np.ndarray) -> dict:
@@ -41,12 +51,56 @@ def ball_tree(ids: np.ndarray, x: np.ndarray) -> dict:
     return {"ids": ids[order], "x": x[order], "bounds": bounds, "centres": np.array(centres), "radii": np.array(radii), "left": left}
 
 
+def coarse_tree(x: np.ndarray, cells: int) -> list[tuple[np.ndarray, float] | None]:
+    """Cuts of a tree with `cells` leaves at most (a power of two), as a heap: node i parts into
+    2i + 1 and 2i + 2 by whether a row's projection passes a threshold; None is not cut."""
+    cuts: list[tuple[np.ndarray, float] | None] = []
+    parts: list[np.ndarray | None] = [np.arange(len(x))]
+    while len(parts) < 2 * cells - 1:
+        own = parts[len(cuts)]
+        cut = None
+        if own is not None and len(own) > 1:
+            centre = x[own].mean(0)
+            a = x[own][((x[own] - centre) ** 2).sum(1).argmax()]
+            b = x[own][((x[own] - a) ** 2).sum(1).argmax()]
+            along = x[own] @ (b - a)
+            cut = (b - a, float(np.median(along)))
+            right = along > cut[1]
+            parts += [own[~right], own[right]]
+        else:
+            parts += [own, None]
+        cuts.append(cut)
+    return cuts
+
+
+def cells_of(x: np.ndarray, cuts: list[tuple[np.ndarray, float] | None]) -> np.ndarray:
+    """The leaf of each row, numbered from left to right."""
+    at = np.zeros(len(x), np.int64)
+    for node, cut in enumerate(cuts):
+        own = np.nonzero(at == node)[0]
+        if len(own):
+            at[own] = 2 * node + 1 + ((x[own] @ cut[0] > cut[1]) if cut else 0)
+    return at - len(cuts)
+
+
 def _shard(ids: np.ndarray, x: np.ndarray) -> dict:
-    return ball_tree(ids, np.floor(64 * x))
+    return ball_tree(ids, x)
 
 
 def _block(ids: np.ndarray, x: np.ndarray) -> dict:
-    return {"ids": ids, "x": np.floor(64 * x)}
+    return {"ids": ids, "x": x}
+
+
+def _reach(block: dict, floor: np.ndarray, balls: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """True for balls that may hold a score not below some query's floor."""
+    q, out = block["x"], np.zeros(len(balls), bool)
+    size = np.linalg.norm(q, axis=1)[:, None]
+    for at in range(0, len(balls), 512):
+        part = balls[at : at + 512]
+        upper = q @ np.array([c for c, _ in part]).T + size * np.array([r for _, r in part])
+        upper += 1e-9 * (1 + np.abs(upper))
+        out[at : at + 512] = (upper >= floor[:, None]).any(0)
+    return out
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +132,6 @@ def _kernel(block: dict, tree: dict, best: Best) -> None:
             for at in range(lo, hi, 4 * LEAF):
                 ids = tree["ids"][at : min(hi, at + 4 * LEAF)]
                 score = _scores(q[asks], tree["x"][at : at + len(ids)])
-                score[block["ids"][asks][:, None] == ids] = best.none
                 best.take(asks, score, ids)
         else:
             for c in (child, child + 1):
@@ -95,7 +148,47 @@ def exact_top(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Sums that may pass 2^63 raise an error.
     """
     rows = usable(table)
-    width = width_of(rows)
-    shards = packed(rows, width, SHARD_ROWS, _shard, "ball-trees")
-    blocks = packed(rows.filter(F.pmod("vec_id", F.lit(every)) == 0), width, BLOCK_ROWS, _block, "top-queries")
-    return search(blocks, shards, _kernel, k, as_long=True)
+    floored = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(64 * x).cast("double")))
+    vectors = distinct_vectors(floored)
+    width = width_of(vectors)
+
+    def find(reps: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+        ordered = clustered(reps, width)
+        shards = packed(ordered, width, SHARD_ROWS, _shard, "ball-trees")
+        blocks = packed(queries, width, BLOCK_ROWS, _block, "top-queries")
+        return search(blocks, shards, _kernel, most, as_long=True, reach=_reach, bounds=balls(shards))
+
+    return for_all_ids(floored, vectors, every, k, find)
+
+
+def balls(shards: DataFrame) -> DataFrame:
+    """(no, body): centre and radius of each shard's tree."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [pickle.loads(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps((t["centres"][0], float(t["radii"][0]))) for t in trees], pa.binary())], ["no", "body"])
+
+    return shards.select("no", "body").mapInArrow(run, "no int, body binary")
+
+
+def clustered(rows: DataFrame, width: int) -> DataFrame:
+    """(vec_id, vec) in partitions by ranges of coarse cells, so that what is packed together lies
+    together. The tree is fitted on `SAMPLE` rows at most, the first by the hash of their id."""
+    n = rows.count()
+    if n <= SHARD_ROWS:
+        return rows
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = np.zeros((len(got), width))
+    for r, row in zip(sample, got):
+        r[: len(row["vec"])] = row["vec"]
+    cells = min(CELLS, 1 << max(1, (n // SHARD_ROWS).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(coarse_tree(sample, cells))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = cells_of(_matrix(b.column(1), width), shared.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["vec_id", "vec", "cell"])
+
+    dealt = rows.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec array<double>, cell long")
+    return dealt.repartitionByRange("cell", F.xxhash64("vec_id")).sortWithinPartitions("cell", "vec_id").select("vec_id", "vec")
