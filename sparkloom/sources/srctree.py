@@ -1,7 +1,8 @@
 """A source tree as a table: the Python data source `srctree` and the listing beside it.
 
-Spark's own file readers drop names that begin with "_" or "."; this reader does not. Listing,
-guards and pruning happen where partitions are planned, so files that are left out are never read.
+Spark's own file readers drop names that begin with "_" or "."; this reader does not. The driver
+opens directories until there are enough for all tasks; these list what is below, prune, guard and
+read, so files that are left out are never read and no one lists the whole tree.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -53,19 +55,35 @@ def is_skipped(path: Path) -> bool:
         return True
 
 
-def walk(root: str | Path, ignored: frozenset[str]) -> Iterator[str]:
-    """Relative paths of all files, ignored directories pruned rather than filtered, in order."""
+def walk(root: str | Path, ignored: frozenset[str], under: str = "", deep: bool = True) -> Iterator[str]:
+    """Relative paths of the files below a directory of a tree (in it alone, if not `deep`), ignored
+    directories pruned rather than filtered, in order."""
     base = str(root)
-    for top, dirs, names in os.walk(base):
-        dirs[:] = sorted(d for d in dirs if d not in ignored)
+    for top, dirs, names in os.walk(os.path.join(base, under)):
+        dirs[:] = sorted(d for d in dirs if d not in ignored) if deep else []
         for n in sorted(names):
             if n not in ignored:
                 yield os.path.relpath(os.path.join(top, n), base).replace(os.sep, "/")
 
 
+def units(root: str | Path, ignored: frozenset[str], most: int) -> list[tuple[str, bool]]:
+    """(directory, whether with all below it) that make up a tree, each of its files in one: directories
+    are opened level by level until there are `most`, so the driver lists no more than that."""
+    shallow: list[tuple[str, bool]] = []
+    level = [""]
+    while level and len(shallow) + len(level) < most:
+        below = []
+        for d in level:
+            with os.scandir(os.path.join(str(root), d)) as entries:
+                below += sorted(os.path.join(d, e.name) for e in entries if e.is_dir(follow_symlinks=False) and e.name not in ignored)
+        shallow += [(d, False) for d in level]
+        level = below
+    return shallow + [(d, True) for d in level]
+
+
 @dataclass
 class Part(InputPartition):
-    files: list[tuple[str, str, int]]
+    units: list[tuple[str, bool]]
 
 
 class TreeReader(DataSourceReader):
@@ -77,10 +95,11 @@ class TreeReader(DataSourceReader):
             log.warning("no parser for %s", ", ".join(sorted(unknown)))
         self.depth = int(options.get("maxdepth", "0"))
         self.tests = options.get("includetests", "true").lower() != "false"
-        self.per_part = int(options.get("filesperpartition", "64"))
+        self.names_only = options.get("namesonly", "false").lower() == "true"
+        self.parts = int(options.get("parts", "64"))
 
-    def wanted(self) -> Iterator[tuple[str, str, int]]:
-        for rel in walk(self.root, self.ignored):
+    def wanted(self, under: str, deep: bool) -> Iterator[tuple[str, str, int]]:
+        for rel in walk(self.root, self.ignored, under, deep):
             language = T.PARSED_LANGUAGES.get(suffix_of(rel))
             if language is None or self.languages and language not in self.languages:
                 continue
@@ -94,21 +113,26 @@ class TreeReader(DataSourceReader):
                 yield rel, language, path.stat().st_size
 
     def partitions(self) -> list[InputPartition]:
-        every = list(self.wanted())
-        return [Part(every[i : i + self.per_part]) for i in range(0, len(every), self.per_part)] or [Part([])]
+        every = units(self.root, self.ignored, 8 * self.parts)
+        return [Part(every[i :: self.parts]) for i in range(min(self.parts, len(every)))] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        for rel, language, size in partition.files:
-            try:
-                yield rel, language, size, Path(self.root, rel).read_bytes(), None
-            except OSError as e:
-                yield rel, language, size, None, str(e)
+        for under, deep in partition.units:
+            if self.names_only:
+                yield from ((rel, None, None, None, None) for rel in walk(self.root, self.ignored, under, deep))
+                continue
+            for rel, language, size in self.wanted(under, deep):
+                try:
+                    yield rel, language, size, Path(self.root, rel).read_bytes(), None
+                except OSError as e:
+                    yield rel, language, size, None, str(e)
 
 
 class SourceTree(DataSource):
     """spark.read.format("srctree").load(root); options ignore, languages (comma-separated),
-    maxDepth (0: no bound), includeTests, filesPerPartition. The tree must lie where the driver
-    and all executors see it."""
+    maxDepth (0: no bound), includeTests, parts, namesOnly (paths of all files, whatever they are).
+    Tasks list and read their own directories; the tree must lie where the driver and all
+    executors see it."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,8 +152,7 @@ def read_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
     """(path) of every file of a tree, source or not."""
-    rows = [(p,) for p in walk(root, frozenset(ignored))]
-    return spark.createDataFrame(rows, "path string")
+    return read_tree(spark, root, namesOnly="true", ignore=",".join(ignored)).select(F.col("file").alias("path"))
 
 
 def ignored_directories(root: str | Path, config: str = "scan.toml") -> tuple[str, ...]:
