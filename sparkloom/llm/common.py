@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -32,12 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
+    """A path in the shared folder that no other run uses; it goes with `sweep`, or when the driver
+    ends."""
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_leave, spark)
     _made.append(path)
     return path
 
 
+def _leave(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        sweep(spark)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and a lost
     executor costs no recomputation."""
@@ -50,14 +59,20 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 _made: list[str] = []
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the stored tables of this session and returns their number: to be called when
-    results are written, as lazy ones still read them."""
-    paths, _made[:] = _made[:], []
-    for path in paths:
+def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Deletes the stored tables of this session but for those in `keep`, and returns their number:
+    to be called when results are written, as lazy ones still read them."""
+    gone = [p for p in _made if p not in keep]
+    _made[:] = [p for p in _made if p in keep]
+    for path in gone:
         to = spark._jvm.org.apache.hadoop.fs.Path(path)
         to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
-    return len(paths)
+    return len(gone)
+
+
+def made() -> tuple[str, ...]:
+    """The stored tables that there are now."""
+    return tuple(_made)
 
 
 _caches: dict[str, dict] = {}
