@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import stages
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import made, stored, sweep
 
 STAGES = [
     ("quality classifier", stages.keep_good),
@@ -20,10 +20,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each result is stored as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to `documents`; each result is stored as Parquet and read again, and what a
+    stage and the one before it had stored then goes."""
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name.replace(" ", "-"))
+            sweep(spark, (*others, made()[-1]))
     return docs
