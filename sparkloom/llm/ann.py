@@ -151,9 +151,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES
     width, high = width or 1, high or 1.0
     even = (low or 1.0) >= 0.999 * high
 
-    def find(reps: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    def find(reps: DataFrame, queries: DataFrame, most: int, others: int | None) -> DataFrame:
         shards = packed(reps, width, SHARD_ROWS, _shard(high, even, tables), "ann-shards")
         blocks = packed(queries, width, BLOCK_ROWS // 8, _block(even, tables, probed), "ann-queries")
-        return search(blocks, shards, _kernel(ranked), most, as_long=False)
+        return search(blocks, shards, _kernel(ranked), most, as_long=False, others=others)
 
     return for_all_ids(rows, vectors, every, k, find)

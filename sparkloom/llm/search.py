@@ -134,13 +134,21 @@ def _searched(k: int, kernel: Callable[[dict, object, Best], None], number: type
     return run
 
 
-def _merged(k: int, number: type):
+def _merged(k: int, number: type, others: int | None):
+    """Answers of a block, over its stripes: ranked rows, or with `others` so many that are not the
+    query itself."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, ids, best = None, None, None
 
         def done() -> pa.RecordBatch:
-            q, r = np.nonzero(best.id != NOBODY)
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(r + 1, pa.int32()), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["query_id", "rank", "vec_id", "score"])
+            held = best.id != NOBODY
+            if others is not None:
+                held &= best.id != ids[:, None]
+                held &= np.cumsum(held, 1) <= others
+            q, r = np.nonzero(held)
+            rank = np.cumsum(held, 1)[q, r]
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(rank, pa.int32()), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["query_id", "rank", "vec_id", "score"])
 
         for b in batches:
             for no, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -156,7 +164,7 @@ def _merged(k: int, number: type):
     return run
 
 
-def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None) -> DataFrame:
+def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None, others: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): every block against every shard by `kernel`, which gives
     its candidates to a `Best`; with `reach`, against the shards that it names from the floors of a
     first stripe and `bounds` (no, body), a small row for each shard."""
@@ -184,7 +192,7 @@ def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object,
     if stripes > 1:
         routes = _routes(blocks, pilot, bounds, n_shards, reach) if reach else None
         found = pilot.union(run(1, stripes - 1, pilot, routes))
-    return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, number), f"query_id long, rank int, vec_id long, score {kind}")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, number, others), f"query_id long, rank int, vec_id long, score {kind}")
 
 
 def _routes(blocks: DataFrame, floors: DataFrame, bounds: DataFrame, n_shards: int, reach: Callable) -> DataFrame:
@@ -214,12 +222,16 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return stored(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
 
 
-def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """`find(rows, queries, k + 1)` on distinct vectors (vec_id, vec), for the ids they stand for.
+def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: Callable[[DataFrame, DataFrame, int, int | None], DataFrame]) -> DataFrame:
+    """`find(rows, queries, k + 1, …)` on distinct vectors (vec_id, vec), for the ids they stand for;
+    where each stands for one id, that is all.
 
     Of equal scores the least ids count, so the k + 1 best vectors, and of each its k + 1 least ids,
     hold the k best rows of any query, itself left out. Rows alike in id and vector count once.
     """
+    reps = vectors.select(F.col("rep").alias("vec_id"), "vec")
+    if vectors.filter("n > 1").isEmpty():
+        return find(reps, reps.filter(F.pmod("vec_id", F.lit(every)) == 0), k + 1, k)
     alone = vectors.filter("n = 1").select("rep", F.col("rep").alias("id"))
     shared = vectors.filter("n > 1").select("vec", "rep")
     ids = stored(rows.join(shared.hint("merge"), "vec").select("rep", F.col("vec_id").alias("id")).distinct(), "shared-ids")
@@ -227,9 +239,8 @@ def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: C
     for keys in (("rep", "salt"), ("rep",)):  # in 64 parts first: one vector may have very many ids
         least = least.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1)
     asks = stored(alone.union(ids).filter(F.pmod("id", F.lit(every)) == 0).select("rep", F.col("id").alias("query_id")), "asks")
-    reps = vectors.select(F.col("rep").alias("vec_id"), "vec")
     queries = reps.join(asks.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    hits = find(reps, queries, k + 1).select(F.col("query_id").alias("rep"), F.col("vec_id").alias("hit"), "score")
+    hits = find(reps, queries, k + 1, None).select(F.col("query_id").alias("rep"), F.col("vec_id").alias("hit"), "score")
     best = W.partitionBy("rep").orderBy(F.desc("score"), "id")
     each = hits.join(least.select(F.col("rep").alias("hit"), "id"), "hit", "left").select("rep", "score", F.coalesce("id", "hit").alias("id"))
     each = stored(each.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r"), "answers")

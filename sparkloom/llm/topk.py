@@ -152,11 +152,11 @@ def exact_top(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vectors = distinct_vectors(floored)
     width = width_of(vectors)
 
-    def find(reps: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    def find(reps: DataFrame, queries: DataFrame, most: int, others: int | None) -> DataFrame:
         ordered = clustered(reps, width)
         shards = packed(ordered, width, SHARD_ROWS, _shard, "ball-trees")
         blocks = packed(queries, width, BLOCK_ROWS, _block, "top-queries")
-        return search(blocks, shards, _kernel, most, as_long=True, reach=_reach, bounds=balls(shards))
+        return search(blocks, shards, _kernel, most, as_long=True, reach=_reach, bounds=balls(shards), others=others)
 
     return for_all_ids(floored, vectors, every, k, find)
 
