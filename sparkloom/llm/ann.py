@@ -147,7 +147,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES
     rows = usable(table, allow_zero=False)
     vectors = distinct_vectors(rows)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    width, low, high = vectors.agg(F.max(F.size("vec")), F.min(norm), F.max(norm)).first()
+    width, low, high, most_ids = vectors.agg(F.max(F.size("vec")), F.min(norm), F.max(norm), F.max("n")).first()
     width, high = width or 1, high or 1.0
     even = (low or 1.0) >= 0.999 * high
 
@@ -156,4 +156,4 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES
         blocks = packed(queries, width, BLOCK_ROWS // 8, _block(even, tables, probed), "ann-queries")
         return search(blocks, shards, _kernel(ranked), most, as_long=False, others=others)
 
-    return for_all_ids(rows, vectors, every, k, find)
+    return for_all_ids(rows, vectors, (most_ids or 0) > 1, every, k, find)

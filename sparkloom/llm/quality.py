@@ -23,7 +23,7 @@ CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 1, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
 #: Bounds of the sample that the model is fitted on, for each label: rows, and bytes of their texts,
 #: which are taken whole or not at all.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
 #: Chunks whose windows are laid out at a time.
 BLOCK = 512
 THRESHOLD = 0.7

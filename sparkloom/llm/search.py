@@ -50,9 +50,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray, np.ndarray], object], name: str) -> DataFrame:
+def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray, np.ndarray], object], name: str) -> tuple[DataFrame, int]:
     """Stored (no, body): at most `most` rows of a partition in each, as `build(ids, vectors)` has
-    them, numbered from 0. The numbering collects one number for each packed row."""
+    them, numbered from 0, and how many there are. The numbering collects one number for each."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         worker_cache("")
@@ -77,7 +77,7 @@ def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray,
     got = stored(rows.mapInArrow(run, "at long, body binary"), name)
     order = [(r["at"], i) for i, r in enumerate(got.select("at").orderBy("at").collect())]
     numbers = got.sparkSession.createDataFrame(order, "at long, no int")
-    return got.join(F.broadcast(numbers), "at").select("no", "body")
+    return got.join(F.broadcast(numbers), "at").select("no", "body"), len(order)
 
 
 NOBODY = np.iinfo(np.int64).max
@@ -164,12 +164,12 @@ def _merged(k: int, number: type, others: int | None):
     return run
 
 
-def search(blocks: DataFrame, shards: DataFrame, kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None, others: int | None = None) -> DataFrame:
+def search(blocks: tuple[DataFrame, int], shards: tuple[DataFrame, int], kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None, others: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): every block against every shard by `kernel`, which gives
     its candidates to a `Best`; with `reach`, against the shards that it names from the floors of a
     first stripe and `bounds` (no, body), a small row for each shard."""
     number, kind = (np.int64, "long") if as_long else (np.float64, "double")
-    n_blocks, n_shards = blocks.count(), shards.count()
+    (blocks, n_blocks), (shards, n_shards) = blocks, shards
     if not n_blocks or not n_shards:
         return blocks.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")
     stripes = max(1, min(STRIPES, n_shards // STRIPE))
@@ -222,19 +222,19 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return stored(rows.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
 
 
-def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: Callable[[DataFrame, DataFrame, int, int | None], DataFrame]) -> DataFrame:
+def for_all_ids(rows: DataFrame, vectors: DataFrame, shared: bool, every: int, k: int, find: Callable[[DataFrame, DataFrame, int, int | None], DataFrame]) -> DataFrame:
     """`find(rows, queries, k + 1, …)` on distinct vectors (vec_id, vec), for the ids they stand for;
-    where each stands for one id, that is all.
+    where none is `shared` by several ids, that is all.
 
     Of equal scores the least ids count, so the k + 1 best vectors, and of each its k + 1 least ids,
     hold the k best rows of any query, itself left out. Rows alike in id and vector count once.
     """
     reps = vectors.select(F.col("rep").alias("vec_id"), "vec")
-    if vectors.filter("n > 1").isEmpty():
+    if not shared:
         return find(reps, reps.filter(F.pmod("vec_id", F.lit(every)) == 0), k + 1, k)
     alone = vectors.filter("n = 1").select("rep", F.col("rep").alias("id"))
-    shared = vectors.filter("n > 1").select("vec", "rep")
-    ids = stored(rows.join(shared.hint("merge"), "vec").select("rep", F.col("vec_id").alias("id")).distinct(), "shared-ids")
+    several = vectors.filter("n > 1").select("vec", "rep")
+    ids = stored(rows.join(several.hint("merge"), "vec").select("rep", F.col("vec_id").alias("id")).distinct(), "shared-ids")
     least = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for keys in (("rep", "salt"), ("rep",)):  # in 64 parts first: one vector may have very many ids
         least = least.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1)
@@ -247,8 +247,3 @@ def for_all_ids(rows: DataFrame, vectors: DataFrame, every: int, k: int, find: C
     out = asks.join(each.hint("merge"), "rep").filter("id != query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.select("query_id", rank.alias("rank"), F.col("id").alias("vec_id"), "score").filter(F.col("rank") <= k)
-
-
-def width_of(rows: DataFrame) -> int:
-    """Components of the longest vector; shorter ones count as padded with zeros."""
-    return rows.agg(F.max(F.size("vec"))).first()[0] or 1

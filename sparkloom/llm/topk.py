@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import BLOCK_ROWS, SHARD_ROWS, Best, _matrix, distinct_vectors, for_all_ids, packed, search, usable, width_of
+from .search import BLOCK_ROWS, SHARD_ROWS, Best, _matrix, distinct_vectors, for_all_ids, packed, search, usable
 
 #: Rows of a leaf; cells of the coarse tree and rows that it is fitted on, at most.
 LEAF, CELLS, SAMPLE = 64, 1024, 16_384
@@ -150,15 +150,16 @@ def exact_top(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = usable(table)
     floored = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(64 * x).cast("double")))
     vectors = distinct_vectors(floored)
-    width = width_of(vectors)
+    width, n, most_ids = vectors.agg(F.max(F.size("vec")), F.count("*"), F.max("n")).first()
+    width = width or 1
 
     def find(reps: DataFrame, queries: DataFrame, most: int, others: int | None) -> DataFrame:
-        ordered = clustered(reps, width)
+        ordered = clustered(reps, width, n)
         shards = packed(ordered, width, SHARD_ROWS, _shard, "ball-trees")
         blocks = packed(queries, width, BLOCK_ROWS, _block, "top-queries")
-        return search(blocks, shards, _kernel, most, as_long=True, reach=_reach, bounds=balls(shards), others=others)
+        return search(blocks, shards, _kernel, most, as_long=True, reach=_reach, bounds=balls(shards[0]), others=others)
 
-    return for_all_ids(floored, vectors, every, k, find)
+    return for_all_ids(floored, vectors, (most_ids or 0) > 1, every, k, find)
 
 
 def balls(shards: DataFrame) -> DataFrame:
@@ -172,10 +173,9 @@ def balls(shards: DataFrame) -> DataFrame:
     return shards.select("no", "body").mapInArrow(run, "no int, body binary")
 
 
-def clustered(rows: DataFrame, width: int) -> DataFrame:
+def clustered(rows: DataFrame, width: int, n: int) -> DataFrame:
     """(vec_id, vec) in partitions by ranges of coarse cells, so that what is packed together lies
     together. The tree is fitted on `SAMPLE` rows at most, the first by the hash of their id."""
-    n = rows.count()
     if n <= SHARD_ROWS:
         return rows
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
