@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of, to_bytes, worker_cache
+from .common import gathered, slices, texts_of, to_bytes, worker_cache
 from .tokens import ENDINGS, LETTER, ODD, OTHER, SPACE, wide_kinds
 
 #: The public tokenizers' pattern (fixed value): what `spans_of` is written for.
@@ -263,7 +263,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str | None = None) -
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         bpe = replay_of(ranks_path, pattern)
-        for part in slices(batches, SLICE):
+        for part in gathered(batches, SLICE):
             ids, ends, _ = bpe.encode(to_bytes(part.column(1)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
@@ -296,7 +296,7 @@ def roundtrip_digests(docs: DataFrame, ranks_path: str, pattern: str | None = No
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         bpe = replay_of(ranks_path, pattern)
-        for part in slices(batches, SLICE):
+        for part in gathered(batches, SLICE):
             ids, ends, lines = bpe.encode(to_bytes(part.column(1)), lines=True)
             decoded = [hashlib.sha256(bpe.decode(ids[a:b]).data).hexdigest() for a, b in zip([0, *ends.tolist()], ends.tolist())]
             cols = [part.column(0), pa.array(np.diff(ends, prepend=0)), pa.array([hashlib.sha256(x).hexdigest() for x in lines]), pa.array(decoded)]

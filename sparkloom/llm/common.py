@@ -125,6 +125,20 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             yield batch.slice(at, step)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about most_bytes, put together from smaller ones or cut from larger ones."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, most_bytes):
+        if held and size + part.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def to_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

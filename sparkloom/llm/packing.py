@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_key, texts_of, to_bytes
+from .common import gathered, stored, text_key, texts_of, to_bytes
 from .tokens import MOST_WORDS, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -149,7 +149,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, most_words)
-        for part in slices(batches):
+        for part in gathered(batches):
             ids, ends = enc.encode_ended(to_bytes(part.column(1)), end_id)
             sizes = np.diff(ends, prepend=0)
             n = -(-sizes // capacity)

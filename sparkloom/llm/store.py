@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, stored, text_key, texts_of, to_bytes, worker_cache
+from .common import gathered, new_folder, slices, stored, text_key, texts_of, to_bytes, worker_cache
 from .tokens import encoder
 
 #: Ids in a rolling window; between marks on average, and of a chunk at least and at most: about 380
@@ -84,7 +84,7 @@ def _encode(path: str, end_id: int):
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         enc, met = encoder(path), set()
-        for part in slices(batches):
+        for part in gathered(batches):
             every, ends = enc.encode_ended(to_bytes(part.column(1)), end_id)
             marks = marks_of(every)
             of_doc = np.split(marks, np.searchsorted(marks, ends[:-1], side="right"))

@@ -178,7 +178,12 @@ class WordEncoder:
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         at, kind, low = pieces_of(joined)
-        offsets = np.append(at, len(joined)).astype(np.int32)
+        long, word = np.diff(np.append(at, len(joined))), kind != SPACE
+        low = low[np.repeat(word, long)]  # without white space
+        at, kind = at[word], kind[word]
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        offsets = np.append(0, np.cumsum(long[word])).astype(np.int32)
         every = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(low)]).dictionary_encode()
         code, words = np.asarray(every.indices), every.dictionary.to_pylist()
         kind_of = np.zeros(len(words), np.uint8)
@@ -187,10 +192,10 @@ class WordEncoder:
         known = self.known
         letters, others = [], []
         for w, k in zip(words, kind_of.tolist()):
-            if k and w not in known:
+            if w not in known:
                 (letters if k == LETTER else others).append(w)
         self.learn(letters, others)
-        bodies = [known[w] if k else b"" for w, k in zip(words, kind_of.tolist())]
+        bodies = [known[w] for w in words]
         flat = np.frombuffer(b"".join(bodies), "<u4")
         size = np.array([len(b) // 4 for b in bodies], np.int64)
         first = np.cumsum(size) - size
