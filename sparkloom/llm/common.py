@@ -148,9 +148,13 @@ def to_bytes(column: pa.Array) -> list[bytes]:
 MOST_BROADCAST = 300_000
 
 
-def split_by_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs whose row_key is among keys, the others). Few keys, by a count, go to all
-    tasks and no text is shuffled for it; many are joined by shuffle."""
-    few = keys.count() <= MOST_BROADCAST
-    side = F.broadcast(keys) if few else keys
-    return docs.join(side, "row_key", "left_semi"), docs.join(side, "row_key", "left_anti")
+def sized(keys: DataFrame) -> DataFrame:
+    """Keys for a join with a larger table: few of them, by a count, go to all tasks, so that the
+    table is not shuffled; many are joined by shuffle. The rows are the same either way."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("merge")
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: str = "row_key") -> tuple[DataFrame, DataFrame]:
+    """(rows whose `on` is among keys, the others)."""
+    side = sized(keys)
+    return rows.join(side, on, "left_semi"), rows.join(side, on, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, split_by_keys, stored, text_key, texts_of, to_bytes, worker_cache
+from .common import sized, slices, split_by_keys, stored, text_key, texts_of, to_bytes, worker_cache
 from .suffixes import MEMORY, Shelf, suffix_array
 
 LENGTH, GRAM = 400, 128
@@ -351,13 +351,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     met = stored(every.join(common.hint("merge"), "anchor"), "met")
     kinds = stored(met.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "place", "start", "stop")).alias("one")), "kinds")
     many = stored(kinds.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("anchor"), "hot").withColumn("hot", F.lit(True))
-    asked = stored(kinds.join(many.hint("merge"), "anchor", "left").select("anchor", "around", (F.col("n") > 1).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot"), "one.*"), "asked")
+    asked = stored(kinds.join(sized(many), "anchor", "left").select("anchor", "around", (F.col("n") > 1).alias("several"), F.coalesce("hot", F.lit(False)).alias("hot"), "one.*"), "asked")
     placed = stored(clustered(asked, length), "placed")
     wide = placed.filter("not hot").groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("cluster")
     wide = stored(wide, "wide-clusters").withColumn("wide", F.lit(True))
     ask = F.struct("anchor", "hot", "place", "start", "stop", F.when(F.col("wide"), F.col("anchor")).otherwise(F.col("cluster")).alias("cluster"), "several", F.when(F.col("several"), F.col("around")).alias("around"))
     of_doc = stored(
-        placed.join(wide.hint("merge"), "cluster", "left").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(ask).alias("asked")),
+        placed.join(sized(wide), "cluster", "left").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_list(ask).alias("asked")),
         "asked-of",
     )
     wanted, _ = split_by_keys(docs, of_doc.select(F.col("k").alias("row_key")).distinct())
@@ -373,7 +373,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     else:
         around = stored(around, "around")
         crowded = stored(around.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "crowded")
-        verdicts = judged(around.join(crowded, "key", "left_anti")).union(crowded_spans(around.join(crowded.hint("merge"), "key"), length))
+        dense, plain = split_by_keys(around, crowded, "key")
+        verdicts = judged(plain).union(crowded_spans(dense, length))
     verdicts = stored(verdicts, "verdicts")
     of_kinds = verdicts.filter("around is not null").select("anchor", "around", F.col("start").alias("a"), F.col("stop").alias("b"))
     places = met.join(of_kinds.hint("merge"), ["anchor", "around"]).select("doc_id", "row_key", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
