@@ -13,43 +13,53 @@ from .tokens import vocabulary_path
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 400-byte strings that start anywhere else are removed; digests of what is left."""
     return substrings.remove_repeats(documents(spark, sf_dir), length=400)
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by the ranks of a tiktoken file and the public pattern, and the bytes decoded from them, as digests."""
     return bpe.roundtrip_digests(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines equal to an earlier one, or within one edit of one, are removed; digests of what is left."""
     kept = lines.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes by a stored map of 4096 slots."""
     return sharding.shard_documents(documents(spark, sf_dir), n_shards=40)
 
 
 def op5_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles share 85 % of their union."""
     return neardup.near_duplicates(documents(spark, sf_dir), width=3, numerator=85, denominator=100).drop("row_key")
 
 
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in as few sequences of 2048 tokens as can be."""
     return packing.pack_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"), capacity=2048)
 
 
 def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of a content-addressed store of token ids say of each document."""
     return store.store_documents(documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
 
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole texts by a byte-level net that is fitted on the labels not held out."""
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def op9_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows that the index finds for every twentieth vector."""
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
 def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of highest integer inner product for every twentieth vector, exactly."""
     return topk.exact_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
