@@ -85,12 +85,17 @@ def worker_cache(name: str) -> dict:
     for n in others:
         _caches.pop(n).clear()
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     return _caches.setdefault(name, {})
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows and 16 MB for texts, unless the session says otherwise:
     the usual 10,000 rows of long texts are more than a Python worker should hold."""

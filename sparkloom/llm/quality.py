@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, to_bytes, worker_cache
+from .common import give_back, slices, texts_of, to_bytes, worker_cache
 
 CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 1, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
@@ -25,7 +25,7 @@ VECTOR, FILTERS, HIDDEN = 8, 32, 16
 #: which are taken whole or not at all.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
 #: Chunks whose windows are laid out at a time.
-BLOCK = 512
+BLOCK = 64
 THRESHOLD = 0.7
 
 
@@ -189,15 +189,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     every = [chunks_of([bytes(r["text"])])[0] for r in got]
     seen = [max(1, int((y == k).sum())) for k in (0, 1)]
     weight = np.where(y == 1, share[1] / seen[1], share[0] / seen[0]).astype(np.float32)
-    return fitted(every, y, weight)
+    try:
+        return fitted(every, y, weight)
+    finally:
+        del got, every
+        give_back()  # the driver lives on
 
 
 def fitted(every: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> ByteNet:
     """A net from each text's chunks, its label and weight; a short piece of each joins them."""
     random = np.random.default_rng(5)
-    every = every + [shortened(c, random) for c in every]
+    every += [shortened(c, random) for c in every[: len(y)]]
     y, weight = np.concatenate([y, y]), np.concatenate([weight, weight / 2])
-    return ByteNet.fresh().fit(np.concatenate(every), np.array([len(c) for c in every]), y, weight / weight.mean())
+    numbers, chunks = np.array([len(c) for c in every]), np.concatenate(every)
+    every.clear()
+    return ByteNet.fresh().fit(chunks, numbers, y, weight / weight.mean())
 
 
 def score(docs: DataFrame, net: ByteNet | float, keep: tuple[str, ...] = ()) -> DataFrame:
