@@ -2,9 +2,9 @@
 
 Vectors that are the same are one: each distinct vector is searched, and asked, once, and stands for
 its ids in the end. Distinct vectors are packed into shards of bounded size, queries into blocks; a
-task takes one block and streams one stripe of shards past it, keeping each query's k best. A first
-stripe is searched alone, and the k-th scores it finds are a floor for all others; where shards tell
-how far they reach, a block then gets those alone that may pass its floors. What moves are blocks
+task takes one block and streams one stripe of shards past it, keeping each query's k best. A part is
+searched first, and the k-th scores it finds are floors for all others; where shards tell how far
+they reach, the first are the best guesses, and then only those that may pass a floor. What moves are blocks
 and shards, some thousand rows in one; the answer of a block and stripe is one packed row.
 """
 
@@ -108,7 +108,7 @@ class Best:
 
 
 def _searched(k: int, kernel: Callable[[dict, object, Best], None], number: type):
-    """Sorted rows (block, stripe, kind, body): a block (kind 0), its floor if any (1), shards (2)."""
+    """Sorted rows (block, stripe, kind, body): a block (kind 0), its floors if any (1), shards (2)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         key, block, best = None, None, None
@@ -125,7 +125,7 @@ def _searched(k: int, kernel: Callable[[dict, object, Best], None], number: type
                         yield done()
                     key, block, best = (no, stripe), got, Best(len(got["ids"]), k, number)
                 elif kind == 1:
-                    best.floor = np.maximum(best.floor, got[1][:, -1])
+                    best.floor = np.maximum(best.floor, got)
                 else:
                     kernel(block, got, best)
         if best is not None:
@@ -166,8 +166,9 @@ def _merged(k: int, number: type, others: int | None):
 
 def search(blocks: tuple[DataFrame, int], shards: tuple[DataFrame, int], kernel: Callable[[dict, object, Best], None], k: int, as_long: bool, reach: Callable | None = None, bounds: DataFrame | None = None, others: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): every block against every shard by `kernel`, which gives
-    its candidates to a `Best`; with `reach`, against the shards that it names from the floors of a
-    first stripe and `bounds` (no, body), a small row for each shard."""
+    its candidates to a `Best`. With `reach` and `bounds` (no, body), a small row for each shard, a
+    block first gets the shards that are the best guess of some query, then those that may pass the
+    floors which these have set; without, a stripe sets floors for all others."""
     number, kind = (np.int64, "long") if as_long else (np.float64, "double")
     (blocks, n_blocks), (shards, n_shards) = blocks, shards
     if not n_blocks or not n_shards:
@@ -181,24 +182,57 @@ def search(blocks: tuple[DataFrame, int], shards: tuple[DataFrame, int], kernel:
             sent = at.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "stripe", F.lit(2), "body")
         else:
             sent = at.join(routes, "no").select("block", "stripe", F.lit(2), "body")
-        every = own.union(sent)
         if floors is not None:
-            every = every.union(floors.select("block", F.explode(F.sequence(F.lit(first), F.lit(last))), F.lit(1), "body"))
+            own = own.union(floors.select("block", F.explode(F.sequence(F.lit(first), F.lit(last))), F.lit(1), "body"))
+        if routes is not None:
+            own = own.join(routes.select("block", F.pmod("no", F.lit(stripes)).alias("stripe")).distinct(), ["block", "stripe"], "left_semi")
+        every = own.union(sent)
         tasks = min(2000, n_blocks * (last - first + 1))
         ordered = every.repartition(tasks, "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
         return stored(ordered.mapInArrow(_searched(k, kernel, number), "block int, body binary"), "found")
 
-    found = pilot = run(0, 0, None, None)
-    if stripes > 1:
-        routes = _routes(blocks, pilot, bounds, n_shards, reach) if reach else None
-        found = pilot.union(run(1, stripes - 1, pilot, routes))
+    if reach and stripes > 1:
+        guessed = _routes(blocks, None, bounds, n_shards, reach)
+        pilot = run(0, stripes - 1, None, guessed)
+        floors = _floors(pilot, k, number)
+        rest = _routes(blocks, floors, bounds, n_shards, reach).join(guessed, ["block", "no"], "left_anti")
+        found = pilot.union(run(0, stripes - 1, floors, stored(rest, "routes")))
+    else:
+        found = pilot = run(0, 0, None, None)
+        if stripes > 1:
+            found = pilot.union(run(1, stripes - 1, _floors(pilot, k, number), None))
     return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(k, number, others), f"query_id long, rank int, vec_id long, score {kind}")
 
 
-def _routes(blocks: DataFrame, floors: DataFrame, bounds: DataFrame, n_shards: int, reach: Callable) -> DataFrame:
-    """Stored (block, no): the shards that may hold a score above a floor of a block. Bounds go to
-    all tasks in parts of bounded size."""
-    asked = blocks.join(floors.select(F.col("block").alias("no"), F.col("body").alias("found")), "no")
+def _floors(found: DataFrame, k: int, number: type) -> DataFrame:
+    """Stored (block, body): the k-th best score of each of a block's queries so far."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        key, best = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([pickle.dumps(best.floor, protocol=5)], pa.binary())], ["block", "body"])
+
+        for b in batches:
+            for no, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, score, ids = pickle.loads(body)
+                if no != key:
+                    if best is not None:
+                        yield done()
+                    key, best = no, Best(len(own), k, number)
+                best.take(np.arange(len(own)), score, ids)
+        if best is not None:
+            yield done()
+
+    return stored(found.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, body binary"), "floors")
+
+
+def _routes(blocks: DataFrame, floors: DataFrame | None, bounds: DataFrame, n_shards: int, reach: Callable) -> DataFrame:
+    """Stored (block, no): the shards that `reach` names for a block, given its floors if there are
+    any. Bounds go to all tasks in parts of bounded size."""
+    asked = blocks.select("no", "body", F.lit(None).cast("binary").alias("floor"))
+    if floors is not None:
+        asked = blocks.join(floors.select(F.col("block").alias("no"), F.col("body").alias("floor")), "no").select("no", "body", "floor")
     out = None
     for low in range(0, n_shards, SENT):
         part = sorted((r["no"], bytes(r["body"])) for r in bounds.filter(F.col("no").between(low, low + SENT - 1)).collect())
@@ -207,11 +241,11 @@ def _routes(blocks: DataFrame, floors: DataFrame, bounds: DataFrame, n_shards: i
         def run(batches, shared=shared) -> Iterator[pa.RecordBatch]:
             numbers, own = shared.value
             for b in batches:
-                for no, body, found in zip(*(c.to_pylist() for c in b.columns)):
-                    got = numbers[reach(pickle.loads(body), pickle.loads(found)[1][:, -1], own)]
+                for no, body, floor in zip(*(c.to_pylist() for c in b.columns)):
+                    got = numbers[reach(pickle.loads(body), None if floor is None else pickle.loads(floor), own)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), no), pa.int32()), pa.array(got, pa.int32())], ["block", "no"])
 
-        made = asked.select("no", "body", "found").mapInArrow(run, "block int, no int")
+        made = asked.mapInArrow(run, "block int, no int")
         out = made if out is None else out.union(made)
     return stored(out, "routes")
 

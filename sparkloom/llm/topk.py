@@ -91,15 +91,25 @@ def _block(ids: np.ndarray, x: np.ndarray) -> dict:
     return {"ids": ids, "x": x}
 
 
-def _reach(block: dict, floor: np.ndarray, balls: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """True for balls that may hold a score not below some query's floor."""
+def _reach(block: dict, floor: np.ndarray | None, balls: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """True for balls that may hold a score not below some query's floor; without floors, for the one
+    of each query whose centre scores highest."""
     q, out = block["x"], np.zeros(len(balls), bool)
     size = np.linalg.norm(q, axis=1)[:, None]
+    top, guess = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
     for at in range(0, len(balls), 512):
         part = balls[at : at + 512]
-        upper = q @ np.array([c for c, _ in part]).T + size * np.array([r for _, r in part])
+        middle = q @ np.array([c for c, _ in part]).T
+        if floor is None:
+            better = middle.max(1) > top
+            guess[better] = at + middle[better].argmax(1)
+            top = np.maximum(top, middle.max(1))
+            continue
+        upper = middle + size * np.array([r for _, r in part])
         upper += 1e-9 * (1 + np.abs(upper))
         out[at : at + 512] = (upper >= floor[:, None]).any(0)
+    if floor is None:
+        out[guess] = True
     return out
 
 

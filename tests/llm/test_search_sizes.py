@@ -88,12 +88,13 @@ def test_only_shards_that_may_hold_a_better_row_are_sent(spark, monkeypatch):
     ids = np.arange(1920) * 20 + 1
     ids[5] = 0  # one query, from the first cluster
     plain = search._routes
-    monkeypatch.setattr(search, "_routes", lambda *a: sent.append(plain(*a)) or sent[-1])
+    monkeypatch.setattr(search, "_routes", lambda *a: sent.append((a[3], plain(*a))) or sent[-1][1])
     got = topk.exact_top(table(spark, ids, x), 20, 20).orderBy("rank").collect()
     z = np.floor(64 * x.astype(np.float64)).astype(np.int64)
     order = sorted((-int(z[5] @ z[i]), int(ids[i])) for i in range(1920) if i != 5)[:20]
     assert [(r["vec_id"], r["score"]) for r in got] == [(i, -s) for s, i in order]
-    assert 0 < sent[0].count() < 15
+    (n_shards, guessed), (_, rest) = sent
+    assert guessed.count() == 1 and 0 < rest.count() < n_shards / 2
 
 
 def test_coarse_cells_part_all_rows():
