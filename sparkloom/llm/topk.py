@@ -92,24 +92,25 @@ def _block(ids: np.ndarray, x: np.ndarray) -> dict:
 
 
 def _reach(block: dict, floor: np.ndarray | None, balls: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """True for balls that may hold a score not below some query's floor; without floors, for the one
-    of each query whose centre scores highest."""
+    """True for balls that may hold a score not below some query's floor; without floors, for the
+    two of each query whose centres score highest: one may have fewer rows than a floor takes."""
     q, out = block["x"], np.zeros(len(balls), bool)
     size = np.linalg.norm(q, axis=1)[:, None]
-    top, guess = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+    top, guess = np.full((len(q), 2), -np.inf), np.zeros((len(q), 2), np.int64)
     for at in range(0, len(balls), 512):
         part = balls[at : at + 512]
         middle = q @ np.array([c for c, _ in part]).T
         if floor is None:
-            better = middle.max(1) > top
-            guess[better] = at + middle[better].argmax(1)
-            top = np.maximum(top, middle.max(1))
+            score = np.concatenate([top, middle], 1)
+            who = np.concatenate([guess, np.broadcast_to(np.arange(at, at + len(part)), middle.shape)], 1)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :2]
+            top, guess = np.take_along_axis(score, best, 1), np.take_along_axis(who, best, 1)
             continue
         upper = middle + size * np.array([r for _, r in part])
         upper += 1e-9 * (1 + np.abs(upper))
         out[at : at + 512] = (upper >= floor[:, None]).any(0)
     if floor is None:
-        out[guess] = True
+        out[guess.ravel()] = True
     return out
 
 
