@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, neardup, packing, quality, sharding, store, substrings, topk
+from . import ann, bpe, codes, lines, neardup, packing, private, quality, sharding, store, substrings, topk
 from .common import documents
 from .tokens import vocabulary_path
 
@@ -63,6 +63,17 @@ def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 8 parts from codebooks of 16 whole-number entries after 6 rounds, and their errors."""
+    coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6, scale=4096)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_weak_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of whole texts: strict forms, and looser ones that a weakly supervised classifier adds."""
+    return private.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_net,
         op9_cross_polytope_ann,
         op10_ball_tree_topk,
+        op11_annular_codes,
+        op12_weak_private_spans,
     )
 }
 
@@ -83,6 +96,27 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _KEYS = ", ".join(f"'{side[0]}' || {h} || ':' || {side}(t, {h})" for side in ("left", "right") for h in ("(n // 2)", "((n + 1) // 2)"))
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round as two tables: the nearest entries a0, a1, … of all parts x, and the books b1, b2, … they lead to."""
+    near = "SELECT x.i, x.part, min(x.xx - 2 * list_dot_product(x.v, b.v)::BIGINT + b.bb) AS d, arg_min(b.e, (x.xx - 2 * list_dot_product(x.v, b.v)::BIGINT + b.bb) * 1000 + b.e) AS e FROM x JOIN {b} b ON x.part = b.part GROUP BY x.i, x.part"
+    mean = "SELECT part, e, list(floor(t / n) ORDER BY place)::DOUBLE[] AS v FROM (SELECT part, e, place, sum(x.v[place]) AS t, count(*) AS n FROM x JOIN {a} a USING (i, part), w, range(1, 1025) r(place) WHERE place <= w.n GROUP BY ALL) GROUP BY part, e"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(b=f'b{k}')})")
+        if k < rounds:
+            steps.append(f"m{k} AS MATERIALIZED ({mean.format(a=f'a{k}')}), b{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(m{k}.v, b{k}.v) AS v, list_dot_product(coalesce(m{k}.v, b{k}.v), coalesce(m{k}.v, b{k}.v))::BIGINT AS bb FROM b{k} LEFT JOIN m{k} USING (part, e))")
+    return f"""WITH s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE))::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    w AS (SELECT max(len(v)) // {parts} AS n FROM s),
+    x0 AS (SELECT i, vec_id, part, v[part * w.n + 1:(part + 1) * w.n] AS v FROM s, w, range({parts}) r(part)), x AS MATERIALIZED (SELECT i, vec_id, part, v, list_dot_product(v, v)::BIGINT AS xx FROM x0),
+    b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v, xx AS bb FROM x WHERE vec_id IN (SELECT vec_id FROM s ORDER BY vec_id LIMIT {entries})),
+    {", ".join(steps)},
+    c AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY i),
+    h AS (SELECT sha256(string_agg(array_to_string(v::BIGINT[], ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM s JOIN c USING (i), h"""
+
+
 ORACLES: dict[str, str] = {
     "op3_line_dedup": f"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     l AS (SELECT doc_id, i, raw, lower(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS t FROM r),
@@ -105,4 +139,5 @@ ORACLES: dict[str, str] = {
     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
     k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
     SELECT * FROM k WHERE rank <= 20""",
+    "op11_annular_codes": _codes_sql(),
 }
