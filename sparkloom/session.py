@@ -21,13 +21,19 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where none is set, a local one
+    does only if all runs on one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return (at or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A copy in the checkpoint folder (`spark.checkpoint.dir`; a local one only where none is
     set and all runs on one machine), so that an iteration's plan stays small and a lost executor costs no replay."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        sc.setCheckpointDir(at or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
