@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import n_lines_scan
-from ..operators import files, graph, scoring, symbols
+from ..operators import files, graph, scoring, similar, symbols
 from ..session import ensure_importable
 from ..sources import parsers, srctree
 
@@ -28,10 +28,15 @@ class Scan:
     subprojects: DataFrame
     functions: DataFrame
     calls: DataFrame
+    parsed: DataFrame
     mode: str = "intended"
     error: str | None = None
     kept: list[DataFrame] = field(default_factory=list)
 
+    def similar(self, num: int = 4, den: int = 5) -> DataFrame:
+        """(first, second, score): functions with similar bodies that are not duplicates."""
+        return similar.similar_functions(self.parsed, num, den)
+
     def circular(self) -> list[list[str]]:
         if self.mode == "intended":
             return sorted(r["cycle"] for r in self.cycles.collect())
@@ -137,6 +142,7 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         subprojects=files.subprojects(listing, mode),
         functions=functions,
         calls=calls,
+        parsed=parsed,
         mode=mode,
         kept=[parsed, listing, ranged],
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables as T
 from .functions import text as X
-from .operators import files, graph, history, scoring, symbols
+from .operators import files, graph, history, scoring, similar, symbols
 from .session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,3 +335,29 @@ def json_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def command_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", files.may_run(F.col("text"), ("The", "In")).alias("allowed"))
+
+
+_WORDS = r"list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))"
+#: Brute force: all pairs of classes of equal sets, and what they share.
+_SIMILAR = f"""w AS (SELECT doc_id, list_sort({_WORDS}) AS s FROM documents WHERE text IS NOT NULL),
+    m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, s FROM w WHERE len(s) > 0),
+    e AS (SELECT class_id AS c, len(s) AS n, unnest(s) AS t FROM m WHERE doc_id = class_id),
+    x AS (SELECT a.c AS first_id, b.c AS second_id, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.c < b.c GROUP BY ALL),
+    pairs AS (SELECT first_id, second_id, shared, shared / (na + nb - shared) AS score FROM x WHERE shared * 5 >= (na + nb - shared) * 4)"""
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> similar.Similar:
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return similar.similar_sets(table(spark, sf_dir, "documents"), F.col("doc_id"), F.regexp_extract_all(plain, F.lit(r"[^\x20\x09-\x0D]+"), 0))
+
+
+@query(f"WITH {_SIMILAR} SELECT first_id, second_id, shared, score FROM pairs")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of words share 0.8 of their union or more, by classes of equal sets."""
+    return _similar(spark, sf_dir).pairs
+
+
+@query(f"WITH {_SIMILAR}, ends AS (SELECT first_id AS c FROM pairs UNION ALL SELECT second_id FROM pairs) SELECT doc_id, class_id, (SELECT count(*) FROM ends WHERE c = class_id) AS links FROM m")
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has words: its class, and how many other classes are similar to that."""
+    return _similar(spark, sf_dir).counted().withColumnRenamed("id", "doc_id")

@@ -22,7 +22,7 @@ from .api import Workspace
 from .control import diff, fix, state
 from .functions import tables as T
 from .functions import text as X
-from .operators import files, graph, history, scoring, symbols
+from .operators import files, graph, history, scoring, similar, symbols
 from .plans.scan import import_targets, ordered
 from .queries import query, table
 from .sources import parsers, srctree
@@ -221,6 +221,18 @@ def duplicate_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("hash", "n", F.explode("locations").alias("x")).select("hash", "n", "x.file", "x.name", "x.line", "x.line_count")
 
 
+@query(
+    f"""WITH {_BASE}, {_FUNCTIONS}, w AS (SELECT file, a, name, list_sort(list_distinct(regexp_extract_all(body, '{similar.TOKEN}'))) AS s FROM fn),
+    c AS (SELECT min({{'f': file, 'l': a, 'n': name}}) AS c, s FROM w GROUP BY s), e AS (SELECT c, len(s) AS n, unnest(s) AS t FROM c),
+    x AS (SELECT p.c AS p, q.c AS q, p.n AS np, q.n AS nq, count(*) AS shared FROM e p JOIN e q ON p.t = q.t AND p.c < q.c GROUP BY ALL)
+    SELECT p.f AS first_file, p.n AS first_name, q.f AS second_file, q.n AS second_name, shared / (np + nq - shared) AS score FROM x WHERE shared * 7 >= (np + nq - shared) * 5"""
+)
+def similar_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose bodies share 5/7 of their tokens, as these short ones share less than 0.8 unless they are equal."""
+    got = similar.similar_functions(parsed(spark, sf_dir), 5, 7)
+    return got.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("first", "second") for c in ("file", "name")], "score")
+
+
 @query(f"WITH {_BASE} SELECT file, ({_LINES})::INTEGER AS lines, ({_EXPORTS})::INTEGER AS exports FROM f WHERE {_LINES} > 24 OR {_EXPORTS} > 5")
 def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.god_files(_sizes(parsed(spark, sf_dir)), F.col("lines"), F.col("exports"), 24, 5)
