@@ -1,4 +1,4 @@
-"""The import graph: edges by first-match resolution, degrees, members of cycles, cycles."""
+"""The import graph: edges by first-match resolution, degrees, members of cycles, short cycles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions.text import directory
 from ..session import cut_lineage
+from .components import components
 
 
 def normal_path(path: Column) -> Column:
@@ -64,25 +65,16 @@ def trimmed(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return now
 
 
-def cycle_members(edges: DataFrame, core: DataFrame | None = None) -> DataFrame:
-    """(file): nodes that reach themselves. Trimming leaves a small graph (`core`, if it is known);
-    in it, each round doubles the length of the paths known, so rounds are few."""
-    reach = trimmed(edges) if core is None else core
-    n = reach.count()
-    while n:
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.to") == F.col("b.from")).select(F.col("a.from").alias("from"), F.col("b.to").alias("to"))
-        reach = cut_lineage(reach.union(further).distinct())
-        after = reach.count()
-        if after == n:
-            break
-        n = after
-    return reach.filter(F.col("from") == F.col("to")).select(F.col("from").alias("file"))
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(file): nodes that reach themselves."""
+    return components(edges).select(F.col("node").alias("file"))
 
 
-def list_cycles(edges: DataFrame, most_length: int = 8, core: DataFrame | None = None) -> DataFrame:
-    """(cycle): simple cycles of up to most_length nodes, each once, its least node first and
-    again at its end. Paths grow from their least node alone, so no rotation is built."""
-    steps = trimmed(edges) if core is None else core
+def list_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
+    """(cycle): all simple cycles of up to most_length nodes, each once, its least node first and again at
+    its end, for sparse graphs: a dense one has more of them than anyone can list. Paths grow from their
+    least node alone, so no rotation is built. Longer cycles are for `fundamental_cycles`."""
+    steps = trimmed(edges)
     loops = steps.filter(F.col("from") == F.col("to")).select(F.array("from", "to").alias("cycle"))
     steps = steps.filter(F.col("from") != F.col("to"))
     paths = steps.filter(F.col("from") < F.col("to")).select(F.array("from", "to").alias("path"))
@@ -95,57 +87,6 @@ def list_cycles(edges: DataFrame, most_length: int = 8, core: DataFrame | None =
     return found
 
 
-def _least_first(cycle: list[str]) -> list[str]:
-    """A cycle (closed) from its least node on."""
-    at = cycle.index(min(cycle))
-    return [*cycle[at:-1], *cycle[: at + 1]]
-
-
-def _shortest_cycles(edges: list[tuple[str, str]], through: list[str]) -> list[list[str]]:
-    """Shortest cycles through nodes that lie on one, until each is on some."""
-    to: dict[str, list[str]] = {}
-    for a, b in sorted(edges):
-        to.setdefault(a, []).append(b)
-    seen: set[str] = set()
-    out = []
-    for start in sorted(through):
-        if start in seen:
-            continue
-        came: dict[str, str] = {}
-        queue = [start]
-        for node in queue:
-            for nxt in to.get(node, []):
-                if nxt not in came:
-                    came[nxt] = node
-                    queue.append(nxt)
-            if start in came:
-                break
-        if start not in came:
-            continue
-        path = [start, came[start]]
-        while path[-1] != start:
-            path.append(came[path[-1]])
-        out.append(_least_first(path[::-1]))
-        seen.update(path)
-    return out
-
-
-def all_cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
-    """(cycle): those of `list_cycles`, and for nodes that are on longer cycles alone a shortest one
-    through each, so that every node that reaches itself is on a listed cycle. The longer ones are
-    sought on the driver, in the trimmed graph (report-sized)."""
-    core = trimmed(edges)
-    if core.isEmpty():
-        return core.select(F.array("from", "to").alias("cycle"))
-    short = cut_lineage(list_cycles(edges, most_length, core))
-    on_short = short.select(F.explode("cycle").alias("file")).distinct()
-    left = [r["file"] for r in cycle_members(edges, core).join(on_short, "file", "left_anti").collect()]
-    if not left:
-        return short
-    links = [(r["from"], r["to"]) for r in core.collect()]
-    return short.union(edges.sparkSession.createDataFrame([(c,) for c in _shortest_cycles(links, left)], short.schema))
-
-
 def first_search_cycles(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     """Compat: a cycle for each edge back into the path of a depth-first walk in node order, on
     the driver (for report-sized graphs); a stack takes the place of recursion."""

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import n_lines_scan
-from ..operators import files, graph, scoring, similar, symbols
-from ..session import ensure_importable
+from ..operators import components, files, graph, scoring, similar, symbols
+from ..session import ensure_importable, stored
 from ..sources import parsers, srctree
 
 
@@ -24,6 +24,7 @@ class Scan:
     god_files: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    members: DataFrame
     cycles: DataFrame
     subprojects: DataFrame
     functions: DataFrame
@@ -46,7 +47,7 @@ class Scan:
 
     def cycle_files(self) -> DataFrame:
         if self.mode == "intended":
-            return graph.cycle_members(self.edges)
+            return self.members.select(F.col("node").alias("file"))
         rows = [(f,) for c in self.circular() for f in set(c)]
         return self.nodes.sparkSession.createDataFrame(rows, "file string").distinct()
 
@@ -129,7 +130,8 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
     calls = symbols.call_sites(good.select("file", "text"), mode)
     exported = good.select(F.explode("exported").alias("name"))
     targets = import_targets(parsers.imports_of(parsed), mode)
-    edges = graph.resolved_edges(targets, listing, nodes, mode)
+    edges = stored(graph.resolved_edges(targets, listing, nodes, mode), "edges")
+    members = components.components(edges) if mode == "intended" else edges.limit(0)
     location = F.struct("file", F.col("start_line").alias("line"), "name", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
     return Scan(
         summary=symbols.scan_summary(parsed, lines, F.col("language"), counts),
@@ -138,7 +140,8 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         god_files=symbols.god_files(sizes, F.col("lines"), F.col("exports")),
         nodes=nodes,
         edges=edges,
-        cycles=graph.all_cycles(edges) if mode == "intended" else edges.limit(0),
+        members=members,
+        cycles=components.fundamental_cycles(edges, members) if mode == "intended" else edges.limit(0),
         subprojects=files.subprojects(listing, mode),
         functions=functions,
         calls=calls,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables as T
 from .functions import text as X
-from .operators import files, graph, history, scoring, similar, symbols
+from .operators import components, files, graph, history, scoring, similar, symbols
 from .session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,21 @@ def cycle_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.list_cycles(_edges(spark, sf_dir), 8).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
 
 
+_LINKS = "links AS (SELECT DISTINCT l_partkey AS a, l_orderkey % (SELECT count(*) FROM part) + 1 AS b FROM lineitem WHERE l_quantity >= 49)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse graph on parts, with one large component, some small ones and long tails."""
+    n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("from"), (F.col("l_orderkey") % n.scalar() + 1).alias("to")).distinct()
+
+
+@query(f"WITH RECURSIVE {_LINKS}, reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a) SELECT x.a AS part, min(y.a) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components, each named by its least node."""
+    return components.components(_links(spark, sf_dir)).withColumnRenamed("node", "part")
+
+
 @query(f"WITH {_EDGES} SELECT b AS nation, count(DISTINCT a) AS inbound FROM edges WHERE a <> b GROUP BY b")
 def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_degree(_edges(spark, sf_dir)).select(F.col("file").alias("nation"), "inbound")

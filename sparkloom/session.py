@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +40,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_stored: list[str] = []
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """A copy as Parquet in the shared folder, read back: like a checkpoint, but what is read has the size
+    of its files. A checkpoint keeps its plan's estimate, and estimates of joins multiply over rounds until
+    planning alone takes seconds and nothing small is broadcast. The copies go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(_leave, spark)
+    _stored.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _leave(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for path in _stored:
+            to = spark._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)

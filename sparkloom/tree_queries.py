@@ -22,9 +22,11 @@ from .api import Workspace
 from .control import diff, fix, state
 from .functions import tables as T
 from .functions import text as X
-from .operators import files, graph, history, scoring, similar, symbols
-from .plans.scan import import_targets, ordered
+from .operators import components, files, graph, history, scoring, similar, symbols
+from .operators.ranking import ranked
+from .plans.scan import import_targets
 from .queries import query, table
+from .session import stored
 from .sources import parsers, srctree
 
 HEADS = {
@@ -195,7 +197,7 @@ def _dead(rows: DataFrame) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    return ordered(rows, "file")[0]
+    return ranked(rows.select("file"), [], ["file"], "ordinal")
 
 
 def _import_edges(rows: DataFrame) -> DataFrame:
@@ -240,17 +242,24 @@ def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE}, {_EDGES} SELECT a AS from_file, b AS to_file FROM edges")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _import_edges(parsed(spark, sf_dir).persist()).select(F.col("from").alias("from_file"), F.col("to").alias("to_file"))
+    return _import_edges(stored(parsed(spark, sf_dir), "parsed")).select(F.col("from").alias("from_file"), F.col("to").alias("to_file"))
 
 
 @query(f"WITH {_BASE}, {_EDGES} SELECT b AS file, count(DISTINCT a) AS inbound FROM edges WHERE a <> b GROUP BY b")
 def import_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_degree(_import_edges(parsed(spark, sf_dir).persist()))
+    return graph.in_degree(_import_edges(stored(parsed(spark, sf_dir), "parsed")))
 
 
 @query(f"WITH {_BASE}, {_RINGS} SELECT file FROM f JOIN rings ON f.n = rings.n")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycle_members(_import_edges(parsed(spark, sf_dir).persist()))
+    return graph.cycle_members(_import_edges(stored(parsed(spark, sf_dir), "parsed")))
+
+
+@query(f"WITH {_BASE}, {_RINGS}, x AS (SELECT f.*, min(file) OVER (PARTITION BY f.n) AS least FROM f JOIN rings ON f.n = rings.n), y AS (SELECT *, max(CASE WHEN file = least THEN s END) OVER (PARTITION BY n) AS w FROM x) SELECT least || '>' || string_agg(CASE WHEN file <> least THEN file || '>' ELSE '' END, '' ORDER BY s < w, s) || least AS cycle FROM y GROUP BY n, least")
+def import_cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of imports, however long they are: the files of a nation import each other in a ring."""
+    edges = _import_edges(stored(parsed(spark, sf_dir), "parsed"))
+    return components.fundamental_cycles(edges).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 _TESTS = "tests AS (SELECT n, min(k) AS q FROM p WHERE k % 3 = 0 GROUP BY n)"
@@ -266,7 +275,7 @@ _TESTS = "tests AS (SELECT n, min(k) AS q FROM p WHERE k % 3 = 0 GROUP BY n)"
 )
 def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of changing the first function of each file; a test file of each nation calls one."""
-    rows = parsed(spark, sf_dir).persist()
+    rows = stored(parsed(spark, sf_dir), "parsed")
     _, p = _views(spark, sf_dir)
     tests = p.filter("k % 3 = 0").groupBy("n").agg(F.min("k").alias("q"))
     tests = tests.select(F.expr("'tests/test_n' || n || '.py'").alias("file"), F.expr("'def test_n' || n || '():' || chr(10) || '    part_' || q || '(1)' || chr(10)").alias("text"))

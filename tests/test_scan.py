@@ -134,3 +134,14 @@ def test_new_language(spark, tree):
         assert parsers._REGISTRY["go"]("abcdef")["exported"] == ["abc"]
     finally:
         parsers.register("go", parsers.parse_go)
+
+
+def test_a_long_ring_is_reported_and_costs_health(spark, tree):
+    """Nine files in a ring, most of them on a short cycle too: the ring is listed, and both kinds count."""
+    files = {f"m{k}.py": f"import m{(k + 1) % 9}\n" + (f"import m{k - 1}\n" if k % 2 else "") for k in range(9)}
+    s = scan(spark, tree(files))
+    cycles = s.circular()
+    assert [f"m{k}.py" for k in (*range(9), 0)] in cycles and ["m0.py", "m1.py", "m0.py"] in cycles and len(cycles) == 5
+    assert {r["file"] for r in s.cycle_files().collect()} == set(files)
+    assert s.health().first()["circular_count"] == 5
+    s.release()
