@@ -1,7 +1,7 @@
 """Symbols of source files: a registry of parsers by language, and the table function over files.
 
-Python is parsed with the standard `ast`. JavaScript, TypeScript and Go are read by masking
-strings, comments, templates and regular expressions and matching brackets in what is left.
+Python is parsed with the standard `ast`. JavaScript, TypeScript and Go are read by the masks of
+`lexer`, in which brackets are matched and types passed over.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import body_hash
+from .lexer import after_space, closing, go_body, mask_go, mask_script, script_body
 
 FUNCTION = "struct<name:string,start_line:int,end_line:int,body:string,decorators:array<string>>"
 CLASS = "struct<name:string,start_line:int,end_line:int,methods:array<string>>"
@@ -68,36 +69,6 @@ def parse_python(text: str) -> Symbols:
     return out
 
 
-_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
-_REGEX = re.compile(r"(?<=[(,=:\[!&|?{};\n])(\s*)/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
-
-
-def masked(text: str, regexes: bool) -> str:
-    """Text of the same shape with strings, comments and regular expressions blanked."""
-
-    def blank(m: re.Match) -> str:
-        s = m[0]
-        keep = s[0] if s[0] in "\"'`" else ""
-        return keep + re.sub(r"[^\n]", " ", s[len(keep) : len(s) - len(keep)]) + keep
-
-    out = _TOKEN.sub(blank, text)
-    return _REGEX.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), out) if regexes else out
-
-
-def closing(mask: str, at: int) -> int:
-    """The place of the bracket that closes the one at `at`; the end of the text if none does."""
-    open_, pairs = 0, {"(": ")", "[": "]", "{": "}"}
-    want = pairs[mask[at]]
-    for m in re.compile(r"[(){}\[\]]").finditer(mask, at):
-        if m[0] == mask[at]:
-            open_ += 1
-        elif m[0] == want:
-            open_ -= 1
-            if not open_:
-                return m.start()
-    return len(mask) - 1
-
-
 class _Lines:
     def __init__(self, text: str):
         self.ends = [m.start() for m in re.finditer("\n", text)]
@@ -110,17 +81,14 @@ _NAME = r"[A-Za-z_$][\w$]*"
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "with", "do", "else", "new", "await", "typeof"}
 
 
-def _body(mask: str, text: str, at: int) -> tuple[int, int] | None:
-    """(open, close) of the block after a parameter list that opens at `at`, types passed over."""
-    end = closing(mask, at)
-    m = re.compile(r"\s*(?::[^={;]*?(?:\{[^{}]*\}[^={;]*?)?)?\s*(?:=>)?\s*\{").match(mask, end + 1)
-    return (m.end() - 1, closing(mask, m.end() - 1)) if m else None
+def _block(mask: str, open_: int | None) -> tuple[int, int] | None:
+    return None if open_ is None else (open_, closing(mask, open_))
 
 
 def parse_script(text: str) -> Symbols:
     """JavaScript and TypeScript: declarations, generators, methods, arrow constants with blocks,
     classes, import declarations."""
-    mask, at = masked(text, True), _Lines(text)
+    mask, at = mask_script(text), _Lines(text)
     out: Symbols = {"functions": [], "classes": [], "imports": [], "exported": []}
     seen: set[int] = set()
 
@@ -130,11 +98,9 @@ def parse_script(text: str) -> Symbols:
             out["functions"].append({"name": name, "start_line": at.of(where), "end_line": at.of(block[1]), "body": text[block[0] : block[1] + 1], "decorators": []})
 
     for m in re.finditer(rf"\bfunction\b\s*\*?\s*({_NAME})\s*(?:<[^>(]*>)?\s*\(", mask):
-        add(m[1], m.start(1), _body(mask, text, m.end() - 1))
-    for m in re.finditer(rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:<[^>(]*>\s*)?(\()", mask):
-        close = closing(mask, m.start(2))
-        if re.compile(r"\s*(?::[^={;]+)?\s*=>").match(mask, close + 1):
-            add(m[1], m.start(1), _body(mask, text, m.start(2)))
+        add(m[1], m.start(1), _block(mask, script_body(mask, m.end() - 1)))
+    for m in re.finditer(rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=]+(?:=>[^=]+)*)?=\s*(?:async\s*)?(?:<[^>(]*>\s*)?(\()", mask):
+        add(m[1], m.start(1), _block(mask, script_body(mask, m.start(2), arrow=True)))
     for m in re.finditer(rf"\b(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s+)?{_NAME}\s*=>\s*(\{{)", mask):
         add(m[1], m.start(1), (m.start(2), closing(mask, m.start(2))))
     for m in re.finditer(rf"\bclass\s+({_NAME})[^{{;]*(\{{)", mask):
@@ -142,7 +108,7 @@ def parse_script(text: str) -> Symbols:
         k = m.end()
         step = re.compile(rf"({_NAME})\s*(?:<[^>(]*>)?\s*\(|[({{\[]")
         while (x := step.search(mask, k, end)) is not None:
-            if x[1] and x[1] not in _NOT_METHODS and (block := _body(mask, text, x.end() - 1)):
+            if x[1] and x[1] not in _NOT_METHODS and (block := _block(mask, script_body(mask, x.end() - 1))):
                 methods.append(x[1])
                 add(x[1], x.start(1), block)
                 k = block[1] + 1
@@ -165,14 +131,16 @@ def parse_script(text: str) -> Symbols:
 
 def parse_go(text: str) -> Symbols:
     """Go: functions and methods, types as classes, imports by path."""
-    mask, at = masked(text, False), _Lines(text)
+    mask, at = mask_go(text), _Lines(text)
     out: Symbols = {"functions": [], "classes": [], "imports": [], "exported": []}
-    for m in re.finditer(r"^func\s*(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\s*(\()", mask, re.M):
-        end = closing(mask, m.start(2))
-        k = re.compile(r"[^\n{]*(\{)").match(mask, end + 1)
-        if k:
-            last = closing(mask, k.start(1))
-            out["functions"].append({"name": m[1], "start_line": at.of(m.start(1)), "end_line": at.of(last), "body": text[k.start(1) : last + 1], "decorators": []})
+    for m in re.finditer(r"^func\b\s*(\()?", mask, re.M):
+        k = after_space(mask, closing(mask, m.start(1)) + 1 if m[1] else m.end())  # a receiver is passed over
+        name = re.compile(r"\w+").match(mask, k)
+        k = after_space(mask, name.end()) if name else k
+        if name and mask[k : k + 1] == "[":  # type parameters
+            k = after_space(mask, closing(mask, k) + 1)
+        if name and mask[k : k + 1] == "(" and (block := _block(mask, go_body(mask, k))):
+            out["functions"].append({"name": name[0], "start_line": at.of(name.start()), "end_line": at.of(block[1]), "body": text[block[0] : block[1] + 1], "decorators": []})
     types = [(m.start(1), m[1]) for m in re.finditer(r"^type\s+(\w+)\b(?!\s*\()", mask, re.M)]
     for m in re.finditer(r"^type\s*(\()", mask, re.M):
         types += [(x.start(1), x[1]) for x in re.compile(r"^\t(\w+)\s", re.M).finditer(mask, m.end(), closing(mask, m.start(1)))]

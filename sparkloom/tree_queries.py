@@ -178,6 +178,34 @@ def added_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("file").cast("int").alias("r"), "name", F.col("start_line").alias("line"))
 
 
+#: Result types, return types and lines whose brackets are not those of a body.
+_GO_RESULTS = ("int", "interface{}", "map[string]interface{}", "(chan struct{}, error)", "func(int) struct{}", "*q.Set[int]", "[]struct{ a int }")
+_SCRIPT_LINES = ("return /\\/\\//.test(s)", "return `}${ {a: 1} }`", "return s / 2 / {}", "if (s) /}/.exec(s)", "return \"{\" + s")
+_SCRIPT_RESULTS = ("", ": number", ": { a: number }", ": Promise<{ a: { b: 1 } }>")
+
+
+def _one_of(values: tuple[str, ...]) -> str:
+    """One of some texts by k, in SQL that both engines read."""
+    each = [" || chr(92) || ".join(f"'{x}'" for x in v.replace("'", "''").split("\\")) for v in values]
+    return f"(CASE k % {len(values)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(each))} END)"
+
+
+_TRICKY = f"""t AS (SELECT p_partkey AS k, 'n' || CAST(p_partkey AS STRING) || '.go' AS file, 'go' AS language, {_one_of(_GO_RESULTS)} AS x, '' AS y FROM (SELECT *, p_partkey AS k FROM part)
+    UNION ALL SELECT p_partkey, 'n' || CAST(p_partkey AS STRING) || '.ts', 'typescript', {_one_of(_SCRIPT_LINES)}, {_one_of(_SCRIPT_RESULTS)} FROM (SELECT *, p_partkey AS k FROM part))"""
+_TRICKY_TEXT = """CASE language WHEN 'go' THEN 'package p' || chr(10) || 'func A() ' || x || ' {' || chr(10) || 'return v' || chr(10) || '}' || chr(10) || 'func B() {' || chr(10) || '}'
+    ELSE 'function A(s) { ' || x || chr(10) || '}' || chr(10) || 'const B = (s)' || y || ' => {' || chr(10) || '}' END"""
+
+
+@query(
+    f"""WITH {_TRICKY} SELECT file, 'A' AS name, CASE language WHEN 'go' THEN 2 ELSE 1 END AS start_line, CASE language WHEN 'go' THEN 4 ELSE 2 END AS end_line, sha256(CASE language WHEN 'go' THEN '{{' || chr(10) || 'return v' || chr(10) || '}}' ELSE '{{ ' || x || chr(10) || '}}' END) AS body_hash FROM t
+    UNION ALL SELECT file, 'B', CASE language WHEN 'go' THEN 5 ELSE 3 END, CASE language WHEN 'go' THEN 6 ELSE 4 END, sha256('{{' || chr(10) || '}}') FROM t""".replace("{{", "{").replace("}}", "}")
+)
+def composite_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose types, regular expressions and templates hold brackets: two in each of two files a part."""
+    rows = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {_TRICKY.replace('{', '{{').replace('}', '}}')} SELECT file, language, CAST({_TRICKY_TEXT.replace('{', '{{').replace('}', '}}')} AS BINARY) AS content, CAST(NULL AS STRING) AS error FROM t", part=table(spark, sf_dir, "part"))
+    return parsers.functions_of(parsers.parse_files(rows)).select("file", "name", "start_line", "end_line", "body_hash")
+
+
 # -- analyses of the parsed tree ---------------------------------------------------------------
 
 _LINES = "CASE language WHEN 'python' THEN 14 + 5 * m WHEN 'go' THEN 11 + 6 * m ELSE 9 + 6 * m END"
