@@ -14,6 +14,7 @@ from .control import fix, state
 from .functions.tables import CHUNK_LANGUAGES
 from .operators import scoring
 from .operators.files import slice_lines
+from .operators.history import changelog
 from .plans.scan import Scan, scan
 from .sources.srctree import OutsideRoot, inside, is_skipped, suffix_of
 
@@ -33,8 +34,9 @@ class Workspace:
     def scan_tables(self, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0) -> Scan:
         return scan(self.spark, root, languages, include_tests, max_depth, self.mode)
 
-    def scan_repo(self, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0) -> dict[str, Any]:
-        """The report as a dict; a root that is no directory gives the same shape and an error."""
+    def scan_repo(self, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 10) -> dict[str, Any]:
+        """The report as a dict, of files in at most `max_depth` directories below each other (0: no bound);
+        a root that is no directory gives the same shape and an error."""
         if not Path(root).is_dir():
             empty = {"total_files": 0, "total_lines": 0, "languages_detected": [], "total_functions": 0, "total_classes": 0, "total_imports": 0}
             return {"summary": empty, "dead_code": [], "duplicates": [], "god_files": [], "dep_graph": {"nodes": [], "edges": [], "circular": []}, "subprojects": [], "error": f"not a directory: {root}"}
@@ -122,7 +124,13 @@ class Workspace:
         return {"score": score.pop("score"), "breakdown": score, "scan_summary": summary}
 
     def generate_changelog(self, root: str) -> str:
-        text = state.changelog(*(self.log.read(root, k)["value"] or [] for k in ("health_history", "fix_log", "pending_fixes")))
+        """Markdown of the scores, fixes and pending items in the log, also written into the tree."""
+        kept = {k: self.log.read(root, k)["value"] or [] for k in ("health_history", "fix_log", "pending_fixes")}
+        make = self.spark.createDataFrame
+        scores = make([(i, float(h["score"])) for i, h in enumerate(kept["health_history"])], "at long, score double")
+        fixes = make([(i, f.get("message"), f.get("file")) for i, f in enumerate(kept["fix_log"])], "at long, message string, file string")
+        pending = make([(i, str(p)) for i, p in enumerate(kept["pending_fixes"])], "at long, item string")
+        text = changelog(scores, fixes, pending, generated=datetime.now(timezone.utc).isoformat()).first()["text"]
         with contextlib.suppress(OSError):  # a tree that cannot be written still gets its text
             Path(root, "CHANGES.sparkloom.md").write_text(text, encoding="utf-8")
         return text

@@ -69,10 +69,11 @@ def _git(root: str, *args: str) -> str:
 
 
 @contextlib.contextmanager
-def others_aside(root: str, path: Path) -> Iterator[bool]:
+def others_aside(root: str, path: Path) -> Iterator[list[str]]:
     """Stashes uncommitted changes of tracked files other than `path` for a while, so that a test
-    sees the fix alone; outside a repository, or where git fails, nothing happens."""
-    aside = False
+    sees the fix alone; outside a repository, or where git fails, nothing happens. Yields a list that
+    names the stash afterwards, if it could not be put back."""
+    aside, left = False, []
     try:
         here = path.relative_to(Path(root).resolve()).as_posix()
         before = _git(root, "rev-parse", "--verify", "--quiet", "HEAD") and _git(root, "stash", "list")
@@ -81,16 +82,20 @@ def others_aside(root: str, path: Path) -> Iterator[bool]:
     except (subprocess.SubprocessError, OSError):
         pass
     try:
-        yield aside
+        yield left
     finally:
         if aside:
-            with contextlib.suppress(subprocess.SubprocessError, OSError):
+            try:
                 _git(root, "stash", "pop", "--quiet")
+            except (subprocess.SubprocessError, OSError):
+                left.append(_git(root, "stash", "list", "-1", "--format=%gd %H"))
 
 
 def write_fix(file_path: str, diff: str, root: str, test_command: str | None = None, allowed: tuple[str, ...] = ("pytest", "npm test", "go test")) -> dict:
     """Applies a diff to one file of a tree. With a test command the change stays only if that
-    succeeds; commands run without a shell, and other uncommitted changes are put aside."""
+    succeeds; commands run without a shell, and other uncommitted changes are put aside. If these cannot
+    be put back the fix goes, and the error names the stash that holds them. Whatever is raised
+    meanwhile, the file is then as it was."""
     out = {"success": False, "rolled_back": False, "error": None, "test_output": ""}
     try:
         path = inside(file_path, root)
@@ -98,6 +103,10 @@ def write_fix(file_path: str, diff: str, root: str, test_command: str | None = N
         return out | {"error": str(e)}
     if test_command is not None and not allowed_command(test_command, allowed):
         return out | {"error": f"command not allowed: {test_command!r}"}
+    try:
+        words = shlex.split(test_command or "")
+    except ValueError as e:  # a quote that does not close
+        return out | {"error": f"command not understood: {e}"}
     if not path.is_file() or is_skipped(path):
         return out | {"error": f"not a file to change: {file_path}"}
     try:
@@ -105,20 +114,24 @@ def write_fix(file_path: str, diff: str, root: str, test_command: str | None = N
         _keep(path)
     except (BadDiff, OSError, UnicodeDecodeError) as e:
         return out | {"error": str(e)}
-    good, said = True, ""
+    good, said, left = True, "", []
     try:
         write_atomically(path, after)
-        if test_command is not None:
-            with others_aside(root, path):
-                ran = subprocess.run(shlex.split(test_command), cwd=root, capture_output=True, text=True, timeout=TEST_SECONDS)
-            good, said = ran.returncode == 0, ran.stdout + ran.stderr
-    except (OSError, subprocess.TimeoutExpired) as e:
+        if words:
+            with others_aside(root, path) as left:
+                ran = subprocess.run(words, cwd=root, capture_output=True, timeout=TEST_SECONDS)
+            good, said = ran.returncode == 0, (ran.stdout + ran.stderr).decode("utf-8", "replace")
+    except (OSError, subprocess.SubprocessError) as e:
         good, said = False, str(e)
-    if good:
+    except Exception:
+        rollback(file_path, root)
+        raise
+    if good and not left:
         _copy_of(path).unlink(missing_ok=True)
         return out | {"success": True, "test_output": said}
     rollback(file_path, root)
-    return out | {"rolled_back": True, "error": "the test command failed", "test_output": said}
+    why = f"other changes could not be put back, and are in {left[0]}" if left else "the test command failed"
+    return out | {"rolled_back": True, "error": why, "test_output": said}
 
 
 def commit(root: str, files: list[str] | None, message: str | None, n_done: int, branch: str | None = None, create_branch: bool = False, confirmed: bool = False, budget: int = BUDGET, confirm_every: int = CONFIRM_EVERY) -> dict:

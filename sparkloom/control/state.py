@@ -64,19 +64,6 @@ class StateLog:
         return retain(self.rows().filter(F.col("repo") == repo), ["repo", "key"], [F.desc("version")], most)
 
 
-def changelog(history: list[dict], fixes: list[dict], pending: list[Any], now: str | None = None) -> str:
-    """Markdown: the last score and its change, fixes done, what is pending."""
-    scores = [float(h["score"]) for h in history][-2:]
-    change = f" ({scores[1] - scores[0]:+.1f} from previous scan)" if len(scores) == 2 else ""
-    done = [next((str(f[k]) for k in ("message", "file") if f.get(k)), "unknown") for f in fixes]
-    blocks = ["# Changes", f"*Generated: {now or datetime.now(timezone.utc).isoformat()}*"]
-    blocks += [f"**Health score:** {scores[-1]:.1f}{change}"] if scores else []
-    for title, items, nothing in (("Fixes Applied", done, None), ("Pending Fixes", [str(p) for p in pending], "_None_")):
-        if items or nothing:
-            blocks += [f"## {title}", "\n".join(f"- {x}" for x in items) or nothing]
-    return "\n\n".join(blocks) + "\n"
-
-
 def tidy(root: str | Path) -> dict[str, Any]:
     """Deletes parts of files that a crash left (this package's own names only), and adds what is
     missing to the tree's ignore file."""

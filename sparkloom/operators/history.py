@@ -31,13 +31,15 @@ def retain(log: DataFrame, keys: list[str], newest_first: list[Column], most: in
     return log.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*newest_first))).filter(F.col("_at") <= most).drop("_at")
 
 
-def changelog(history: DataFrame, fixes: DataFrame, pending: DataFrame, order: str = "at") -> DataFrame:
+def changelog(history: DataFrame, fixes: DataFrame, pending: DataFrame, order: str = "at", generated: str | None = None) -> DataFrame:
     """One row `text`: a change log in Markdown, from logs with a column of their order: history
-    (score), fixes (message, file), pending (item). Scores are compared by lag; items are joined."""
-    last = history.select(F.col(order), "score", F.lag("score").over(W.orderBy(order)).alias("before")).orderBy(F.desc(order)).limit(1)
+    (score), fixes (message, file), pending (item). Of the scores the last two are taken; items are joined."""
+    two = history.select(F.col(order).alias("o"), F.col("score").alias("s")).orderBy(F.desc(order)).limit(2)
+    both = two.agg(F.max_by("s", "o").alias("score"), F.min_by("s", "o").alias("before"), F.count("*").alias("n"))
     score = F.format_string("**Health score:** %.1f", F.col("score"))
-    change = F.when(F.col("before").isNotNull(), F.format_string(" (%+.1f from previous scan)", F.col("score") - F.col("before"))).otherwise("")
-    first = last.agg(F.max(F.concat(score, change)).alias("x"))
+    change = F.when(F.col("n") == 2, F.format_string(" (%+.1f from previous scan)", F.col("score") - F.col("before"))).otherwise("")
+    stamp = F.lit(f"*Generated: {generated}*" if generated else None).cast("string")
+    first = both.select(F.concat_ws("\n\n", stamp, F.when(F.col("n") > 0, F.concat(score, change))).alias("y")).select(F.nullif("y", F.lit("")).alias("x"))
 
     def items(rows: DataFrame, item: Column, title: str, nothing: str | None) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.lit("- "), item).alias("i"))))

@@ -113,8 +113,11 @@ def ordered(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0, mode: str = "intended") -> Scan:
-    """Reads and parses a tree once and plans every analysis on the result."""
+    """Reads and parses a tree once and plans every analysis on the result. Compat: depth and tests are
+    accepted and make no difference."""
     ensure_importable(spark)
+    if mode != "intended":
+        include_tests, max_depth = True, 0
     ignored = srctree.ignored_directories(root)
     options = {"ignore": ",".join(ignored), "languages": ",".join(languages or []), "maxDepth": str(max_depth), "includeTests": str(include_tests).lower()}
     parsed = parsers.parse_files(srctree.read_tree(spark, root, **options)).persist()

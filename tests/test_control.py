@@ -5,6 +5,7 @@ import pytest
 from sparkloom.api import Workspace
 from sparkloom.control import diff, fix, state
 from sparkloom.control.fix import fix_policy, write_fix
+from sparkloom.operators import history
 from sparkloom.sources.srctree import OutsideRoot, inside
 
 DIFF = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a = 1\n-b = 2\n+b = 3\n+c = 4\n"
@@ -68,9 +69,12 @@ def test_workspace(spark, tree, tmp_path_factory):
     assert "budget" in w.git_commit(root, ["b.dat"], "x", confirmed=True)["error"]
 
 
-def test_changelog_and_tidy(tree):
-    text = state.changelog([{"score": 50.0}, {"score": 62.5}], [{"message": "m"}, {"file": "f"}, {}], [])
-    assert "62.5 (+12.5 from" in text and "- m\n- f\n- unknown" in text and "_None_" in text
+def test_changelog_and_tidy(spark, tree):
+    scores = spark.createDataFrame([(0, 50.0), (1, 62.5)], "at int, score double")
+    fixes = spark.createDataFrame([(0, "m", None), (1, None, "f"), (2, None, None)], "at int, message string, file string")
+    text = history.changelog(scores, fixes, spark.createDataFrame([], "at int, item string"), generated="now").first()["text"]
+    assert text == "# Changes\n\n*Generated: now*\n\n**Health score:** 62.5 (+12.5 from previous scan)\n\n## Fixes Applied\n\n- m\n- f\n- unknown\n\n## Pending Fixes\n\n_None_\n"
+    assert history.changelog(scores.limit(0), fixes.limit(0), fixes.limit(0).withColumn("item", fixes.file)).first()["text"] == "# Changes\n\n## Pending Fixes\n\n_None_\n"
     root = tree({"x.sparkloom-part": "", "y.tmp": "", ".gitignore": "a"})
     assert state.tidy(root)["cleaned"] and not state.tidy(root)["ignore_updated"]
     assert open(f"{root}/y.tmp").read() == "" and open(f"{root}/.gitignore").read().startswith("a\n")
@@ -88,3 +92,25 @@ def test_a_crash_leaves_a_copy_that_rollback_puts_back(tree, monkeypatch):
         write_fix("x.py", DIFF, root, "true", ("true",))
     assert "c = 4" in open(f"{root}/x.py").read()
     assert fix.rollback("x.py", root) and open(f"{root}/x.py").read() == "a = 1\nb = 2\n" and not fix.rollback("x.py", root)
+
+
+def test_whatever_a_test_command_does_the_file_is_as_it_was(tree):
+    root = tree({"x.py": "a = 1\nb = 2\n"})
+    got = write_fix("x.py", DIFF, root, "pytest 'x", ("pytest",))
+    assert not got["success"] and "not understood" in got["error"]
+    got = write_fix("x.py", DIFF, root, "printf '\\377\\376'", ("printf",))  # output that is not UTF-8
+    assert got["success"] and "\ufffd" in got["test_output"]
+    root = tree({"x.py": "a = 1\nb = 2\n"})
+    assert write_fix("x.py", DIFF, root, "no-such-program", ("no-such-program",))["rolled_back"]
+    assert open(f"{root}/x.py").read() == "a = 1\nb = 2\n" and not list(inside(".", root).glob("*" + fix.COPY))
+
+
+def test_a_stash_that_cannot_be_put_back_is_told(tree):
+    root = tree({"x.py": "a = 1\nb = 2\n", "y.py": "y = 1\n"})
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True, text=True).stdout
+    for args in (["init", "-q"], ["config", "user.name", "t"], ["config", "user.email", "t@t"], ["add", "-A"], ["commit", "-qm", "first"]):
+        git(*args)
+    (inside("y.py", root)).write_text("y = 2\n")
+    got = write_fix("x.py", DIFF, root, "cp x.py y.py", ("cp",))  # the test writes over what was put aside
+    assert not got["success"] and "stash@{0}" in got["error"] and "y = 2" in git("stash", "show", "-p")
+    assert open(f"{root}/x.py").read() == "a = 1\nb = 2\n"

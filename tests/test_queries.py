@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from fixed_queries import FIXED
 from sparkloom import queries, tree_queries  # noqa: F401  (adds its queries)
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -34,6 +35,15 @@ def test_same_as_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(FIXED))
+def test_operations_without_tables(spark, duck, name):
+    f, sql = FIXED[name]
+    got, want = f(spark, ""), duck.sql(sql)
+    columns = sorted(got.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
