@@ -14,10 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, texts_of, to_bytes, worker_cache
+from .common import give_back, slices, stored, texts_of, to_bytes, worker_cache
 
 CHUNK, OVERLAP, WIDTH, STRIDE, PAD = 256, 32, 6, 1, 256
 VECTOR, FILTERS, HIDDEN = 8, 32, 16
@@ -163,12 +162,12 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteNet | float:
     """Fits a net on the whole texts of at most `rows` rows of each label, taken in the order of the
-    hash of their id as far as `most_bytes` of text hold them. Weights restore the labels' own
+    hash of their id, each if it still fits into `most_bytes` of text. Weights restore the labels' own
     proportion. Where fewer than two labels are known, the share of label 1 (0.5 if there is none)
     stands in for a net.
 
     Labels that are null or neither 0 nor 1, and those of held-out rows, are left out; of several
-    for one id the least counts.
+    for one id the least counts, and of several texts the greatest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter(~held_out()).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -178,11 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # 2 * rows ids at most
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    upto = F.sum(size).over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", size).rowsBetween(W.unboundedPreceding, 0))
-    sized = texts_of(docs).join(sample, "doc_id").withColumn("upto", upto).filter(F.col("upto") <= most_bytes)
-    got = sized.select("doc_id", "y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))}.values(), key=lambda r: r["doc_id"])
+    one = texts_of(docs).join(sample, "doc_id").groupBy("doc_id", "y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    one = stored(one, "quality-sample")  # a text for each id, of 2 * rows ids at most
+    sizes = one.select("doc_id", "y", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    room, chosen = {0: most_bytes, 1: most_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= room[r["y"]]:  # a text that does not fit makes way for those after it
+            room[r["y"]] -= r["n"]
+            chosen.append(r["doc_id"])
+    taken = one.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi")
+    got = taken.select("doc_id", "y", F.encode("text", "UTF-8").alias("text")).orderBy("doc_id").collect()
     y = np.array([r["y"] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
         return share.get(1, 0) / sum(share.values())

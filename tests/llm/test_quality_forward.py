@@ -4,6 +4,8 @@ import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
+
 
 from sparkloom.llm import quality
 
@@ -67,3 +69,17 @@ def test_rows_beyond_the_byte_bound_are_left_out_whole(spark):
     assert isinstance(quality.train(docs, labels, most_bytes=5000), quality.ByteNet)
     known = [i % 2 for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert quality.train(docs, labels, most_bytes=10) == sum(known) / len(known)
+
+
+def test_a_text_beyond_the_bound_makes_way_for_those_after_it(spark):
+    """The first row of a label by hash does not fit; the others are learnt from all the same."""
+    rows = [(i, ("sound words %d " % i) * 20 if i % 2 else ("#@! junk %d " % i) * 20) for i in range(200)]
+    known = [i for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+    first = spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    rows = [(i, "junk " * 60_000 if i == first else t) for i, t in rows] + [(1, None), (3, "sound too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    net = quality.train(docs, labels, most_bytes=200_000)
+    assert isinstance(net, quality.ByteNet)
+    good, bad = net.scores([b"sound words 5 " * 20]), net.scores([b"#@! junk 8 " * 20])
+    assert good[0] > 0.7 > 0.3 > bad[0]
