@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.text import call_tokens, is_comment_line
+from ..session import stored
 
 
 def duplicate_groups(rows: DataFrame, hash_col: str, location: Column, order: Column, least: int = 2) -> DataFrame:
@@ -66,6 +67,41 @@ def dead_functions(functions: DataFrame, calls: DataFrame, mode: str = "intended
     return out.join(called, "name", "left_anti").select(name.alias("symbol"), "file", F.col("start_line").alias("line"), F.lit("no_callers").alias("reason"))
 
 
+def callers(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(file, start_line, callee): calls (name, file, line) with the innermost function around them, both
+    null outside of functions. A definition's own line is no call of it."""
+    own = functions.select("name", "file", F.col("start_line").alias("line"))
+    each = calls.join(own, ["name", "file", "line"], "left_anti")
+    lines = functions.select("file", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("file", "line").agg(F.max("start_line").alias("start_line"))
+    found = each.join(lines, ["file", "line"], "left")
+    return found.select(F.when(F.col("start_line").isNotNull(), F.col("file")).alias("file"), "start_line", F.col("name").alias("callee")).distinct()
+
+
+def unreachable_functions(functions: DataFrame, calls: DataFrame, exported: DataFrame | None = None) -> DataFrame:
+    """(symbol, file, line, reason): functions (name, file, start_line, end_line, decorators) that nothing
+    live calls, by name: `no_callers`, or `dead_callers` if dead functions do, themselves included.
+
+    Live are special methods, entry points, framework callbacks, what is exported (name) or called
+    outside of functions, and what live functions call. Each round meets only the functions that the
+    one before has found.
+    """
+    nodes = stored(functions.select("name", "file", "start_line", is_framework_entry(F.col("decorators")).alias("callback")), "functions")
+    links = stored(callers(functions, calls), "calls")
+    name = F.col("name")
+    names = links.filter("start_line is null").select(F.col("callee").alias("name"))
+    names = (names if exported is None else names.union(exported.select("name"))).distinct()
+    rooted = nodes.filter(name.isin(*T.SPECIAL_METHODS, *T.ENTRY_POINT_FUNCTIONS) | F.col("callback")).select("file", "start_line")
+    front = live = stored(rooted.union(nodes.join(names, "name", "left_semi").select("file", "start_line")).distinct(), "live")
+    while not front.isEmpty():
+        called = links.join(front, ["file", "start_line"], "left_semi").select(F.col("callee").alias("name")).distinct()
+        front = stored(nodes.join(called, "name", "left_semi").select("file", "start_line").distinct().join(live, ["file", "start_line"], "left_anti"), "live")
+        live = live.union(front)
+    dead = nodes.join(live, ["file", "start_line"], "left_anti")
+    named = links.select(F.col("callee").alias("name")).distinct().withColumn("called", F.lit(True))
+    reason = F.when(F.col("called"), "dead_callers").otherwise("no_callers")
+    return dead.join(named, "name", "left").select(name.alias("symbol"), "file", F.col("start_line").alias("line"), reason.alias("reason"))
+
+
 def unreferenced(rows: DataFrame, references: DataFrame, key: str, ref_key: str) -> DataFrame:
     """Rows whose key no reference holds; references are made distinct before the join."""
     return rows.join(references.select(F.col(ref_key).alias(key)).distinct(), key, "left_anti")

@@ -38,6 +38,10 @@ class Scan:
         """(first, second, score): functions with similar bodies that are not duplicates."""
         return similar.similar_functions(self.parsed, num, den)
 
+    def unreachable(self) -> DataFrame:
+        """Functions that nothing live calls: dead code, and what only dead code calls."""
+        return symbols.unreachable_functions(self.functions, self.calls, self.parsed.filter("error is null").select(F.explode("exported").alias("name")))
+
     def circular(self) -> list[list[str]]:
         if self.mode == "intended":
             return sorted(r["cycle"] for r in self.cycles.collect())

@@ -341,6 +341,27 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.iso_time(F.col("ts")).alias("at"))
 
 
+_CHAIN = """g0 AS (SELECT p_partkey AS k, p_partkey % 1000 + 1 AS s FROM part), g AS (SELECT *, 'n' || CAST(s AS STRING) || '.py' AS file, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS i FROM g0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN}, called AS (SELECT k FROM g WHERE k % 97 = 0 UNION SELECT s FROM g WHERE s % 10 = 0 UNION SELECT CAST(floor(k / 2) AS BIGINT) FROM called WHERE k > 0),
+    u AS (SELECT DISTINCT CAST(floor(k / 2) AS BIGINT) AS k FROM g UNION SELECT s FROM g WHERE s % 10 = 0)
+    SELECT 'f_' || k AS symbol, file, (3 + 3 * i)::INTEGER AS line, CASE WHEN k IN (SELECT k FROM u) THEN 'dead_callers' ELSE 'no_callers' END AS reason FROM g WHERE k NOT IN (SELECT k FROM called)"""
+)
+def unreachable_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's function calls that of half its key; one in 97 is a callback, and one file in ten calls
+    a function when it is loaded."""
+    g = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {_CHAIN} SELECT * FROM g", part=table(spark, sf_dir, "part"))
+    mark = F.when(F.col("k") % 97 == 0, "@app.route").otherwise("# plain")
+    block = F.concat_ws("\n", mark, F.concat(F.lit("def f_"), F.col("k"), F.lit("(x):")), F.concat(F.lit("    return f_"), F.floor(F.col("k") / 2), F.lit("(x)")))
+    last = F.when(F.col("s") % 10 == 0, F.concat(F.lit("f_"), F.col("s"), F.lit("(1)"))).otherwise("x = 1")
+    files = g.groupBy("s", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", block.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
+    text = F.concat_ws("\n", F.lit("import app"), F.col("b"), last)
+    rows = stored(parsers.parse_files(files.select("file", F.lit("python").alias("language"), text.cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))), "parsed")
+    return symbols.unreachable_functions(parsers.functions_of(rows), symbols.call_sites(rows.select("file", "text")), rows.select(F.explode("exported").alias("name")))
+
+
 # -- trees on disk -----------------------------------------------------------------------------
 
 
