@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def latest(log: DataFrame, keys: list[str], version: Column) -> DataFrame:
     """The row of highest version for each key; aggregated before the shuffle."""
@@ -63,27 +66,67 @@ def gate_running(log: DataFrame, keys: list[str], order: list[Column], confirmed
     return log.withColumn("n", n).withColumn("decision", gate(F.col("n"), confirmed, budget, confirm_every))
 
 
+def _allowed(n: np.ndarray, confirmed: bool, budget: int, confirm_every: int) -> np.ndarray:
+    return (n < budget) & (confirmed | (n % confirm_every != 0) | (n == 0))
+
+
 def gate_exact(log: DataFrame, key: str, order: str, confirmed: str, budget: int = 20, confirm_every: int = 5) -> DataFrame:
-    """(key, order, n, decision) where only allowed attempts count: a fold over each session in
-    order. Sessions stream through sorted partitions; none is held in memory."""
+    """(key, order, n, decision) where only allowed attempts count: a fold over each session in order.
+
+    A piece of a session maps the count it begins with to the one it ends with; such maps compose, so a
+    session may lie in many tasks. Attempts are dealt by ranges of (key, order). The first pass gives
+    one row for each range: what its first session's piece makes of every count, and where its last
+    one ends. From these the count that each range begins with follows, and the second pass decides.
+    A null `confirmed` is none; attempts alike in key and order come in any order.
+    """
     kinds = dict(log.dtypes)
+    rows = log.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(confirmed), F.lit(False)).alias("ok"))
+    ranged = cut_lineage(rows.repartitionByRange("k", "o").sortWithinPartitions("k", "o").withColumn("part", F.spark_partition_id()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, n = object(), 0
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+        """Attempts of one session on end, and whether they begin it in this range."""
+        last = None
         for b in batches:
-            out = []
-            for k, o, ok in zip(b[key], b[order], b[confirmed]):
-                if k != session:
-                    session, n = k, 0
-                if n >= budget:
-                    what = "blocked"
-                elif not ok and n > 0 and n % confirm_every == 0:
-                    what = "checkpoint"
+            ids = b["k"].ne(b["k"].shift()) & ~(b["k"].isna() & b["k"].shift().isna())
+            ids.iloc[0:1] = True
+            for _, run in b.groupby(ids.cumsum()):
+                k = run["k"].iloc[0]
+                same = last is not None and (k == last[0] or (pd.isna(k) and pd.isna(last[0])))
+                yield run, not same
+                last = (k,)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, n, part, sessions, keys = np.arange(budget + 1), 0, None, 0, [None, None]
+        for run, new in runs(batches):
+            part, sessions = run["part"].iloc[0], sessions + new
+            keys = [keys[0] if sessions > 1 or not new else run["k"].iloc[0], run["k"].iloc[0]]
+            n = 0 if new else n
+            for ok in run["ok"]:
+                if sessions == 1:
+                    first = first + _allowed(first, ok, budget, confirm_every)
                 else:
-                    what = "allowed"
+                    n += int(_allowed(np.array(n), ok, budget, confirm_every))
+        if part is not None:
+            yield pd.DataFrame([(part, keys[0], keys[1], sessions == 1, first.tolist(), n)], columns=["part", "first", "last", "one", "exits", "n"])
+
+    kind = kinds[key]
+    pieces = ranged.mapInPandas(ends, f"part int, first {kind}, last {kind}, one boolean, exits array<long>, n long")
+    begins, before = {}, None
+    for r in sorted(pieces.collect(), key=lambda r: r["part"]):  # a row for each range
+        begins[r["part"]] = before[1] if before and before[0] == r["first"] else 0
+        before = (r["last"], r["exits"][begins[r["part"]]] if r["one"] else r["n"])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sessions = 0, 0
+        for run, new in runs(batches):
+            sessions += new
+            if new:
+                n = begins[int(run["part"].iloc[0])] if sessions == 1 else 0
+            out = []
+            for k, o, ok in zip(run["k"], run["o"], run["ok"]):
+                what = "blocked" if n >= budget else "allowed" if ok or n == 0 or n % confirm_every else "checkpoint"
                 out.append((k, o, n, what))
                 n += what == "allowed"
             yield pd.DataFrame(out, columns=[key, order, "n", "decision"])
 
-    rows = log.select(key, order, confirmed).repartition(key).sortWithinPartitions(key, order)
-    return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, n long, decision string")
+    return ranged.mapInPandas(decide, f"`{key}` {kind}, `{order}` {kinds[order]}, n long, decision string")

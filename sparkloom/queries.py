@@ -338,6 +338,18 @@ def budget_gate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.gate_exact(events, "user_id", "event_id", "confirmed")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id % 4 AS session, event_id, value > 50 AS ok, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS i FROM events),
+    f AS (SELECT session, event_id, i, 0::BIGINT AS n, true AS went FROM e WHERE i = 1 UNION ALL
+    SELECT e.session, e.event_id, e.i, f.n + f.went::INT, f.n + f.went::INT < 900 AND (e.ok OR f.n + f.went::INT = 0 OR (f.n + f.went::INT) % 7 <> 0) FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1)
+    SELECT session, event_id, n, CASE WHEN n >= 900 THEN 'blocked' WHEN went THEN 'allowed' ELSE 'checkpoint' END AS decision FROM f"""
+)
+def budget_gate_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact gate where four sessions hold all attempts, each of them in many tasks."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("session"), "event_id", (F.col("value") > 50).alias("confirmed"))
+    return history.gate_exact(events, "session", "event_id", "confirmed", budget=900, confirm_every=7)
+
+
 @query("SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events")
 def json_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
