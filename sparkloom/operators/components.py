@@ -123,7 +123,12 @@ def components(edges: DataFrame) -> DataFrame:
     while n and (not last or 2 * n <= last):  # a round that halves the graph is worth its jobs
         last = n
         now = trimmed_once(now)
-        for _ in (0, 1):  # nodes that one edge leaves, then nodes that one edge enters
+        n = now.count()
+        if 2 * n <= last:
+            continue
+        for _ in (0, 1) if n else ():  # nodes that one edge leaves, then nodes that one edge enters
+            if now.isEmpty():
+                break
             now, own, how = contracted(now)
             now = _renamed(now, **{"from": "to", "to": "from"})
             steps.append(how)

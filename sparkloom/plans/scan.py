@@ -12,6 +12,7 @@ from ..functions.text import n_lines_scan
 from ..operators import components, files, graph, scoring, similar, symbols
 from ..session import ensure_importable, stored
 from ..sources import parsers, srctree
+from .incremental import parse_changed
 
 
 @dataclass
@@ -30,6 +31,7 @@ class Scan:
     functions: DataFrame
     calls: DataFrame
     parsed: DataFrame
+    parsed_now: int | None = None
     mode: str = "intended"
     error: str | None = None
     kept: list[DataFrame] = field(default_factory=list)
@@ -116,15 +118,22 @@ def ordered(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return ranged.withColumn("_nth", nth).join(F.broadcast(counts), "_part").select(key, (F.col("_base") + F.col("_nth")).alias("ordinal")), ranged
 
 
-def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0, mode: str = "intended") -> Scan:
+def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include_tests: bool = True, max_depth: int = 0, mode: str = "intended", cache: str | None = None) -> Scan:
     """Reads and parses a tree once and plans every analysis on the result. Compat: depth and tests are
-    accepted and make no difference."""
+    accepted and make no difference. With a `cache` folder only files that it has not seen are parsed."""
     ensure_importable(spark)
     if mode != "intended":
         include_tests, max_depth = True, 0
     ignored = srctree.ignored_directories(root)
     options = {"ignore": ",".join(ignored), "languages": ",".join(languages or []), "maxDepth": str(max_depth), "includeTests": str(include_tests).lower()}
-    parsed = parsers.parse_files(srctree.read_tree(spark, root, **options)).persist()
+    tree, kept, parsed_now = srctree.read_tree(spark, root, **options), [], None
+    if cache:
+        tree = tree.persist()
+        kept.append(tree)
+        parsed, parsed_now = parse_changed(tree, cache)
+    else:
+        parsed = parsers.parse_files(tree)
+    parsed = parsed.persist()
     listing = srctree.listing(spark, root).persist()
     lines = n_lines_scan(F.col("text"))
     good = parsed.filter("error is null")
@@ -154,5 +163,6 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         calls=calls,
         parsed=parsed,
         mode=mode,
-        kept=[parsed, listing, ranged],
+        parsed_now=parsed_now,
+        kept=[parsed, listing, ranged, *kept],
     )

@@ -15,7 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
 from ..functions import tables as T
@@ -55,27 +55,36 @@ def is_skipped(path: Path) -> bool:
         return True
 
 
-def walk(root: str | Path, ignored: frozenset[str], under: str = "", deep: bool = True) -> Iterator[str]:
-    """Relative paths of the files below a directory of a tree (in it alone, if not `deep`), ignored
-    directories pruned rather than filtered, in order."""
+def on_the_way(path: str, prefix: str) -> bool:
+    """Whether paths that begin with a prefix may lie in a directory."""
+    return f"{path}/".startswith(prefix) or prefix.startswith(f"{path}/")
+
+
+def walk(root: str | Path, ignored: frozenset[str], under: str = "", deep: bool = True, prefix: str = "") -> Iterator[str]:
+    """Relative paths, beginning with a prefix, of the files below a directory of a tree (in it alone, if
+    not `deep`), ignored directories and such beside the prefix pruned rather than filtered, in order."""
     base = str(root)
     for top, dirs, names in os.walk(os.path.join(base, under)):
-        dirs[:] = sorted(d for d in dirs if d not in ignored) if deep else []
+        here = os.path.relpath(top, base).replace(os.sep, "/")
+        here = "" if here == "." else f"{here}/"
+        dirs[:] = sorted(d for d in dirs if d not in ignored and on_the_way(here + d, prefix)) if deep else []
         for n in sorted(names):
-            if n not in ignored:
-                yield os.path.relpath(os.path.join(top, n), base).replace(os.sep, "/")
+            if n not in ignored and (here + n).startswith(prefix):
+                yield here + n
 
 
-def units(root: str | Path, ignored: frozenset[str], most: int) -> list[tuple[str, bool]]:
+def units(root: str | Path, ignored: frozenset[str], most: int, prefix: str = "") -> list[tuple[str, bool]]:
     """(directory, whether with all below it) that make up a tree, each of its files in one: directories
-    are opened level by level until there are `most`, so the driver lists no more than that."""
+    are opened level by level until there are `most`, so the driver lists no more than that. Directories
+    in which no path begins with the prefix are not opened."""
     shallow: list[tuple[str, bool]] = []
     level = [""]
     while level and len(shallow) + len(level) < most:
         below = []
         for d in level:
             with os.scandir(os.path.join(str(root), d)) as entries:
-                below += sorted(os.path.join(d, e.name) for e in entries if e.is_dir(follow_symlinks=False) and e.name not in ignored)
+                found = sorted(os.path.join(d, e.name) for e in entries if e.is_dir(follow_symlinks=False) and e.name not in ignored)
+            below += [x for x in found if on_the_way(x.replace(os.sep, "/"), prefix)]
         shallow += [(d, False) for d in level]
         level = below
     return shallow + [(d, True) for d in level]
@@ -97,9 +106,30 @@ class TreeReader(DataSourceReader):
         self.tests = options.get("includetests", "true").lower() != "false"
         self.names_only = options.get("namesonly", "false").lower() == "true"
         self.parts = int(options.get("parts", "64"))
+        self.prefix, self.least, self.most = "", 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what spares listing or reading: a beginning of the path prunes directories, languages and
+        sizes are known before a file is opened. Everything else stays with Spark."""
+        for f in filters:
+            column, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+            if self.names_only and column != ("file",):
+                yield f
+            elif column == ("file",) and isinstance(f, StringStartsWith) and (value.startswith(self.prefix) or self.prefix.startswith(value)):
+                self.prefix = max(self.prefix, value, key=len)
+            elif column == ("language",) and isinstance(f, (EqualTo, In)):
+                asked = {value} if isinstance(f, EqualTo) else set(value)
+                self.languages = (self.languages & asked if self.languages else asked) or {""}
+            elif column == ("size",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                bound = value - isinstance(f, LessThan)
+                self.most = bound if self.most is None else min(self.most, bound)
+            elif column == ("size",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.least = max(self.least, value + isinstance(f, GreaterThan))
+            else:
+                yield f
 
     def wanted(self, under: str, deep: bool) -> Iterator[tuple[str, str, int]]:
-        for rel in walk(self.root, self.ignored, under, deep):
+        for rel in walk(self.root, self.ignored, under, deep, self.prefix):
             language = T.PARSED_LANGUAGES.get(suffix_of(rel))
             if language is None or self.languages and language not in self.languages:
                 continue
@@ -109,17 +139,17 @@ class TreeReader(DataSourceReader):
                 path = inside(rel, self.root)
             except OutsideRoot:
                 continue
-            if not is_skipped(path):
-                yield rel, language, path.stat().st_size
+            if not is_skipped(path) and (size := path.stat().st_size) >= self.least and (self.most is None or size <= self.most):
+                yield rel, language, size
 
     def partitions(self) -> list[InputPartition]:
-        every = units(self.root, self.ignored, 8 * self.parts)
+        every = units(self.root, self.ignored, 8 * self.parts, self.prefix)
         return [Part(every[i :: self.parts]) for i in range(min(self.parts, len(every)))] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for under, deep in partition.units:
             if self.names_only:
-                yield from ((rel, None, None, None, None) for rel in walk(self.root, self.ignored, under, deep))
+                yield from ((rel, None, None, None, None) for rel in walk(self.root, self.ignored, under, deep, self.prefix))
                 continue
             for rel, language, size in self.wanted(under, deep):
                 try:
@@ -146,6 +176,9 @@ class SourceTree(DataSource):
 
 
 def read_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """A tree as a table. Predicates on language, size and the beginning of the path are the source's own,
+    for which the session has to allow filters of Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SourceTree)
     return spark.read.format("srctree").options(**options).load(str(root))
 

@@ -11,6 +11,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -22,6 +23,7 @@ from .functions import tables as T
 from .functions import text as X
 from .operators import components, files, graph, history, scoring, similar, symbols
 from .operators.ranking import ranked
+from .plans import incremental
 from .plans.scan import import_targets
 from .queries import query, table
 from .session import shared_dir, stored
@@ -362,6 +364,23 @@ def unreachable_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.unreachable_functions(parsers.functions_of(rows), symbols.call_sites(rows.select("file", "text")), rows.select(F.explode("exported").alias("name")))
 
 
+@query(f"WITH {_BASE}, {_FUNCTIONS} SELECT fn.file, name, a::INTEGER AS start_line, sha256(body) AS body_hash, CASE WHEN f.s % 3 = 0 THEN 3 WHEN f.s % 3 = 1 THEN 2 ELSE 1 END AS scan FROM fn JOIN f ON fn.file = f.file")
+def rescanned_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scans of a growing and changing tree with one cache: the first sees two thirds of the files, in
+    the second half of these have changed, in the third the others come; nothing is left for the fourth."""
+    cache = f"{shared_dir(spark)}/sparkloom/scan-cache-{uuid.uuid4().hex}"
+    every = stored(source_files(spark, sf_dir), "sources")
+    s = F.regexp_extract("file", r"s(\d+)\.", 1).cast("int") % 3
+    older = every.filter(s != 0).withColumn("content", F.when(s == 1, F.lit("# not yet\n").cast("binary")).otherwise(F.col("content")))
+    for tree in (older, every.filter(s != 0), every):
+        incremental.parse_changed(tree, cache)
+    rows, n = incremental.parse_changed(every, cache)
+    if n:
+        raise AssertionError(f"{n} files were parsed again")
+    scans = rows.select("file", "scan")
+    return parsers.functions_of(rows).select("file", "name", "start_line", "body_hash").join(scans, "file")
+
+
 # -- trees on disk -----------------------------------------------------------------------------
 
 
