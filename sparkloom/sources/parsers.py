@@ -32,6 +32,10 @@ def register(language: str, parser: Callable[[str], Symbols]) -> None:
     _REGISTRY[language] = parser
 
 
+def parsers_now() -> dict[str, Callable[[str], Symbols]]:
+    return _REGISTRY
+
+
 def _dotted(node: ast.expr) -> str:
     return ast.unparse(node.func if isinstance(node, ast.Call) else node)
 

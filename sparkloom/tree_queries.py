@@ -28,6 +28,7 @@ from .plans.scan import import_targets
 from .queries import query, table
 from .session import shared_dir, stored
 from .sources import parsers, srctree
+from .sources.sql import register_functions
 
 HEADS = {
     "python": ['"""Parts of supplier {s}."""', "from .s{t} import part_{s}", "import os", ""],
@@ -206,6 +207,14 @@ def composite_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.functions_of(parsers.parse_files(rows)).select("file", "name", "start_line", "end_line", "body_hash")
 
 
+@query(f"WITH {_BASE}, {_FUNCTIONS} SELECT language, file, name, a::INTEGER AS start_line, b::INTEGER AS end_line, decorators, sha256(body) AS body_hash FROM fn")
+def functions_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsers called from SQL alone."""
+    register_functions(spark)
+    files = source_files(spark, sf_dir)
+    return spark.sql("SELECT language, file, f.name, f.start_line, f.end_line, array_join(f.decorators, ',') AS decorators, f.body_hash FROM {files}, LATERAL source_symbols(language, content, 'functions') f", files=files)
+
+
 # -- analyses of the parsed tree ---------------------------------------------------------------
 
 _LINES = "CASE language WHEN 'python' THEN 14 + 5 * m WHEN 'go' THEN 11 + 6 * m ELSE 9 + 6 * m END"
