@@ -12,9 +12,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,6 +326,45 @@ def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.risk_of(targets, edges, _nodes(rows), graph.cycle_members(edges), dead, gods, summary, calls)
 
 
+_WORDS = ("router", "cmd_cli", "view_layout", "parser", "fire", "package", "render", "endpoint", "store", "typer", "test_x", "utils")
+_MAKERS = {1: ["python"], 2: ["javascript", "python"], 3: ["typescript"], 4: [], 5: ["go"]}
+_NAMES = f"""a AS (SELECT p_partkey AS k, CAST(substr(p_brand, length(p_brand)) AS INT) % 5 + 1 AS m, CASE WHEN p_partkey % 50 = 7 THEN 'd' || CAST(p_partkey AS STRING) || '/main.py' WHEN p_partkey % 70 = 9 THEN 'Utils.py'
+    ELSE (CASE (p_partkey * p_size) % {len(_WORDS)} {" ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WORDS))} END) || CAST(p_partkey % 30 AS STRING) || '.py' END AS file FROM part)"""
+
+
+def _shape_sql() -> str:
+    """Shares of files with a marker, best class (the first of equals), entry points, first modules."""
+    hit = lambda marks: " OR ".join(f"contains(s, '{x}')" for x in marks)
+    shares = ", ".join(f"sum(({hit(marks)})::INT) / greatest(count(*), 1) AS c{k}" for k, (_, marks) in enumerate(T.ARCHITECTURES))
+    bonus = {2: [m for m, x in _MAKERS.items() if x == ["python"]], 3: [m for m, x in _MAKERS.items() if x and "python" not in x and x != ["go"]]}
+    more = lambda k, by: f" + CASE WHEN m IN ({', '.join(map(str, bonus[k]))}) THEN {by} ELSE 0 END"
+    scores = f"c0::DOUBLE AS s0, c1::DOUBLE AS s1, c2{more(2, 0.05)} AS s2, c3{more(3, 0.2)} AS s3"
+    names = " ".join(f"WHEN s{k} = best THEN '{name}'" for k, (name, _) in enumerate(T.ARCHITECTURES))
+    spoken = " ".join(f"WHEN {m} THEN '{', '.join(x) or 'unknown language'}'" for m, x in _MAKERS.items())
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    return f"""WITH {_NAMES}, b AS (SELECT *, regexp_replace(lower(string_split(file, '/')[-1]), '\\.py$', '') AS s FROM a),
+    p AS (SELECT m, {shares} FROM b GROUP BY m), q AS (SELECT m, {scores} FROM p), r AS (SELECT *, greatest(s0, s1, s2, s3) AS best FROM q), c AS (SELECT m, best, CASE {names} END AS pattern FROM r),
+    e AS (SELECT m, list(file ORDER BY k) AS entries FROM (SELECT m, file, min(k) AS k FROM b WHERE s IN ({quoted(T.ENTRY_POINT_STEMS)}) GROUP BY m, file) GROUP BY m),
+    d AS (SELECT m, s, min(k) AS k FROM b WHERE s <> '' AND s NOT IN ({quoted(T.MODULES_SKIPPED)}) AND NOT starts_with(s, 'test_') GROUP BY m, s),
+    n AS (SELECT m, list(s ORDER BY k) AS modules FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY k) AS i FROM d) WHERE i <= 20 GROUP BY m),
+    t AS (SELECT m, pattern, coalesce(entries, []) AS entries, coalesce(modules, []) AS modules, least(1.0, round(best * 3 + 0.2, 2))::DOUBLE AS confidence FROM c LEFT JOIN e USING (m) LEFT JOIN n USING (m))
+    SELECT m AS maker, pattern, array_to_string(entries, ',') AS entry_points, array_to_string(modules, ',') AS modules, confidence, trim('This appears to be a ' || pattern || ' written in ' || CASE m {spoken} END || '. ' ||
+        CASE WHEN len(entries) > 0 THEN 'Entry point' || CASE WHEN len(entries) <> 1 THEN 's' ELSE '' END || ': ' || array_to_string(entries[:3], ', ') || '.' ELSE 'No clear entry point detected.' END || ' ' ||
+        CASE WHEN len(modules) > 0 THEN 'Logical modules include: ' || array_to_string(modules[:5], ', ') || '.' ELSE '' END) AS hypothesis FROM t"""
+
+
+@query(_shape_sql())
+def likely_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likely architecture of five trees, whose files are the parts of brands by last digit."""
+    files = spark.sql(f"WITH part AS (SELECT * FROM {{part}}), {_NAMES} SELECT * FROM a", part=table(spark, sf_dir, "part"))
+    out = None
+    for m, languages in _MAKERS.items():
+        got = scoring.architecture(files.filter(F.col("m") == m).select("file", F.col("k").alias("ordinal")), languages)
+        got = got.select(F.lit(m).alias("maker"), "pattern", F.array_join("entry_points", ",").alias("entry_points"), F.array_join("inferred_modules", ",").alias("modules"), "confidence", "hypothesis")
+        out = got if out is None else out.union(got)
+    return out
+
+
 _MARKED = ", ".join(f"('{name}', '{lang}', '{cmd}', {k})" for k, (name, lang, cmd) in enumerate(T.SUBPROJECT_MARKERS))
 
 
@@ -412,17 +453,33 @@ def _write(root: Path, path: str, content: bytes) -> None:
     at.write_bytes(content)
 
 
+def write_files(files: DataFrame, root: Path) -> int:
+    """Writes (path, content) rows below a root that all tasks see, and returns their number. A task that is
+    repeated writes the same."""
+    at = str(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                _write(Path(at), path, bytes(content))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+#: Files of a nation that a scan has to leave out, and two that it reads: small ones, but that one in ten is too large.
+_EXTRA = """'node_modules/n' || n || '.js', 'gen/n' || n || '.py', 'n' || n || '/build/x.py', 'n' || n || '/bundle.min.js', 'n' || n || '/package-lock.json', 'n' || n || '/notes.md'"""
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> Path:
-    """The tree of `source_files` on disk, and files among it that a scan has to leave out."""
+    """The tree of `source_files` on disk, written by tasks, and files among it that a scan has to leave out."""
     root = new_tree(spark, "tree")
-    for r in source_files(spark, sf_dir).toLocalIterator():
-        _write(root, r["file"], bytes(r["content"]))
-    for r in table(spark, sf_dir, "nation").select("n_nationkey").toLocalIterator():
-        n = r["n_nationkey"]
-        for path in (f"node_modules/n{n}.js", f"gen/n{n}.py", f"n{n}/build/x.py", f"n{n}/bundle.min.js", f"n{n}/package-lock.json", f"n{n}/notes.md"):
-            _write(root, path, b"x = 1\n")
-        _write(root, f"_n{n}.py", b"x = 1\n" * n)
-        _write(root, f"tests/big{n}.py", b"x = 1 # filler\n" * (35_000 if n % 10 == 0 else 1))
+    write_files(source_files(spark, sf_dir).withColumnRenamed("file", "path"), root)
+    nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS n")
+    small = nation.select(F.explode(F.expr(f"array({_EXTRA})")).alias("path"), F.lit("x = 1\n").alias("text"))
+    root_files = nation.selectExpr("'_n' || n || '.py' AS path", "repeat('x = 1\n', CAST(n AS INT)) AS text")
+    big = nation.selectExpr("'tests/big' || n || '.py' AS path", "repeat('x = 1 # filler\n', CASE WHEN n % 10 = 0 THEN 35000 ELSE 1 END) AS text")
+    write_files(small.union(root_files).union(big).select("path", F.col("text").cast("binary").alias("content")), root)
     _write(root, "scan.toml", b"[scan]\nignore = ['gen']\n[fix]\nsession_budget = 7\n")
     (root / "out_of_it.py").symlink_to("/etc/hostname")
     return root
