@@ -51,8 +51,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r" ?[\[({<] ?(?:at|AT|At) ?[\])}>] ?| ?@ | @| (?:at|AT) ")
 _SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({<] ?(?:dot|DOT|Dot|\.) ?[\])}>] ?|\.| (?:dot|DOT) )[A-Za-z0-9-]{1,63}+)++")
 _SPELT_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_SPELT_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:(?:  | - |[./_])[0-9]{4}){3}(?![0-9A-Za-z])")
-_SPELT_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\) ?|00 ?[0-9]{1,3}[ ./-]|[0-9]{3,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z]|[.-][0-9])")
+_SPELT_CARD = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:(?:\s{1,2}| - |[./_-])[0-9]{4}){3}|[0-9]{13,19})(?![0-9A-Za-z])")
+_SPELT_PHONE = re.compile(
+    r"\+[0-9]{1,3}[\s.-]{0,2}\(?[0-9]{2,5}\)?[\s.-]{0,2}[0-9]{3,4}[\s.-][0-9]{3,5}(?![0-9])"
+    r"|(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\) ?|00 ?[0-9]{1,3}[ ./-]|[0-9]{3,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z]|[.-][0-9])"
+)
 _ALL_DIGITS, _WORDS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
 
 Span = tuple[int, int, int, bool]  # start, kind, end, base
@@ -110,7 +113,8 @@ def strict_forms(text: str) -> Iterator[Span]:
 
 
 def looser_forms(text: str) -> Iterator[Span]:
-    """Spelt-out and local forms, which have no check of their own."""
+    """Spelt-out and local forms, and such as strict forms run over: numbers beside other numbers, or
+    broken by a line end."""
     if "at" in text or "AT" in text or "At" in text or "@" in text:
         for m in _AT.finditer(text):
             domain = _SPELT_DOMAIN.match(text, m.end())
@@ -136,13 +140,16 @@ def candidates(text: str) -> list[Span]:
             covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
         else:
             covered.append((a, b))
-    last, k = 0, 0
-    for s in sorted({*(s for s in strict if not s[3]), *looser_forms(text)}, key=lambda s: (s[0], s[1], -s[2])):
-        while k < len(covered) and covered[k][1] <= s[0]:
-            k += 1
-        if s[0] >= last and (k == len(covered) or covered[k][0] >= s[2]):
-            out.append(s)
-            last = s[2]
+    order = lambda s: (s[0], s[1], -s[2])
+    for more in (looser_forms(text), (s for s in strict if not s[3])):  # a match that failed hides no looser one in it
+        found, k = [], 0
+        for s in sorted(set(more), key=order):
+            while k < len(covered) and covered[k][1] <= s[0]:
+                k += 1
+            if (not found or s[0] >= found[-1][2]) and (k == len(covered) or covered[k][0] >= s[2]):
+                found.append(s)
+        out += found
+        covered = sorted([*covered, *((s[0], s[2]) for s in found)])
     return sorted(out)
 
 
@@ -166,13 +173,15 @@ def votes_of(text: str, span: Span) -> list[int]:
     elif kind == 2:
         checked, known = 12 <= len(digits) <= 19 and luhn(digits), digits.startswith(ISSUERS)
     else:
-        checked = 9 <= len(digits) <= 15
-        known = digits.lstrip("0").startswith(CALLING_CODES) if body[0] == "+" or body[:2] == "00" else None
+        checked, code = 9 <= len(digits) <= 15, digits.lstrip("0")
+        known = code.startswith(CALLING_CODES) if body[0] == "+" or body[:2] == "00" else body[0] == "(" and code == digits
+        if checked and body[0] not in "+(0":
+            checked = None  # of bare groups of digits their number says little
     joined = text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()
     plain = len(set(digits)) <= 2 if kind >= 2 else False
     return [
         FOR if base else NO_VOTE,
-        FOR if checked else AGAINST,
+        NO_VOTE if checked is None else FOR if checked else AGAINST,
         NO_VOTE if known is None else FOR if known else AGAINST,
         FOR if SPEAKS_FOR[KINDS[kind]].intersection(before[-4:]) else NO_VOTE,
         AGAINST if SPEAKS_AGAINST.intersection(before[-3:]) else NO_VOTE,
@@ -221,8 +230,9 @@ def unpacked(votes: np.ndarray) -> np.ndarray:
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation on vote patterns (n, labelers) with counts: (p[class, labeler, vote],
-    the share of class 1, each pattern's probability of class 1). It starts from the majority, and
-    pseudo-counts hold a labeler to be better than chance where it says nothing of the kind."""
+    the share of class 1, each pattern's probability of class 1). It starts from the majority;
+    pseudo-counts hold a labeler to be better than chance where it says nothing of the kind. A
+    labeler that does not vote says nothing."""
     prior = np.array([[1.0, 2.0, 0.5], [1.0, 0.5, 2.0]])[:, None, :]
     chosen = (votes[:, :, None] == np.arange(3)).astype(np.float64)
     belief = 1 / (1 + np.exp(-2.0 * (chosen[:, :, FOR].sum(1) - 2 * chosen[:, :, AGAINST].sum(1))))
@@ -230,10 +240,11 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tu
         weight = np.stack([(1 - belief) * counts, belief * counts])
         p = np.einsum("cn,nlv->clv", weight, chosen) + prior
         p /= p.sum(2, keepdims=True)
-        share = (weight[1].sum() + 1) / (counts.sum() + 2)
-        odds = np.log(share / (1 - share)) + np.einsum("nlv,lv->n", chosen, np.log(p[1]) - np.log(p[0]))
+        cast = np.log(p[:, :, AGAINST:] / p[:, :, AGAINST:].sum(2, keepdims=True))
+        share = float(np.clip(weight[1].sum() / counts.sum(), 0.05, 0.95))
+        odds = np.log(share / (1 - share)) + np.einsum("nlv,lv->n", chosen[:, :, AGAINST:], cast[1] - cast[0])
         belief = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-    return p, float(share), belief
+    return p, share, belief
 
 
 def fitted(features: list[list[int]], target: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:

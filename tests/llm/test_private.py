@@ -87,7 +87,12 @@ def planted(n=300, seed=4):
                 (f"call +1 {phone} now", []),
                 (f"phone {phone} now", [phone]),
                 (f"my card {number(True)} is new", []),
+                ("cards " + " ".join(two := [number(True), number(True), number(False)]), two[:2]),
                 (f"order {number(False)} was sent", []),
+                (f"new +1 {phone} {number(False)} there", [f"+1 {phone}"]),  # the strict form runs over both
+                (f"fax +1\n{phone} now", [f"+1\n{phone}"]),
+                (f"years 1990 1991 1992 and {r.randrange(100, 999)} 4567 1234", []),
+                (f"hash {r.randrange(10**9)}a{number(False)}", []),
                 (f"see version {r.randrange(300, 900)}.{r.randrange(9)}.{r.randrange(9)}.{r.randrange(9)} of it", []),
                 (f"host {r.randrange(1, 255)}.{r.randrange(255)}.{r.randrange(255)}.{r.randrange(255)} is up", []),
                 ("they met at noon. Then at last nothing happened", []),
