@@ -50,16 +50,21 @@ def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs, the smaller set first, that prefixes, lengths and places do not rule out.
 
     Of n tokens, similar sets miss at most n - ceil(n * num / den), so one of the first
-    n - ceil(n * num / den) + 1 is shared. A shared token at places i and j leaves
-    min(i, j) + min(n - i, m - j) tokens to share at most; what similarity asks for is `need`.
+    n - ceil(n * num / den) + 1 is shared. A shared token at places i and j leaves min(n - i, m - j) after
+    it to share, and min(i, j) - 1 before it; where the tokens just before it differ, the greater of
+    the two is not in the other set. What similarity asks for is `need`.
     """
     prefix = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
-    index = sets.select("class_id", "n", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
+    index = sets.select("class_id", "n", "tokens", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
+    index = index.select("class_id", "n", "at", "token", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).otherwise(0).alias("past"))
+    # a small index may make many pairs, so it is dealt out as it is: adaptive execution would put it together
+    index = index.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     x, y = (index.select(*[F.col(c).alias(f"{c}_{k}" if c != "token" else c) for c in index.columns]) for k in ("x", "y"))
     both = x.join(y, "token").filter((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("class_id_x") < F.col("class_id_y"))))
     need = (F.col("n_x") + F.col("n_y")) * num
     rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    both = both.filter((F.col("n_x") * den >= F.col("n_y") * num) & ((F.least("at_x", "at_y") + rest) * (num + den) >= need))
+    before = F.least(F.col("at_x") - (F.col("past_x") > F.col("past_y")).cast("int"), F.col("at_y") - (F.col("past_y") > F.col("past_x")).cast("int"))
+    both = both.filter((F.col("n_x") * den >= F.col("n_y") * num) & ((before + rest) * (num + den) >= need))
     pairs = both.groupBy("class_id_x", "class_id_y", "n_x", "n_y").agg(F.count("*").alias("met"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
     # all that is shared up to the last shared place is in both prefixes, and counted
     return pairs.filter((F.col("met") + rest) * (num + den) >= need).select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"))
@@ -74,18 +79,23 @@ def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den:
     """
     distinct = F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())))
     base = rows.select(id.alias("id"), distinct.alias("tokens")).filter((F.size("tokens") > 0) & F.col("id").isNotNull())
-    told = F.array_join(F.transform("tokens", lambda t: F.concat(F.char_length(t).cast("string"), F.lit(":"), t)), "")
-    base = cut_lineage(base.withColumn("digest", F.sha2(told, 256)))
+    text = F.array_join(F.transform("tokens", lambda t: F.concat(F.char_length(t).cast("string"), F.lit(":"), t)), "")
+    base = cut_lineage(base.withColumn("digest", F.sha2(text, 256)))
     classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("tokens").alias("tokens"))
-    sets = cut_lineage(numbered(classes.select("class_id", "tokens")))
+    # classes are told apart by whole numbers until the end, as ids may be wide
+    named = cut_lineage(ranked(classes.select("class_id", "tokens"), [], ["class_id"], "number"))
+    sets = cut_lineage(numbered(named.select(F.col("number").alias("class_id"), "tokens")))
     pairs = candidates(sets, num, den)
     a, b = (sets.select(F.col("class_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
     shared = F.size(F.array_intersect("ta", "tb"))
     whole = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", shared.alias("shared"))
     kept = whole.filter(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
-    named = kept.select(F.least("a", "b").alias("first_id"), F.greatest("a", "b").alias("second_id"), F.col("shared").cast("long").alias("shared"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
+    names = named.select("number", "class_id")
+    first, second = (names.select(F.col("number").alias(k), F.col("class_id").alias(f"{k}_id")) for k in ("first", "second"))  # numbers ascend with ids
+    ends = kept.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), F.col("shared").cast("long").alias("shared"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
+    told = ends.join(first, "first").join(second, "second").select("first_id", "second_id", "shared", "score")
     members = base.join(base.groupBy("digest").agg(F.min("id").alias("class_id")), "digest").select("id", "class_id")
-    return Similar(named, members)
+    return Similar(told, members)
 
 
 def similar_functions(parsed: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

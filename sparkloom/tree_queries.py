@@ -266,11 +266,12 @@ def duplicate_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_BASE}, {_FUNCTIONS}, w AS (SELECT file, a, name, list_sort(list_distinct(regexp_extract_all(body, '{similar.TOKEN}'))) AS s FROM fn),
     c AS (SELECT min({{'f': file, 'l': a, 'n': name}}) AS c, s FROM w GROUP BY s), e AS (SELECT c, len(s) AS n, unnest(s) AS t FROM c),
     x AS (SELECT p.c AS p, q.c AS q, p.n AS np, q.n AS nq, count(*) AS shared FROM e p JOIN e q ON p.t = q.t AND p.c < q.c GROUP BY ALL)
-    SELECT p.f AS first_file, p.n AS first_name, q.f AS second_file, q.n AS second_name, shared / (np + nq - shared) AS score FROM x WHERE shared * 7 >= (np + nq - shared) * 5"""
+    SELECT p.f AS first_file, p.n AS first_name, q.f AS second_file, q.n AS second_name, shared / (np + nq - shared) AS score FROM x WHERE shared * 5 >= (np + nq - shared) * 4"""
 )
 def similar_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions whose bodies share 5/7 of their tokens, as these short ones share less than 0.8 unless they are equal."""
-    got = similar.similar_functions(parsed(spark, sf_dir), 5, 7)
+    """Functions whose bodies share 0.8 of their tokens: scripts' with the same number in them, and such that two
+    languages write almost alike."""
+    got = similar.similar_functions(parsed(spark, sf_dir))
     return got.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("first", "second") for c in ("file", "name")], "score")
 
 
