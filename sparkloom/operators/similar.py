@@ -75,7 +75,7 @@ def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den:
 
     Null and repeated tokens do not count; rows without tokens (or with a null id) are similar to
     nothing and in no class. Rows of equal sets are one class, named by its least id, so copies are
-    never paired; sets of different tokens are paired however many there are of them.
+    never paired; an id of several rows may name several classes; sets of different tokens are paired however many there are of them.
     """
     distinct = F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())))
     base = rows.select(id.alias("id"), distinct.alias("tokens")).filter((F.size("tokens") > 0) & F.col("id").isNotNull())

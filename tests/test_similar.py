@@ -14,10 +14,9 @@ def all_pairs(rows, num, den):
         s = frozenset(t for t in tokens or [] if t is not None)
         if s and i is not None:
             sets.setdefault(s, []).append(i)
-    classes = {min(ids): s for s, ids in sets.items()}
+    classes = sorted(((min(ids), s) for s, ids in sets.items()), key=lambda c: c[0])  # an id of two rows may name two classes
     members = sorted({(i, min(ids)) for ids in sets.values() for i in ids})
-    names = sorted(classes)
-    pairs = [(a, b, len(classes[a] & classes[b])) for k, a in enumerate(names) for b in names[k + 1 :] if len(classes[a] & classes[b]) * den >= len(classes[a] | classes[b]) * num]
+    pairs = [(a, b, len(s & t)) for k, (a, s) in enumerate(classes) for b, t in classes[k + 1 :] if len(s & t) * den >= len(s | t) * num]
     return sorted(pairs), members
 
 
