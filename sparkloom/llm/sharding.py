@@ -18,11 +18,12 @@ from .common import new_folder, stored, text_key, texts_of
 SLOTS = 4096
 MAP_SCHEMA = "virtual_slot int, shard int, slot_rows long, slot_bytes long"
 ROW_OVERHEAD = 16
+#: How much heavier than the mean a shard of a stored map may get before slots move.
+DRIFT = 0.05
 
 
 def assign(slot_bytes: dict[int, int], n_shards: int) -> dict[int, int]:
-    """Largest slots first, each to the lightest shard; then single moves and swaps while they
-    narrow the gap between the heaviest and the lightest shard."""
+    """Largest slots first, each to the lightest shard; then moves and swaps that narrow the gap."""
     load = [(0, s) for s in range(n_shards)]
     heapq.heapify(load)
     to: dict[int, int] = {}
@@ -30,15 +31,29 @@ def assign(slot_bytes: dict[int, int], n_shards: int) -> dict[int, int]:
         b, s = heapq.heappop(load)
         to[slot] = s
         heapq.heappush(load, (b + size, s))
-    held: dict[int, set[int]] = {s: set() for s in range(n_shards)}
+    return narrowed(to, slot_bytes, n_shards)
+
+
+def loads(to: dict[int, int], slot_bytes: dict[int, int], n_shards: int) -> list[int]:
     weight = [0] * n_shards
     for slot, s in to.items():
-        held[s].add(slot)
         weight[s] += slot_bytes[slot]
+    return weight
+
+
+def narrowed(to: dict[int, int], slot_bytes: dict[int, int], n_shards: int, enough: float = 0) -> dict[int, int]:
+    """Single moves and swaps between the heaviest and the lightest shard while they narrow the gap, or
+    until no shard is heavier than `enough`."""
+    held: dict[int, set[int]] = {s: set() for s in range(n_shards)}
+    for slot, s in to.items():
+        held[s].add(slot)
+    weight = loads(to, slot_bytes, n_shards)
     for _ in range(20 * n_shards):
         hi = max(range(n_shards), key=lambda s: (weight[s], -s))
         lo = min(range(n_shards), key=lambda s: (weight[s], s))
         gap = weight[hi] - weight[lo]
+        if weight[hi] <= enough:
+            break
         best, pick = gap, None
         theirs = sorted((slot_bytes[x], x) for x in held[lo]) + [(0, -1)]
         for a in held[hi]:
@@ -120,10 +135,11 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version or latest_version(spark, path)}")
 
 
-def slot_map(spark: SparkSession, rows: DataFrame, n_shards: int, path: str, n_slots: int = SLOTS) -> int:
+def slot_map(spark: SparkSession, rows: DataFrame, n_shards: int, path: str, n_slots: int = SLOTS, drift: float = DRIFT) -> int:
     """Brings the map stored at path to n_shards and returns its version. Without a map the slots
-    are assigned anew; a map of fewer shards is edited, and slots move into new shards alone; a map
-    of as many stays, whatever the rows weigh now, so that records keep their shard.
+    are assigned anew; a map of fewer shards is edited, and slots move into new shards alone. A map
+    of as many stays, so that records keep their shard, until one outweighs the mean by more than
+    `drift`: then slots move between shards, as few as bring all within half of that where slots allow.
 
     The aggregate has n_slots rows at most; its size is a parameter and not the corpus's.
     """
@@ -133,19 +149,27 @@ def slot_map(spark: SparkSession, rows: DataFrame, n_shards: int, path: str, n_s
         raise ValueError(f"the map at {path} has {len(old)} slots, not {n_slots}")
     if last and max(old.values()) + 1 > n_shards:
         raise ValueError(f"the map at {path} has {max(old.values()) + 1} shards, more than {n_shards}")
-    if last and max(old.values()) + 1 == n_shards:
-        return last
     sums = {r["virtual_slot"]: (r["n"], r["b"]) for r in rows.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     weights = {s: sums.get(s, (0, 0))[1] for s in range(n_slots)}
-    write_map(spark, path, last + 1, rebalance(old, weights, n_shards) if last else assign(weights, n_shards), sums)
+    if not last:
+        now = assign(weights, n_shards)
+    elif max(old.values()) + 1 < n_shards:
+        now = rebalance(old, weights, n_shards)
+    else:
+        mean, heaviest = sum(weights.values()) / n_shards, max(loads(old, weights, n_shards))
+        now = old if heaviest <= (1 + drift) * mean else narrowed(old, weights, n_shards, (1 + drift / 2) * mean)
+        if now == old:
+            return last
+    write_map(spark, path, last + 1, now, sums)
     return last + 1
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path: str | None = None, drift: float = DRIFT) -> DataFrame:
     """Puts every document into one of n_shards shards of near equal bytes (law `bytes`).
 
     The slot-to-shard map is kept at `map_path` (a new folder unless stated): a later call there
-    keeps every record in its shard, and with more shards edits the map as its next version.
+    keeps every record in its shard while weights have drifted by `drift` at most, and with more
+    drift or more shards edits the map as its next version.
 
     Returns doc_id, size (UTF-8 bytes and 16), text_crc32, law, shard, slot (the row's place in
     its shard, gapless from 0), grown_shard (null under this law), virtual_slot, map_version. A
@@ -157,7 +181,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, m
     spark = docs.sparkSession
     rows = stored(digests(docs, n_slots), "shard-rows")
     path = map_path or new_folder(spark, "slot-map")
-    version = slot_map(spark, rows, n_shards, path, n_slots)
+    version = slot_map(spark, rows, n_shards, path, n_slots, drift)
     held = rows.groupBy("virtual_slot").agg(F.count("*").alias("held"))  # n_slots rows at most
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     base = F.coalesce(F.sum(F.coalesce("held", F.lit(0))).over(before), F.lit(0))

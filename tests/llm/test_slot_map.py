@@ -76,3 +76,30 @@ def test_a_version_that_was_not_finished_does_not_count(spark, docs, tmp_path):
     sharding.shard_documents(docs, 5, 64, path)
     (tmp_path / "map" / "version=2").mkdir()
     assert sharding.latest_version(spark, path) == 1
+
+
+def test_slots_move_when_weights_drift(spark, tmp_path):
+    """Rows that weigh more in half of the shards: the next version evens them out, and moves what it has to."""
+    path = f"file://{tmp_path}/map"
+
+    def dealt(rows):
+        got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 256, path).collect()
+        weight = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
+        return {r["doc_id"]: (r["shard"], r["map_version"]) for r in got}, max(weight) / (sum(weight) / 4)
+
+    rows = [(i, "x" * 100) for i in range(2000)]
+    first, even = dealt(rows)
+    assert even < 1.01 and {v for _, v in first.values()} == {1}
+    assert dealt(rows) == (first, even) and dealt(rows[:1990])[0] == {i: x for i, x in first.items() if i < 1990}
+    heavy = rows + [(10_000 + i, "z" * 20_000) for i in range(60)]
+    second, even = dealt(heavy)
+    assert even <= 1.05 and {v for _, v in second.values()} == {2}
+    now, before = ({r["virtual_slot"]: r["shard"] for r in sharding.read_map(spark, path, v).collect()} for v in (2, 1))
+    moved = sum(now[x] != before[x] for x in now)
+    assert 0 < moved < 128  # of 256 slots
+    assert dealt(heavy) == (second, even)
+    one = [*rows, (7, "w" * 5_000_000)]  # a row that no move can make light
+    dealt(one)
+    version = sharding.latest_version(spark, path)
+    dealt(one)
+    assert sharding.latest_version(spark, path) <= version + 1
