@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Adds the place (from 1) of each row in its group, as row_number would. Rows are dealt by ranges of
     (group, order), so a large group is spread over many tasks; rows are counted by range and group,
     and only these counts are summed up group by group. Rows alike in `order` get any order."""
-    ranged = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before)
     counts = counts.select(F.col("_range").alias("_r"), "_before", *[F.col(g).alias(f"_g_{g}") for g in group])

@@ -1,8 +1,9 @@
 """Similar but not identical bodies: an exact join of token sets by their Jaccard similarity.
 
 Equal sets are one class before anything is compared. Tokens are numbered from the rarest up; two sets
-that are similar enough share one of their rarest few, so only these prefixes are indexed. Lengths and
-the places of shared tokens rule out most pairs, and what is left is verified on whole sets.
+that are similar enough share one of their rarest few, so only these prefixes are indexed, a shorter one
+of the smaller set. Lengths and the place of the first shared token rule out most pairs where they meet,
+so that few are moved. Short sets are verified there and then, others as whole sets afterwards.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_body
-from ..session import cut_lineage
+from ..session import stored
 from .ranking import ranked
 
 #: Identifiers, numbers and single marks of source text (fixed value).
 TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9]"
 
 
+#: Sets of up to so many tokens are indexed whole; index rows of a token beyond which they are dealt to blocks;
+#: tokens before a shared one that tell whether it is the first.
+SHORT, CROWD, BEFORE = 32, 2000, 4
+
+
 def body_tokens(body: Column) -> Column:
     """The distinct tokens of a body without its comments."""
     return F.array_distinct(F.regexp_extract_all(normal_body(body), F.lit(TOKEN), 0))
@@ -27,47 +33,86 @@ def body_tokens(body: Column) -> Column:
 
 @dataclass
 class Similar:
-    """pairs (first_id, second_id, shared, score) between classes, and members (id, class_id)."""
+    """pairs (first_id, second_id, shared, score) between classes, and members (id, class_id); both are made
+    of links (a, b, na, nb, shared) between numbers of classes, named (digest, number, class_id) and rows (id, digest)."""
+
+    links: DataFrame
+    named: DataFrame
+    rows: DataFrame
 
-    pairs: DataFrame
-    members: DataFrame
+    @property
+    def pairs(self) -> DataFrame:
+        a, b = (self.named.select(F.col("number").alias(k), F.col("class_id").alias(f"{k}_id")) for k in ("a", "b"))
+        score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+        told = self.links.join(a, "a").join(b, "b")
+        return told.select(F.least("a_id", "b_id").alias("first_id"), F.greatest("a_id", "b_id").alias("second_id"), F.col("shared").cast("long").alias("shared"), score.alias("score"))
+
+    @property
+    def members(self) -> DataFrame:
+        return self.rows.join(self.named, "digest").select("id", "class_id")
 
     def counted(self) -> DataFrame:
-        """(id, class_id, links): each member's class, and how many other classes are similar to it."""
-        ends = self.pairs.select(F.col("first_id").alias("class_id")).union(self.pairs.select("second_id"))
-        return self.members.join(ends.groupBy("class_id").agg(F.count("*").alias("links")), "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        """(id, class_id, links): each member's class, and how many other classes are similar to it. Links
+        of classes of one name add up; the classes of an id follow each other in order."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("links"))
+        by_class = self.named.join(ends, "number").groupBy("class_id").agg(F.sum("links").alias("links"))
+        told = self.members.join(by_class, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+        return told.repartition("id").sortWithinPartitions("id", "class_id")
 
 
-def numbered(sets: DataFrame) -> DataFrame:
-    """(class_id, tokens, n) of (class_id, tokens): strings give way to whole numbers, ascending from the
+def numbered(rows: DataFrame) -> DataFrame:
+    """(row, tokens, n) of (row, tokens): strings give way to whole numbers, ascending from the
     rarest token to the commonest."""
-    each = sets.select("class_id", F.explode("tokens").alias("token"))
-    order = ranked(each.groupBy("token").agg(F.count("*").alias("n")), [], ["n", "token"], "number").select("token", "number")
-    return each.join(order, "token").groupBy("class_id").agg(F.sort_array(F.collect_list("number")).alias("tokens")).withColumn("n", F.size("tokens"))
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    order = ranked(each.groupBy("token").agg(F.count("*").alias("n")), [], ["n", "token"], "number").select("token", F.col("number").cast("int").alias("number"))
+    return each.join(order, "token").groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("tokens")).withColumn("n", F.size("tokens"))
 
 
-def candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs, the smaller set first, that prefixes, lengths and places do not rule out.
+def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int, carried: str) -> DataFrame:
+    """Pairs of index rows (class_id, n, at, token and what is `carried`, each _x or _y), x of the smaller
+    sets and y of the greater, whose lengths and place of a first shared token do not rule them out.
 
-    Of n tokens, similar sets miss at most n - ceil(n * num / den), so one of the first
-    n - ceil(n * num / den) + 1 is shared. A shared token at places i and j leaves min(n - i, m - j) after
-    it to share, and min(i, j) - 1 before it; where the tokens just before it differ, the greater of
-    the two is not in the other set. What similarity asks for is `need`.
+    Similar sets of n <= m tokens share `need` = (n + m) * num / (num + den) or more. Before the first
+    that they share, x leaves out at - 1 and may leave out n - need, and y likewise; need is 2 * n *
+    num / (num + den) at least for x and m * num / den for y (as n is m * num / den at least). So of x
+    and y only tokens up to these places are indexed, and of a pair, only up to its own need counts.
     """
-    prefix = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
-    index = sets.select("class_id", "n", "tokens", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
-    index = index.select("class_id", "n", "at", "token", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).otherwise(0).alias("past"))
+    n = F.col("n")
+    before = F.slice("tokens", F.greatest(F.col("at") - BEFORE, F.lit(1)), F.least(F.col("at") - 1, F.lit(BEFORE)))
+
+    def index(which: Column, least: Column) -> DataFrame:
+        prefix = F.slice("tokens", F.lit(1), (n - F.ceil(least) + 1).cast("int"))
+        rows = sets.filter(which).select("class_id", "n", "tokens", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
+        return rows.withColumn("past", before).select("class_id", "n", "at", "token", carried)
+
+    x, y = index(smaller, 2 * n * num / (num + den)), index(greater, n * num / den)
+    # of a token that many of the greater sets hold, these are dealt to blocks, and each block gets all smaller ones
+    hot = F.broadcast(y.groupBy("token").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    x = x.join(hot, "token", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    y = y.join(hot, "token", "left").withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).drop("blocks")
     # a small index may make many pairs, so it is dealt out as it is: adaptive execution would put it together
-    index = index.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    x, y = (index.select(*[F.col(c).alias(f"{c}_{k}" if c != "token" else c) for c in index.columns]) for k in ("x", "y"))
-    both = x.join(y, "token").filter((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("class_id_x") < F.col("class_id_y"))))
-    need = (F.col("n_x") + F.col("n_y")) * num
-    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    before = F.least(F.col("at_x") - (F.col("past_x") > F.col("past_y")).cast("int"), F.col("at_y") - (F.col("past_y") > F.col("past_x")).cast("int"))
-    both = both.filter((F.col("n_x") * den >= F.col("n_y") * num) & ((before + rest) * (num + den) >= need))
-    pairs = both.groupBy("class_id_x", "class_id_y", "n_x", "n_y").agg(F.count("*").alias("met"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
-    # all that is shared up to the last shared place is in both prefixes, and counted
-    return pairs.filter((F.col("met") + rest) * (num + den) >= need).select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = (i.repartition(parts, "token", "block").select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("class_id", "n", "at", carried)]) for k, i in (("x", x), ("y", y)))
+    both = x.join(y, ["token", "block"])
+    both = both.filter((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("class_id_x") < F.col("class_id_y"))))
+    most = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    return both.filter((F.col("n_x") * den >= F.col("n_y") * num) & (most * (num + den) >= (F.col("n_x") + F.col("n_y")) * num))
+
+
+def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb, shared): similar sets of (class_id, tokens, n), the smaller first."""
+    n, enough = F.col("n"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
+    short = _meet(sets, n <= SHORT, n <= SHORT, num, den, "tokens")
+    both = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
+    short = short.filter((F.element_at(both, 1) == F.col("token")) & enough(F.size(both), "n_x", "n_y"))
+    short = short.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), F.size(both).alias("shared"))
+    # a token just before on both sides was met itself, so this is not the first
+    long = _meet(sets, n * den >= (SHORT + 1) * num, n > SHORT, num, den, "past").filter(~F.arrays_overlap("past_x", "past_y"))
+    pairs = long.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b")).distinct()
+    a, b = (sets.select(F.col("class_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+    whole = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
+    return short.union(whole.filter(enough(F.col("shared"), "na", "nb")))
 
 
 def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den: int = 5) -> Similar:
@@ -80,22 +125,13 @@ def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den:
     distinct = F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())))
     base = rows.select(id.alias("id"), distinct.alias("tokens")).filter((F.size("tokens") > 0) & F.col("id").isNotNull())
     text = F.array_join(F.transform("tokens", lambda t: F.concat(F.char_length(t).cast("string"), F.lit(":"), t)), "")
-    base = cut_lineage(base.withColumn("digest", F.sha2(text, 256)))
-    classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("tokens").alias("tokens"))
-    # classes are told apart by whole numbers until the end, as ids may be wide
-    named = cut_lineage(ranked(classes.select("class_id", "tokens"), [], ["class_id"], "number"))
-    sets = cut_lineage(numbered(named.select(F.col("number").alias("class_id"), "tokens")))
-    pairs = candidates(sets, num, den)
-    a, b = (sets.select(F.col("class_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    whole = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", shared.alias("shared"))
-    kept = whole.filter(F.col("shared") * (num + den) >= (F.col("na") + F.col("nb")) * num)
-    names = named.select("number", "class_id")
-    first, second = (names.select(F.col("number").alias(k), F.col("class_id").alias(f"{k}_id")) for k in ("first", "second"))  # numbers ascend with ids
-    ends = kept.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), F.col("shared").cast("long").alias("shared"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("score"))
-    told = ends.join(first, "first").join(second, "second").select("first_id", "second_id", "shared", "score")
-    members = base.join(base.groupBy("digest").agg(F.min("id").alias("class_id")), "digest").select("id", "class_id")
-    return Similar(told, members)
+    # classes are told apart by the number of their first row until the end, as ids may be wide
+    base = stored(base.select("id", F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("row"), "tokens"), "sets")
+    heads = base.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("h"))
+    named = stored(heads.select("digest", F.col("h.row").alias("number"), F.col("h.id").alias("class_id")), "classes")
+    sets = numbered(base.select("row", "tokens")).join(named.select(F.col("number").alias("row")), "row", "left_semi")
+    sets = stored(sets.withColumnRenamed("row", "class_id"), "numbered")
+    return Similar(linked(sets, num, den), named, base.select("id", "digest"))
 
 
 def similar_functions(parsed: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

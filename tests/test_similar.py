@@ -57,3 +57,28 @@ def test_functions_of_a_tree(spark, tree):
     got = s.similar().collect()
     s.release()
     assert [(r["first"]["file"], r["first"]["line"], r["second"]["name"]) for r in got] == [("a.py", 1, "two")] and 0.8 <= got[0]["score"] < 1
+
+
+def test_sets_that_differ_in_two_rare_tokens_meet_few_others(spark):
+    """Sets of ten, eight of them common to all: only what shares one of the two rare ones is looked at."""
+    marks = list("abcdefgh")
+    rows = [(i, [*marks, f"own{i // 3}", f"size{i % 50}"]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "class_id long, words array<string>")
+    got = similar.similar_sets(frame, F.col("class_id"), F.col("words"))
+    assert got.links.count() == 50 * 60 * 59 // 2 + 3000
+    sets = similar.numbered(frame.select(F.col("class_id").alias("row"), F.col("words").alias("tokens"))).withColumnRenamed("row", "class_id")
+    assert similar._meet(sets, F.lit(True), F.lit(True), 4, 5, "tokens").count() < 100_000  # of 4.5 million pairs
+
+
+def test_long_sets_and_crowds(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", 5)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(40):
+        own = set(r.sample(words, r.randrange(25, 90)))
+        rows += [(100 * i + j, sorted(own ^ set(r.sample(words, r.randrange(9))))) for j in range(6)]
+    got = similar.similar_sets(spark.createDataFrame(rows, "i long, t array<string>"), F.col("i"), F.col("t"))
+    pairs, members = all_pairs(rows, 4, 5)
+    assert len(pairs) > 300 and sorted((x["first_id"], x["second_id"], x["shared"]) for x in got.pairs.collect()) == pairs
+    assert sorted(tuple(x) for x in got.members.collect()) == members
