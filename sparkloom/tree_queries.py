@@ -252,7 +252,7 @@ def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE}, {_FUNCTIONS}, {_DEAD} SELECT name AS symbol, file, a::INTEGER AS line, 'no_callers' AS reason FROM dead")
 def dead_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dead(parsed(spark, sf_dir))
+    return _dead(stored(parsed(spark, sf_dir), "parsed"))
 
 
 @query(f"WITH {_BASE}, {_FUNCTIONS}, h AS (SELECT *, sha256(body) AS hash FROM fn) SELECT h.hash, g.n, file, name, a::INTEGER AS line, (b - a + 1)::INTEGER AS line_count FROM h JOIN (SELECT hash, count(*) AS n FROM h GROUP BY hash HAVING count(*) >= 2) g ON h.hash = g.hash")

@@ -145,3 +145,24 @@ def test_a_long_ring_is_reported_and_costs_health(spark, tree):
     assert {r["file"] for r in s.cycle_files().collect()} == set(files)
     assert s.health().first()["circular_count"] == 5
     s.release()
+
+
+def test_parsed_files_leave_a_worker_bit_by_bit(spark):
+    import pandas as pd
+
+    from sparkloom.sources import parsers
+
+    body = b"def f(x):\n    return g(x) + 1\n" * 4000
+    files = pd.DataFrame({"file": [f"{i}.py" for i in range(60)], "language": "python", "content": [body] * 60, "error": None})
+    got = [(len(b), b["text"].str.len().sum()) for b in parsers.parsed_batches(iter([files]), parsers.parsers_now())]
+    assert sum(n for n, _ in got) == 60 and max(size for _, size in got) < parsers.TOGETHER + len(body)
+
+
+def test_files_of_one_partition_are_parsed_by_all_cores(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.sources import parsers
+
+    files = spark.range(400, numPartitions=1).select(F.concat("id", F.lit(".py")).alias("file"), F.lit("python").alias("language"), F.lit(b"def f(): pass\n").alias("content"), F.lit(None).cast("string").alias("error"))
+    got = parsers.parse_files(files).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got >= spark.sparkContext.defaultParallelism
