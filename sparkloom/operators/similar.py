@@ -104,15 +104,17 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, na, nb, shared): similar sets of (class_id, tokens, n), the smaller first."""
     n, enough = F.col("n"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
     short = _meet(sets, n <= SHORT, n <= SHORT, num, den, "tokens")
-    both = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
-    short = short.filter((F.element_at(both, 1) == F.col("token")) & enough(F.size(both), "n_x", "n_y"))
-    short = short.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), F.size(both).alias("shared"))
+    shared = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
+    # a filter and the columns after it would each intersect again, so a list of one is filtered and taken apart
+    both = F.explode(F.filter(F.array(shared), lambda b: (F.element_at(b, 1) == F.col("token")) & enough(F.size(b), "n_x", "n_y")))
+    short = short.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), both.alias("both"))
+    short = short.select("a", "b", "na", "nb", F.size("both").alias("shared"))
     # a token just before on both sides was met itself, so this is not the first
     long = _meet(sets, n * den >= (SHORT + 1) * num, n > SHORT, num, den, "past").filter(~F.arrays_overlap("past_x", "past_y"))
     pairs = long.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b")).distinct()
     a, b = (sets.select(F.col("class_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
-    whole = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    return short.union(whole.filter(enough(F.col("shared"), "na", "nb")))
+    shared = F.explode(F.filter(F.array(F.size(F.array_intersect("ta", "tb"))), lambda k: enough(k, "na", "nb")))
+    return short.union(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", shared.alias("shared")))
 
 
 def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den: int = 5) -> Similar:

@@ -82,3 +82,10 @@ def test_long_sets_and_crowds(spark, monkeypatch):
     pairs, members = all_pairs(rows, 4, 5)
     assert len(pairs) > 300 and sorted((x["first_id"], x["second_id"], x["shared"]) for x in got.pairs.collect()) == pairs
     assert sorted(tuple(x) for x in got.members.collect()) == members
+
+
+def test_sets_of_a_pair_are_intersected_once(spark):
+    """Once where short sets meet and once for whole ones: not again for each filter and column."""
+    sets = spark.createDataFrame([(1, [1, 2], 2)], "class_id long, tokens array<int>, n int")
+    plan = similar.linked(sets, 4, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 2
