@@ -3,7 +3,8 @@
 Equal sets are one class before anything is compared. Tokens are numbered from the rarest up; two sets
 that are similar enough share one of their rarest few, so only these prefixes are indexed, a shorter one
 of the smaller set. Lengths and the place of the first shared token rule out most pairs where they meet,
-so that few are moved. Short sets are verified there and then, others as whole sets afterwards.
+so that few are moved, and so do sketches where a token is common. Short sets are verified there and then,
+others as whole sets afterwards: a set is sent to a block of pairs, not to each of its pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9]"
 #: Sets of up to so many tokens are indexed whole; index rows of a token beyond which they are dealt to blocks;
 #: tokens before a shared one that tell whether it is the first.
 SHORT, CROWD, BEFORE = 32, 2000, 4
+#: Words of a sketch; rows of a token beyond which it is sent along; sets of a family that are one bin.
+WORDS, COMMON, BIN = 8, 32, 64
 
 
 def body_tokens(body: Column) -> Column:
@@ -61,14 +64,21 @@ class Similar:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(row, tokens, n) of (row, tokens): strings give way to whole numbers, ascending from the
-    rarest token to the commonest."""
+    """(row, tokens, n, sketch, once, rare) of (row, tokens): strings give way to whole numbers, ascending
+    from the rarest token to the commonest; those up to `once` are in one row, those up to `rare` in
+    COMMON at most. A sketch has the parity of how many tokens fall on each of its bits, so two sets
+    differ in as many tokens as their sketches in bits, or more."""
     each = rows.select("row", F.explode("tokens").alias("token"))
-    order = ranked(each.groupBy("token").agg(F.count("*").alias("n")), [], ["n", "token"], "number").select("token", F.col("number").cast("int").alias("number"))
-    return each.join(order, "token").groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("tokens")).withColumn("n", F.size("tokens"))
+    order = ranked(each.groupBy("token").agg(F.count("*").alias("n")), [], ["n", "token"], "number")
+    order = stored(order.select("token", F.col("number").cast("int").alias("number"), F.col("n").alias("f")), "order")
+    once, rare = order.agg(F.count_if(F.col("f") == 1), F.count_if(F.col("f") <= COMMON)).first()
+    bit = F.pmod(F.xxhash64("number"), F.lit(64 * WORDS))
+    words = [F.bit_xor(F.when(F.floor(bit / 64) == w, F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(number), {64 * WORDS}) % 64 AS INT))")).otherwise(F.lit(0))) for w in range(WORDS)]
+    sets = each.join(order.drop("f"), "token").groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("tokens"), F.array(*words).alias("sketch"))
+    return sets.select("row", "tokens", F.size("tokens").alias("n"), "sketch", F.lit(once).alias("once"), F.lit(rare).alias("rare"))
 
 
-def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int, carried: str) -> DataFrame:
+def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int, *carried: str) -> DataFrame:
     """Pairs of index rows (class_id, n, at, token and what is `carried`, each _x or _y), x of the smaller
     sets and y of the greater, whose lengths and place of a first shared token do not rule them out.
 
@@ -82,8 +92,9 @@ def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int,
 
     def index(which: Column, least: Column) -> DataFrame:
         prefix = F.slice("tokens", F.lit(1), (n - F.ceil(least) + 1).cast("int"))
-        rows = sets.filter(which).select("class_id", "n", "tokens", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
-        return rows.withColumn("past", before).select("class_id", "n", "at", "token", carried)
+        rows = sets.filter(which).select("class_id", "n", "tokens", "sketch", "once", "rare", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
+        rows = rows.filter(F.col("token") > F.col("once")).withColumn("sketch", F.when(F.col("token") > F.col("rare"), F.col("sketch")))
+        return rows.withColumn("past", before).select("class_id", "n", "at", "token", *carried)
 
     x, y = index(smaller, 2 * n * num / (num + den)), index(greater, n * num / den)
     # of a token that many of the greater sets hold, these are dealt to blocks, and each block gets all smaller ones
@@ -93,13 +104,20 @@ def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int,
     y = y.join(hot, "token", "left").withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).drop("blocks")
     # a small index may make many pairs, so it is dealt out as it is: adaptive execution would put it together
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x, y = (i.repartition(parts, "token", "block").select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("class_id", "n", "at", carried)]) for k, i in (("x", x), ("y", y)))
+    x, y = (i.repartition(parts, "token", "block").select("token", "block", *[F.col(c).alias(f"{c}_{k}") for c in ("class_id", "n", "at", *carried)]) for k, i in (("x", x), ("y", y)))
     both = x.join(y, ["token", "block"])
     both = both.filter((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("class_id_x") < F.col("class_id_y"))))
     most = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     return both.filter((F.col("n_x") * den >= F.col("n_y") * num) & (most * (num + den) >= (F.col("n_x") + F.col("n_y")) * num))
 
 
+def _near(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sketches leave it open that sets are similar, as these differ in at most (n + m) * (den - num)
+    / (num + den) tokens."""
+    bits = sum((F.bit_count(F.col(f"sketch_{x}")[w].bitwiseXOR(F.col(f"sketch_{y}")[w])) for w in range(WORDS)), F.lit(0))
+    return bits * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
+
+
 def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, na, nb, shared): similar sets of (class_id, tokens, n), the smaller first."""
     n, enough = F.col("n"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
@@ -110,11 +128,34 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     short = short.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), both.alias("both"))
     short = short.select("a", "b", "na", "nb", F.size("both").alias("shared"))
     # a token just before on both sides was met itself, so this is not the first
-    long = _meet(sets, n * den >= (SHORT + 1) * num, n > SHORT, num, den, "past").filter(~F.arrays_overlap("past_x", "past_y"))
+    long = _meet(sets, n * den >= (SHORT + 1) * num, n > SHORT, num, den, "past", "sketch")
+    long = long.filter(F.col("sketch_x").isNull() | _near("x", "y", num, den)).filter(~F.arrays_overlap("past_x", "past_y"))
     pairs = long.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b")).distinct()
-    a, b = (sets.select(F.col("class_id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
-    shared = F.explode(F.filter(F.array(F.size(F.array_intersect("ta", "tb"))), lambda k: enough(k, "na", "nb")))
-    return short.union(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", shared.alias("shared")))
+    a, b = (sets.select(F.col("class_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
+    pairs = pairs.join(a, "a").join(b, "b").filter(_near("a", "b", num, den)).select("a", "b")  # those that met at a rare token
+    return short.union(_whole(pairs, sets).filter(enough(F.col("shared"), "na", "nb")))
+
+
+def _whole(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared) of pairs (a, b), by whole sets. Near copies of one text are near each other, so
+    pairs are put together by the least partner of each end, in bins of some BIN sets, and what two bins
+    have to do with each other is one group: a set goes to its groups, however many pairs it has there."""
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    families = stored(ends.groupBy("id").agg(F.min(F.least("a", "b")).alias("family")), "families")
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BIN).alias("bins"))
+    bins = families.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), "bins")).alias("bin"))
+    of = {k: bins.select(F.col("id").alias(k), F.col("bin").alias(f"bin_{k}")) for k in ("a", "b")}
+    groups = stored(pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", F.xxhash64("bin_a", "bin_b").alias("group")), "groups")
+    needed = groups.select("group", F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    held = needed.join(sets.select("class_id", "tokens"), "class_id").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("held"))
+    told = groups.groupBy("group").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(held, "group")
+
+    def shared(p: Column) -> Column:
+        a, b = F.element_at("held", p["a"]), F.element_at("held", p["b"])
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(a).alias("na"), F.size(b).alias("nb"), F.size(F.array_intersect(a, b)).alias("shared"))
+
+    return told.select(F.inline(F.transform("pairs", shared)))
 
 
 def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den: int = 5) -> Similar:

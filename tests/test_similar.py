@@ -86,6 +86,22 @@ def test_long_sets_and_crowds(spark, monkeypatch):
 
 def test_sets_of_a_pair_are_intersected_once(spark):
     """Once where short sets meet and once for whole ones: not again for each filter and column."""
-    sets = spark.createDataFrame([(1, [1, 2], 2)], "class_id long, tokens array<int>, n int")
+    sets = similar.numbered(spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "row long, tokens array<string>")).withColumnRenamed("row", "class_id")
     plan = similar.linked(sets, 4, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect") == 2
+
+
+def test_long_sets_that_share_a_passage_alone_are_no_pairs(spark, monkeypatch):
+    """Two hundred long texts have one rare passage in common: sketches tell them apart where they meet, near
+    copies are found, and each set goes to a few groups, not to its pairs."""
+    monkeypatch.setattr(similar, "BIN", 4)
+    r = random.Random(3)
+    common = [f"w{i}" for i in range(2000)]
+    rows = [(i, [f"passage{k}" for k in range(40)] + r.sample(common, 300)) for i in range(200)]
+    near = [(1000 + i, [*rows[7][1][:-1], f"own{i}"]) for i in range(30)] + [(2000 + i, r.sample(common, 300)) for i in range(300)]
+    looked = []
+    monkeypatch.setattr(similar, "_whole", lambda pairs, sets, whole=similar._whole: (looked.append(pairs.count()), whole(pairs, sets))[1])
+    got = similar.similar_sets(spark.createDataFrame(rows + near, "id long, words array<string>"), F.col("id"), F.col("words")).pairs.collect()
+    want = {(a, b) for ids in [[7, *range(1000, 1030)]] for a in ids for b in ids if a < b}
+    assert {(x["first_id"], x["second_id"]) for x in got} == want and {x["shared"] for x in got} == {339}
+    assert looked[0] < 1000  # of 26,000 pairs that share the passage
