@@ -62,6 +62,13 @@ def lifted(x: np.ndarray, radius: float, even: bool, query: bool) -> np.ndarray:
     return out
 
 
+def narrowed(x: np.ndarray) -> np.ndarray:
+    """Half the bytes where single precision holds the same numbers."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float32)
+    return half if (half == x).all() else x
+
+
 def _shard(radius: float, even: bool, tables: int) -> Callable:
     """The index of a shard: in each table, which rows are filed under each signed axis."""
 
@@ -70,35 +77,43 @@ def _shard(radius: float, even: bool, tables: int) -> Callable:
         for t in range(tables):
             y = rotated(unit, t)
             axis = np.abs(y).argmax(1)
-            codes.append((2 * axis + (y[np.arange(len(y)), axis] < 0)).astype(np.int16 if y.shape[1] < 1 << 14 else np.int32))
-        return {"ids": ids, "x": x, "codes": codes}
+            codes.append((2 * axis + (y[np.arange(len(y)), axis] < 0)).astype(np.min_scalar_type(2 * y.shape[1] - 1)))
+        return {"ids": ids, "x": narrowed(x), "codes": codes}
 
     return build
 
 
 def _block(even: bool, tables: int, probed: float) -> Callable:
-    """The weights with which each query probes the axes of each table; 0 for those it does not."""
+    """Queries, and what their weights follow from: these are 32 times as large, so they are not sent."""
+    return lambda ids, x: {"ids": ids, "x": narrowed(x), "probes": (even, tables, probed)}
 
-    def build(ids: np.ndarray, x: np.ndarray) -> dict:
-        unit, weights = lifted(x, 1.0, even, True), []
+
+def _weights(block: dict) -> np.ndarray:
+    """The weights with which each query probes the axes of each table; 0 for those it does not. They are
+    made where a block is first used, once for all shards that it meets there."""
+    if "weights" not in block:
+        even, tables, probed = block["probes"]
+        unit, weights = lifted(block["x"].astype(np.float64), 1.0, even, True), None
         for t in range(tables):
             y = rotated(unit, t)
             both = np.stack([y, -y], 2).reshape(len(y), -1)
             n = max(1, int(probed * both.shape[1]))
             least = np.partition(both, both.shape[1] - n, axis=1)[:, [both.shape[1] - n]]
-            weights.append(np.where(both >= least, both, 0))
-        return {"ids": ids, "x": x, "weights": np.stack(weights)}
-
-    return build
+            if weights is None:
+                weights = np.empty((tables, *both.shape), both.dtype)
+            weights[t] = np.where(both >= least, both, 0)
+        block["weights"] = weights
+    return block["weights"]
 
 
 def candidates(block: dict, shard: dict, q: slice, ranked: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs of some of a block's queries that are worth exact products."""
-    weights = block["weights"][:, q]
+    weights = _weights(block)[:, q]
     n = len(shard["ids"])
-    votes = np.zeros((weights.shape[1], n), np.float32)
-    for w, code in zip(weights, shard["codes"]):
-        votes += w[:, code]
+    votes, of_axis = np.zeros((n, weights.shape[1]), np.float32), np.empty((n, weights.shape[1]), np.float32)
+    for w, code in zip(weights, shard["codes"]):  # whole rows are taken: all queries' weights of an axis lie side by side
+        votes += np.take(np.ascontiguousarray(w.T), code, axis=0, out=of_axis, mode="clip")
+    votes = np.ascontiguousarray(votes.T)
     most = max(k, LEAST, int(np.ceil(ranked * n)))
     floor = weights.max(2).sum(0) * NEAR
     if most < n:
@@ -113,7 +128,9 @@ def _exact(block: dict, shard: dict, best: Best, q: np.ndarray, j: np.ndarray) -
     """Candidate pairs by score, each summed in one fixed order, so that equal vectors tie."""
     for at in range(0, len(q), 1 << 16):
         a, b = q[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        score = np.einsum("ij,ij->i", block["x"][a], shard["x"][b])
+        score = np.einsum("ij,ij->i", block["x"][a].astype(np.float64), shard["x"][b].astype(np.float64))
+        good = score >= best.floor[a]
+        a, b, score = a[good], b[good], score[good]
         order = np.lexsort((shard["ids"][b], -score, a))
         a, b, score = a[order], b[order], score[order]
         rows, first, n = np.unique(a, return_index=True, return_counts=True)

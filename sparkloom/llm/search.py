@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, worker_cache
+from .common import bound_batches, stored, worker_cache
 
 SHARD_ROWS, BLOCK_ROWS = 4096, 8192
 #: Shards of a stripe at least, and stripes at most.
 STRIPE, STRIPES = 2, 256
 #: Bounds of shards that are sent to all tasks at a time: 64 components and a radius are some 40 MB.
 SENT = 1 << 16
+#: Parquet looks at a row group's size after 100 rows by default; these rows are some MB each.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", allow_zero: bool = True) -> DataFrame:
@@ -74,7 +76,8 @@ def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray,
         if held:
             yield emit()
 
-    got = stored(rows.mapInArrow(run, "at long, body binary"), name)
+    bound_batches(rows.sparkSession)
+    got = stored(rows.mapInArrow(run, "at long, body binary"), name, options=LARGE_ROWS)
     order = [(r["at"], i) for i, r in enumerate(got.select("at").orderBy("at").collect())]
     numbers = got.sparkSession.createDataFrame(order, "at long, no int")
     return got.join(F.broadcast(numbers), "at").select("no", "body"), len(order)

@@ -1,5 +1,7 @@
 """Searches with their own parameters at several sizes, whole numbers beyond doubles, what is sent."""
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -51,6 +53,16 @@ def test_few_pairs_are_ranked_exactly():
     assert len(q) < 0.1 * 128 * 8192
 
 
+def test_what_is_sent_is_no_larger_than_its_vectors(spark):
+    """Blocks and shards go to many tasks: the queries' weights are made there, and single precision stays single."""
+    x = unit(np.random.default_rng(7), 1024).astype(np.float64)
+    block, shard = ann._block(True, ann.TABLES, ann.PROBED)(np.arange(1024), x), ann._shard(1.0, True, ann.TABLES)(np.arange(1024), x)
+    assert len(pickle.dumps(block)) < x.nbytes and len(pickle.dumps(shard)) < x.nbytes
+    q, row = ann.candidates(block, shard, slice(64, 128), ann.RANKED, 21)
+    assert block["weights"].shape == (ann.TABLES, 1024, 128) and q.min() == 64 and q.max() == 127
+    assert ann.narrowed(np.array([[1 / 3, 1e300]])).dtype == np.float64 and ann.narrowed(np.array([[0.25, 3.0]])).dtype == np.float32
+
+
 def test_near_copies_are_all_ranked():
     r = np.random.default_rng(2)
     x = unit(r, 4000).astype(np.float64)
