@@ -4,7 +4,8 @@ Equal sets are one class before anything is compared. Tokens are numbered from t
 that are similar enough share one of their rarest few, so only these prefixes are indexed, a shorter one
 of the smaller set. Lengths and the place of the first shared token rule out most pairs where they meet,
 so that few are moved, and so do sketches where a token is common. Short sets are verified there and then,
-others as whole sets afterwards: a set is sent to a block of pairs, not to each of its pairs.
+others as whole sets afterwards: a set is sent to a block of pairs, not to each of its pairs. Short sets that
+differ in rare tokens alone are one kind: kinds are compared, and their pairs come of a plain join of blocks.
 """
 
 from __future__ import annotations
@@ -34,20 +35,53 @@ def body_tokens(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(normal_body(body), F.lit(TOKEN), 0))
 
 
+@dataclass
+class Kinds:
+    """Short sets by kind: members (class_id, kind, own, bits) with the rare tokens that are a set's own, and units (x, i, y,
+    j, na, nb, shared): the members of block i of kind x and of block j of kind y that have no rare token in common are
+    similar. Pairs that have one are met at it, and are not in here."""
+
+    members: DataFrame
+    units: DataFrame
+
+    def pairs(self, named: DataFrame | None = None) -> DataFrame:
+        """(a, b, na, nb, shared), with a_id and b_id by `named` (class_id, id)."""
+        members = self.members if named is None else self.members.join(named, "class_id")
+        kept = ["id"] if named is not None else []
+        parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = ["x", "i", "y", "j"]
+
+        def side(end: str, kind: str, block: str, *told: str) -> DataFrame:
+            own = members.select(F.col("kind").alias(kind), F.col("block").alias(block), F.col("class_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("own", "bits", *kept)])
+            return self.units.select(*keys, *told).join(own, [kind, block]).repartition(parts, *keys)
+
+        both = side("a", "x", "i", "na", "nb", "shared").join(side("b", "y", "j").hint("merge"), keys)
+        apart = (F.col("a_bits").bitwiseAND(F.col("b_bits")) == 0) | ~F.arrays_overlap("a_own", "b_own")
+        both = both.filter(((F.col("x") != F.col("y")) | (F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & apart)
+        return both.select("a", "b", "na", "nb", "shared", *[f"{end}_{c}" for end in ("a", "b") for c in kept])
+
+
 @dataclass
 class Similar:
     """pairs (first_id, second_id, shared, score) between classes, and members (id, class_id); both are made
-    of links (a, b, na, nb, shared) between numbers of classes, named (digest, number, class_id) and rows (id, digest)."""
+    of links (a, b, na, nb, shared) between numbers of classes, named (digest, number, class_id) and rows (id, digest).
+    Links are those met one by one and those of whole kinds."""
 
-    links: DataFrame
+    met: DataFrame
+    kinds: Kinds
     named: DataFrame
     rows: DataFrame
 
+    @property
+    def links(self) -> DataFrame:
+        return self.met.union(self.kinds.pairs())
+
     @property
     def pairs(self) -> DataFrame:
         a, b = (self.named.select(F.col("number").alias(k), F.col("class_id").alias(f"{k}_id")) for k in ("a", "b"))
         score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-        told = self.links.join(a, "a").join(b, "b")
+        told = self.met.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "shared", "a_id", "b_id")
+        told = told.union(self.kinds.pairs(self.named.select(F.col("number").alias("class_id"), F.col("class_id").alias("id"))))
         return told.select(F.least("a_id", "b_id").alias("first_id"), F.greatest("a_id", "b_id").alias("second_id"), F.col("shared").cast("long").alias("shared"), score.alias("score"))
 
     @property
@@ -78,22 +112,24 @@ def numbered(rows: DataFrame) -> DataFrame:
     return sets.select("row", "tokens", F.size("tokens").alias("n"), "sketch", F.lit(once).alias("once"), F.lit(rare).alias("rare"))
 
 
-def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int, *carried: str) -> DataFrame:
+def _meet(sets: DataFrame, smaller: Column, greater: Column, num: int, den: int, *carried: str, only: Column | None = None) -> DataFrame:
     """Pairs of index rows (class_id, n, at, token and what is `carried`, each _x or _y), x of the smaller
-    sets and y of the greater, whose lengths and place of a first shared token do not rule them out.
+    sets and y of the greater, whose lengths and place of a first shared token do not rule them out. `only`
+    tells at which tokens they meet; of a set of n, `tokens` may leave out some that come before all others.
 
     Similar sets of n <= m tokens share `need` = (n + m) * num / (num + den) or more. Before the first
     that they share, x leaves out at - 1 and may leave out n - need, and y likewise; need is 2 * n *
     num / (num + den) at least for x and m * num / den for y (as n is m * num / den at least). So of x
     and y only tokens up to these places are indexed, and of a pair, only up to its own need counts.
     """
-    n = F.col("n")
+    n, out = F.col("n"), F.col("n") - F.size("tokens")
     before = F.slice("tokens", F.greatest(F.col("at") - BEFORE, F.lit(1)), F.least(F.col("at") - 1, F.lit(BEFORE)))
 
     def index(which: Column, least: Column) -> DataFrame:
-        prefix = F.slice("tokens", F.lit(1), (n - F.ceil(least) + 1).cast("int"))
-        rows = sets.filter(which).select("class_id", "n", "tokens", "sketch", "once", "rare", F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1)
-        rows = rows.filter(F.col("token") > F.col("once")).withColumn("sketch", F.when(F.col("token") > F.col("rare"), F.col("sketch")))
+        prefix = F.slice("tokens", F.lit(1), F.greatest(n - F.ceil(least) + 1 - out, F.lit(0)).cast("int"))
+        kept = [c for c in carried if c not in ("past", "tokens", "sketch")]
+        rows = sets.filter(which).select("class_id", "n", "tokens", "sketch", "once", "rare", *kept, F.posexplode(prefix).alias("at", "token")).withColumn("at", F.col("at") + 1 + out)
+        rows = rows.filter((F.col("token") > F.col("once")) & (F.lit(True) if only is None else only)).withColumn("sketch", F.when(F.col("token") > F.col("rare"), F.col("sketch")))
         return rows.withColumn("past", before).select("class_id", "n", "at", "token", *carried)
 
     x, y = index(smaller, 2 * n * num / (num + den)), index(greater, n * num / den)
@@ -118,22 +154,57 @@ def _near(x: str, y: str, num: int, den: int) -> Column:
     return bits * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
 
 
+def _verified(met: DataFrame, num: int, den: int, *carried: str) -> DataFrame:
+    """(a, b, na, nb, shared, and what is `carried`) of pairs that met at their first shared token and share enough."""
+    shared = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
+    # a filter and the columns after it would each intersect again, so a list of one is filtered and taken apart
+    enough = lambda b: (F.element_at(b, 1) == F.col("token")) & (F.size(b) * (num + den) >= (F.col("n_x") + F.col("n_y")) * num)
+    rows = met.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), *carried, F.explode(F.filter(F.array(shared), enough)).alias("both"))
+    return rows.select("a", "b", "na", "nb", F.size("both").alias("shared"), *carried)
+
+
+def _kinds(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Kinds]:
+    """Links (a, b, na, nb, shared) of short sets that have no token of COMMON rows or fewer in common: those between
+    kinds of one set each, and all others by kind. A kind is what has the same size and the same commoner tokens, so
+    what two of its sets share, or two of a pair of kinds, is the same for all of them."""
+    own = F.filter("tokens", lambda t: (t > F.col("once")) & (t <= F.col("rare")))
+    parts = sets.filter(F.col("n") <= SHORT).select("class_id", "n", "once", "rare", own.alias("own"), F.filter("tokens", lambda t: t > F.col("rare")).alias("tokens"))
+    parts = parts.filter((F.size("tokens") > 0) & (F.size("tokens") * den >= F.col("n") * num))  # others share too little by these alone
+    kinds = stored(parts.groupBy("n", "once", "rare", "tokens").agg(F.min("class_id").alias("class_id"), F.count("*").alias("m"), F.min("own").alias("own")), "kinds")
+    several = F.col("m") > 1
+    of = kinds.filter(several).select("n", "tokens", F.col("class_id").alias("kind"), "m")
+    members = parts.join(of, ["n", "tokens"]).select("class_id", "kind", "m", "own").union(kinds.filter(~several).select("class_id", "class_id", "m", "own"))
+    bits = F.aggregate("own", F.lit(0).cast("long"), lambda b, t: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)))))
+    blocks = lambda m: F.ceil(F.col(m) / CROWD).cast("int")
+    members = stored(members.select("class_id", "kind", "own", bits.alias("bits"), F.pmod(F.xxhash64("class_id"), blocks("m")).cast("int").alias("block")), "members")
+    met = _meet(kinds.withColumn("sketch", F.lit(None).cast("array<long>")), F.lit(True), F.lit(True), num, den, "tokens", "m", "own")
+    same = kinds.filter(several & (F.size("tokens") * (num + den) >= 2 * F.col("n") * num))
+    same = same.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.size("tokens").alias("shared"), F.col("m").alias("m_x"), F.col("m").alias("m_y"), F.col("own").alias("own_x"), F.col("own").alias("own_y"))
+    both = stored(_verified(met, num, den, "m_x", "m_y", "own_x", "own_y").union(same), "kind-links")
+    single = (F.col("m_x") == 1) & (F.col("m_y") == 1)
+    units = both.filter(~single).select(F.col("a").alias("x"), F.col("b").alias("y"), "na", "nb", "shared", "m_y", F.explode(F.sequence(F.lit(0), blocks("m_x") - 1)).alias("i"))
+    units = units.select("x", "i", "y", F.explode(F.sequence(F.lit(0), blocks("m_y") - 1)).alias("j"), "na", "nb", "shared").filter((F.col("x") != F.col("y")) | (F.col("i") <= F.col("j")))
+    return both.filter(single & ~F.arrays_overlap("own_x", "own_y")).select("a", "b", "na", "nb", "shared"), Kinds(members, units)
+
+
 def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, na, nb, shared): similar sets of (class_id, tokens, n), the smaller first."""
+    met, kinds = _linked(sets, num, den)
+    return met.union(kinds.pairs())
+
+
+def _linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Kinds]:
+    """Links that are met one by one, and those of whole kinds."""
     n, enough = F.col("n"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
-    short = _meet(sets, n <= SHORT, n <= SHORT, num, den, "tokens")
-    shared = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
-    # a filter and the columns after it would each intersect again, so a list of one is filtered and taken apart
-    both = F.explode(F.filter(F.array(shared), lambda b: (F.element_at(b, 1) == F.col("token")) & enough(F.size(b), "n_x", "n_y")))
-    short = short.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), both.alias("both"))
-    short = short.select("a", "b", "na", "nb", F.size("both").alias("shared"))
+    short = _verified(_meet(sets, n <= SHORT, n <= SHORT, num, den, "tokens", only=F.col("token") <= F.col("rare")), num, den)
+    single, kinds = _kinds(sets, num, den)
     # a token just before on both sides was met itself, so this is not the first
     long = _meet(sets, n * den >= (SHORT + 1) * num, n > SHORT, num, den, "past", "sketch")
     long = long.filter(F.col("sketch_x").isNull() | _near("x", "y", num, den)).filter(~F.arrays_overlap("past_x", "past_y"))
     pairs = long.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b")).distinct()
     a, b = (sets.select(F.col("class_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
     pairs = pairs.join(a, "a").join(b, "b").filter(_near("a", "b", num, den)).select("a", "b")  # those that met at a rare token
-    return short.union(_whole(pairs, sets).filter(enough(F.col("shared"), "na", "nb")))
+    return short.union(single).union(_whole(pairs, sets).filter(enough(F.col("shared"), "na", "nb"))), kinds
 
 
 def _whole(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -174,7 +245,7 @@ def similar_sets(rows: DataFrame, id: Column, tokens: Column, num: int = 4, den:
     named = stored(heads.select("digest", F.col("h.row").alias("number"), F.col("h.id").alias("class_id")), "classes")
     sets = numbered(base.select("row", "tokens")).join(named.select(F.col("number").alias("row")), "row", "left_semi")
     sets = stored(sets.withColumnRenamed("row", "class_id"), "numbered")
-    return Similar(linked(sets, num, den), named, base.select("id", "digest"))
+    return Similar(*_linked(sets, num, den), named, base.select("id", "digest"))
 
 
 def similar_functions(parsed: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

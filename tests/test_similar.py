@@ -105,3 +105,33 @@ def test_long_sets_that_share_a_passage_alone_are_no_pairs(spark, monkeypatch):
     want = {(a, b) for ids in [[7, *range(1000, 1030)]] for a in ids for b in ids if a < b}
     assert {(x["first_id"], x["second_id"]) for x in got} == want and {x["shared"] for x in got} == {339}
     assert looked[0] < 1000  # of 26,000 pairs that share the passage
+
+
+def test_sets_that_differ_in_rare_tokens_alone_are_compared_once(spark, monkeypatch):
+    """Of 2,000 sets with nine tokens of ten in common all pairs are links, and none of them is met one by one."""
+    marks, met = list("abcdefghi"), []
+    monkeypatch.setattr(similar, "_meet", lambda *a, meet=similar._meet, **k: met.append(meet(*a, **k)) or met[-1])
+    frame = spark.createDataFrame([(i, [*marks, f"own{i // 2}"]) for i in range(0, 4000, 2)], "id long, words array<string>")
+    got = similar.similar_sets(frame, F.col("id"), F.col("words"))
+    assert got.links.count() == 2000 * 1999 // 2 and sum(m.count() for m in met) == 0
+    pair = got.pairs.filter("first_id = 10 and second_id = 3998").collect()
+    assert [tuple(p) for p in pair] == [(10, 3998, 9, 9 / 11)]
+
+
+@pytest.mark.parametrize(("seed", "num", "den"), [(1, 4, 5), (2, 1, 2), (3, 9, 10)])
+def test_kinds_in_blocks(spark, monkeypatch, seed, num, den):
+    """Kinds of several sets, in blocks, with tokens of their own that two or three sets hold, and others alike."""
+    monkeypatch.setattr(similar, "COMMON", 3)
+    monkeypatch.setattr(similar, "CROWD", 4)
+    r = random.Random(seed)
+    rows = []
+    for k in range(8):
+        base = r.sample([f"w{i}" for i in range(14)], r.randrange(6, 11))
+        rows += [(100 * k + i, [*base, *{f"own{r.randrange(60)}" for _ in range(r.randrange(3))}]) for i in range(25)]
+    rows += [(1000 + i, r.sample([f"w{i}" for i in range(14)], 8)) for i in range(30)]
+    got = similar.similar_sets(spark.createDataFrame(rows, "i long, t array<string>"), F.col("i"), F.col("t"), num, den)
+    pairs, members = all_pairs(rows, num, den)
+    assert got.kinds.units.filter("i > 0 or j > 0").count() > 0
+    assert sorted((x["first_id"], x["second_id"], x["shared"]) for x in got.pairs.collect()) == pairs
+    links = {i: sum(c in (a, b) for a, b, _ in pairs) for i, c in members}
+    assert {x["id"]: x["links"] for x in got.counted().collect()} == links
