@@ -27,7 +27,9 @@ TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|[^\sA-Za-z_0-9]"
 #: tokens before a shared one that tell whether it is the first.
 SHORT, CROWD, BEFORE = 32, 2000, 4
 #: Words of a sketch; rows of a token beyond which it is sent along; sets of a family that are one bin.
-WORDS, COMMON, BIN = 8, 32, 64
+WORDS, COMMON, BIN = 8, 32, 512
+#: Tokens beyond which a sketch of so many bits says little, and words of the one that is then looked at, too.
+LARGE, WIDE = 96 * WORDS, 64
 
 
 def body_tokens(body: Column) -> Column:
@@ -154,6 +156,21 @@ def _near(x: str, y: str, num: int, den: int) -> Column:
     return bits * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
 
 
+def _nearer(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of those pairs (a, b, n_a, n_b) of large sets that sketches of WIDE words leave open. On 512 bits any two
+    sets differ in some 256, which rules out nothing where similar ones may differ in as many tokens."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    large = sets.filter(F.col("n") > LARGE).join(ends, "class_id", "left_semi")
+    each = large.select("class_id", F.explode("tokens").alias("number")).select("class_id", F.pmod(F.xxhash64("number"), F.lit(64 * WIDE)).alias("bit"))
+    each = each.select("class_id", F.floor(F.col("bit") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("bits"))
+    each = each.union(large.select("class_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))), F.lit(0).cast("long")))  # so that none lacks a word
+    words = each.groupBy("class_id", "word").agg(F.bit_xor("bits").alias("bits"))
+    wide = stored(words.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("wide")), "wide")
+    a, b = (wide.select(F.col("class_id").alias(k), F.col("wide").alias(f"wide_{k}")) for k in ("a", "b"))
+    bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    return pairs.join(a, "a").join(b, "b").filter(bits * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+
+
 def _verified(met: DataFrame, num: int, den: int, *carried: str) -> DataFrame:
     """(a, b, na, nb, shared, and what is `carried`) of pairs that met at their first shared token and share enough."""
     shared = F.array_intersect("tokens_x", "tokens_y")  # in the order of the first, so from the rarest on
@@ -195,7 +212,7 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Kinds]:
     """Links that are met one by one, and those of whole kinds."""
-    n, enough = F.col("n"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
+    n, least_n, enough = F.col("n"), F.least("n_a", "n_b"), lambda shared, x, y: shared * (num + den) >= (F.col(x) + F.col(y)) * num
     short = _verified(_meet(sets, n <= SHORT, n <= SHORT, num, den, "tokens", only=F.col("token") <= F.col("rare")), num, den)
     single, kinds = _kinds(sets, num, den)
     # a token just before on both sides was met itself, so this is not the first
@@ -203,28 +220,50 @@ def _linked(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Kinds]:
     long = long.filter(F.col("sketch_x").isNull() | _near("x", "y", num, den)).filter(~F.arrays_overlap("past_x", "past_y"))
     pairs = long.select(F.col("class_id_x").alias("a"), F.col("class_id_y").alias("b")).distinct()
     a, b = (sets.select(F.col("class_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
-    pairs = pairs.join(a, "a").join(b, "b").filter(_near("a", "b", num, den)).select("a", "b")  # those that met at a rare token
+    near = stored(pairs.join(a, "a").join(b, "b").filter(_near("a", "b", num, den)).select("a", "b", "n_a", "n_b"), "near")  # those that met at a rare token
+    pairs = near.filter(least_n <= LARGE).select("a", "b").union(_nearer(near.filter(least_n > LARGE), sets, num, den))
     return short.union(single).union(_whole(pairs, sets).filter(enough(F.col("shared"), "na", "nb"))), kinds
 
 
+def _differences(x: Column, y: Column) -> Column:
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
 def _whole(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, shared) of pairs (a, b), by whole sets. Near copies of one text are near each other, so
-    pairs are put together by the least partner of each end, in bins of some BIN sets, and what two bins
-    have to do with each other is one group: a set goes to its groups, however many pairs it has there."""
+    sets are put together by the least partner's least partner, in bins of some BIN, and what two bins have to do
+    with each other is one group: a set goes to its groups, however many pairs it has there. What goes there is
+    how it differs from its family's set, as two sets differ in what one of these lists has and the other has
+    not; between families, one side's lists are turned into differences from the other family's set."""
     pairs = stored(pairs, "pairs")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    families = stored(ends.groupBy("id").agg(F.min(F.least("a", "b")).alias("family")), "families")
+    least = stored(ends.groupBy("id").agg(F.min(F.least("a", "b")).alias("family")), "least")
+    families = stored(least.join(least.select(F.col("id").alias("family"), F.col("family").alias("first")), "family").select("id", F.col("first").alias("family")), "families")
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BIN).alias("bins"))
-    bins = families.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), "bins")).alias("bin"))
-    of = {k: bins.select(F.col("id").alias(k), F.col("bin").alias(f"bin_{k}")) for k in ("a", "b")}
-    groups = stored(pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", F.xxhash64("bin_a", "bin_b").alias("group")), "groups")
-    needed = groups.select("group", F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    held = needed.join(sets.select("class_id", "tokens"), "class_id").groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "tokens"))).alias("held"))
-    told = groups.groupBy("group").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(held, "group")
+    bins = families.join(sizes, "family").select("id", "family", F.pmod(F.xxhash64("id"), "bins").alias("bin"))
+    of = {k: bins.select(F.col("id").alias(k), F.col("family").alias(f"family_{k}"), F.col("bin").alias(f"bin_{k}")) for k in ("a", "b")}
+    group = ["family_a", "bin_a", "family_b", "bin_b"]
+    groups = stored(pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", *group), "groups")
+    # the sets that pairs need, each moved to its family once
+    whole = sets.select(F.col("class_id").alias("id"), "n", "tokens").join(families, "id")
+    heads = sets.select(F.col("class_id").alias("family"), F.col("tokens").alias("head"))
+    heads = stored(heads.join(families.select("family").distinct(), "family", "left_semi"), "heads")
+    told = stored(whole.join(heads, "family").select("id", "n", _differences(F.col("tokens"), F.col("head")).alias("delta")), "differences")
+    apart = stored(groups.filter("family_a <> family_b").select("family_a", "family_b").distinct(), "apart")
+    between = apart.join(heads.select(F.col("family").alias("family_a"), F.col("head").alias("head_a")), "family_a").join(heads.select(F.col("family").alias("family_b"), F.col("head").alias("head_b")), "family_b")
+    between = between.select("family_a", "family_b", F.lit(True).alias("turned"), _differences(F.col("head_a"), F.col("head_b")).alias("between"))
+    turned = F.col("family_a") != F.col("family_b")
+    needed = groups.select(*group, F.explode(F.array(F.struct(F.col("a").alias("id"), turned.alias("turned")), F.struct(F.col("b").alias("id"), F.lit(False).alias("turned")))).alias("end"))
+    needed = needed.select(*group, "end.*").distinct().join(told, "id").join(stored(between, "between"), ["family_a", "family_b", "turned"], "left")
+    delta = F.when(F.col("between").isNull(), F.col("delta")).otherwise(_differences(F.col("delta"), F.col("between")))
+    held = needed.select(*group, "id", F.struct("n", delta.alias("delta")).alias("set"))
+    held = held.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("id", "set"))).alias("held"))
+    told = groups.groupBy(*group).agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(held, group)
 
     def shared(p: Column) -> Column:
         a, b = F.element_at("held", p["a"]), F.element_at("held", p["b"])
-        return F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(a).alias("na"), F.size(b).alias("nb"), F.size(F.array_intersect(a, b)).alias("shared"))
+        differ = F.size(a["delta"]) + F.size(b["delta"]) - 2 * F.size(F.array_intersect(a["delta"], b["delta"]))
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), a["n"].alias("na"), b["n"].alias("nb"), F.floor((a["n"] + b["n"] - differ) / 2).cast("int").alias("shared"))
 
     return told.select(F.inline(F.transform("pairs", shared)))
 

@@ -135,3 +135,20 @@ def test_kinds_in_blocks(spark, monkeypatch, seed, num, den):
     assert sorted((x["first_id"], x["second_id"], x["shared"]) for x in got.pairs.collect()) == pairs
     links = {i: sum(c in (a, b) for a, b, _ in pairs) for i, c in members}
     assert {x["id"]: x["links"] for x in got.counted().collect()} == links
+
+
+def test_large_sets_are_ruled_out_by_wider_sketches(spark, monkeypatch):
+    """Sets of 1,700 tokens may differ in some 377, so sketches of 512 bits leave open all pairs of sixty that share
+    a passage alone; near copies among them, whose families meet, are found all the same."""
+    r = random.Random(4)
+    words, passage = [f"w{i}" for i in range(20000)], [f"passage{k}" for k in range(200)]
+    rows = [(i, passage + r.sample(words, 1500)) for i in range(60)]
+    for i in range(6):  # chains: each copy has 150 tokens less than the one before, so ends are no pair
+        rows += [(100 + 10 * i + j, rows[i][1][: 1700 - 150 * j]) for j in range(1, 4)]
+    looked = []
+    monkeypatch.setattr(similar, "BIN", 2)
+    monkeypatch.setattr(similar, "_whole", lambda pairs, sets, whole=similar._whole: (looked.append(pairs.count()), whole(pairs, sets))[1])
+    got = similar.similar_sets(spark.createDataFrame(r.sample(rows, len(rows)), "id long, words array<string>"), F.col("id"), F.col("words")).pairs.collect()
+    pairs, _ = all_pairs(rows, 4, 5)
+    assert len(pairs) > 24 and sorted((x["first_id"], x["second_id"], x["shared"]) for x in got) == pairs
+    assert looked[0] < 100  # of 1,770 pairs that share the passage
